@@ -150,13 +150,14 @@ def recursive_chunk(
 
 
 def sentences(
-    text: Column | str, flush: int = dialogue.FLUSH_CHARS, pattern: str = dialogue.SENTENCE_END,
+    text: Column | str, flush: int = dialogue.FLUSH_CHARS, pattern: tuple[str, str] = dialogue.SENTENCE_END,
 ) -> Column:
     """Sentences in order. What follows the last sentence end is, if long, also cut at
     its last blank, so that no tail waits for a mark that never comes."""
     t = nz(text)
-    ended = F.regexp_extract_all(t, F.lit("(?sU).*?" + pattern), F.lit(0))
-    tail = F.regexp_replace(t, "(?sU)^.*" + pattern, "")
+    parts = F.split(t, "(?U)(?<=" + pattern[0] + ")" + pattern[1], -1)
+    ended = F.slice(parts, 1, F.size(parts) - 1)
+    tail = F.element_at(parts, -1)
     # Up to but without the last blank: code points before it, or -1 without one.
     at = F.length(F.regexp_extract(tail, "(?s)^(.* )", 1)) - 1
     pieces = F.when((F.length(tail) >= flush) & (at >= flush // 2), F.array(

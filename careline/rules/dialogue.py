@@ -82,7 +82,7 @@ CTX_NO_PROFILE, CTX_BASIC_PROFILE = "등록된 환자 정보가 없습니다.",
 CTX_NO_HISTORY, CTX_NO_DOCS = "이전 대화 없음", "관련 의료 정보 없음"
 CTX_USER, CTX_AI = "사용자", "AI"
 
-# Sentence ends, and the flush rule for long text without one.
-SENTENCE_END = r"(?<!\d)[.!?…](?=\s|$)"
+# Sentence ends (mark, what follows), and the flush rule for long text.
+SENTENCE_END = (r"(?<!\d)[.!?…]", r"(?=\s|\z)")
 FLUSH_CHARS = 80
 SPOKEN_CHARS = 240

@@ -65,7 +65,7 @@ def export_csv(df: DataFrame, directory: str, base: str, columns: list[str],
     local = now or datetime.now(timezone(timedelta(hours=9)))
     suffix = f"_{nickname}" if nickname and nickname.isascii() else ""
     path = f"{directory.rstrip('/')}/{base}{suffix}_{local:%Y%m%d_%H%M}"
-    marked = full.toDF("﻿" + columns[0], *columns[1:])
+    marked = full.toDF("\ufeff" + columns[0], *columns[1:])
     marked.write.mode("errorifexists").option("header", True).option("escape", '"').csv(path)
     return path
 
