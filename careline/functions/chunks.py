@@ -85,10 +85,14 @@ def markdown_sections(text: Column | str) -> Column:
 
 def fixed_windows(text: Column | str, size: int = 1000, overlap: int = 200) -> Column:
     """Windows of ``size`` characters, each starting ``size - overlap`` after the last."""
-    t, step = nz(text), size - overlap
-    last = F.greatest(F.ceil((F.length(t) - overlap) / step).cast("int") - 1, F.lit(0))
-    return F.when(t == "", strings([])).otherwise(F.transform(
-        F.sequence(F.lit(0), last), lambda i: F.substring(t, i * step + 1, F.lit(size))))
+    step = size - overlap
+
+    def cut(t: Column) -> Column:
+        last = F.greatest(F.ceil((F.length(t) - overlap) / step).cast("int") - 1, F.lit(0))
+        return F.when(t == "", strings([])).otherwise(F.transform(
+            F.sequence(F.lit(0), last), lambda i: F.substring(t, i * step + 1, F.lit(size))))
+
+    return let(nz(text), cut)
 
 
 # Separators of the two call forms, widest first.

@@ -114,10 +114,11 @@ def risk_signals(
     part of one.
     """
     categories = categories or risk.CATEGORIES
-    t = nz(text)
     terms = strings([]) if terms is None else terms
-    bound = F.struct(F.lower(t).alias("low"), terms.alias("terms"),
-                     level_shift(t, raising, lowering).alias("shift"))
+
+    def bound(t: Column) -> Column:
+        return F.struct(t.alias("text"), F.lower(t).alias("low"), terms.alias("terms"),
+                        level_shift(t, raising, lowering).alias("shift"))
 
     def one(b: Column, c: dict) -> Column:
         kws = strings(c["keywords"])
@@ -131,11 +132,12 @@ def risk_signals(
                 F.lit(c["category"]).alias("category"),
                 F.get(strings(risk.LEVELS), rank).alias("level"), rank.alias("rank"),
                 hits.alias("trigger_terms"),
-                F.substring(t, 1, risk.CONTEXT_CHARS).alias("context"),
+                F.substring(b["text"], 1, risk.CONTEXT_CHARS).alias("context"),
                 F.lit(c["description"]).alias("description"),
                 F.lit(c["recommendation"]).alias("recommendation"))))
 
-    return let(bound, lambda b: F.array_compact(F.array(*[one(b, c) for c in categories])))
+    return let(let(nz(text), bound), lambda b: F.array_compact(
+        F.array(*[one(b, c) for c in categories])))
 
 
 def overall_risk(signals: Column) -> Column:
@@ -177,9 +179,10 @@ def risk_report(text: Column | str, terms: Column) -> Column:
             F.transform(s, lambda x: F.struct(x["category"], x["level"], x["description"]))
             .alias("risk_categories"),
             risk_summary(s, o).alias("summary"),
-            enhance_query(text, b["t"], s).alias("enhanced_query")))
+            enhance_query(b["x"], b["t"], s).alias("enhanced_query")))
 
-    return let(F.struct(risk_signals(text, terms).alias("s"), terms.alias("t")), build)
+    return let(let(F.struct(nz(text).alias("x"), terms.alias("t")), lambda b: F.struct(
+        b["x"].alias("x"), b["t"].alias("t"), risk_signals(b["x"], b["t"]).alias("s"))), build)
 
 
 def default_report(text: Column | str) -> Column:

@@ -6,7 +6,7 @@ import functools
 import re
 from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -37,6 +37,22 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def unpack(df: DataFrame, keep: Sequence, array: Column, on: str, place: str | None = None,
+           names: Sequence[str] = ()) -> DataFrame:
+    """One row per struct (or, with ``names``, per element) of a computed array.
+
+    A plain explode makes the optimizer test the size of the array below it, which
+    computes the array again; the outer form does not, and its empty rows are dropped by
+    a field that is never null.
+    """
+    if names:
+        made = (F.posexplode_outer(array).alias(place, *names) if place
+                else F.explode_outer(array).alias(*names))
+    else:
+        made = F.inline_outer(array)
+    return df.select(*keep, made).filter(F.col(on).isNotNull())
+
+
 def nz(c: Column | str) -> Column:
     """Null text as empty text."""
     return F.coalesce(col(c), F.lit(""))

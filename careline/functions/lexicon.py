@@ -23,8 +23,7 @@ def any_keyword(text: Column, terms: Sequence[str]) -> Column:
 
 def keyword_hits(text: Column, terms: Sequence[str]) -> Column:
     """The terms that are part of the text, in list order."""
-    t = nz(text)
-    return F.filter(strings(terms), lambda k: F.contains(t, k))
+    return let(nz(text), lambda t: F.filter(strings(terms), lambda k: F.contains(t, k)))
 
 
 def keyword_count(text: Column, terms: Sequence[str]) -> Column:
@@ -46,11 +45,9 @@ def is_health_related(
     labels: Sequence[str] = medical.HEALTH_LABELS,
 ) -> Column:
     """Term inside the entity, entity inside a term, or a label that counts by itself."""
-    t = F.lower(nz(text))
-    return (
-        F.exists(strings(terms), lambda k: F.contains(t, k) | F.contains(k, t))
-        | col(label).isin(list(labels))
-    )
+    in_terms = let(F.lower(nz(text)), lambda t: F.exists(
+        strings(terms), lambda k: F.contains(t, k) | F.contains(k, t)))
+    return in_terms | col(label).isin(list(labels))
 
 
 # ---- entities ---------------------------------------------------------------------
@@ -71,11 +68,10 @@ def _table(rows: Sequence[tuple[str, str, str]]) -> Column:
 
 def noun_matches(text: Column | str, nouns=medical.NOUNS) -> Column:
     """First occurrence of every noun that is part of the text (no tagger needed)."""
-    t = F.lower(nz(text))
-    return F.transform(
+    return let(F.lower(nz(text)), lambda t: F.transform(
         F.filter(_table(nouns), lambda r: F.contains(t, r["term"])),
         lambda r: _entity(r["term"], r["term"], r["category"], F.lit("NNG"),
-                          F.position(r["term"], t) - 1, 0.8, "fallback"))
+                          F.position(r["term"], t) - 1, 0.8, "fallback")))
 
 
 def compound_matches(text: Column | str, patterns=medical.COMPOUNDS) -> Column:
@@ -95,8 +91,11 @@ def tagged_matches(text: Column | str, morphemes: Column | str) -> Column:
     Nouns keep their own form as lemma, verbs take the description. The position is
     the first occurrence in the text, or 0 where the stem is not written out.
     """
-    t, ms = nz(text), col(morphemes)
+    return let(F.struct(nz(text).alias("t"), col(morphemes).alias("m")),
+               lambda b: _tagged(b["t"], b["m"]))
+
 
+def _tagged(t: Column, ms: Column) -> Column:
     def table(rows):
         return F.create_map(*[x for term, c, d in rows for x in (
             F.lit(term), F.struct(F.lit(c).alias("category"), F.lit(d).alias("description")))])
@@ -158,11 +157,14 @@ def medical_entities(text: Column | str, morphemes: Column | str | None = None)
 
 def symptom_scan(text: Column | str) -> Column:
     """Symptom flags, alert level, advice and attention flag."""
-    t = F.lower(nz(text))
-    flags = F.array_compact(F.array(*[
-        F.when(any_keyword(t, kws), F.lit(flag)) for flag, kws in medical.SYMPTOM_FLAGS]))
-    alert = any_keyword(t, medical.ALERT_WORDS)
-    return let(F.struct(flags.alias("f"), alert.alias("a")), lambda s: F.struct(
+    def found(t: Column) -> Column:
+        return F.struct(
+            F.array_compact(F.array(*[
+                F.when(any_keyword(t, kws), F.lit(flag)) for flag, kws in medical.SYMPTOM_FLAGS]))
+            .alias("f"),
+            any_keyword(t, medical.ALERT_WORDS).alias("a"))
+
+    return let(let(F.lower(nz(text)), found), lambda s: F.struct(
         s["f"].alias("symptoms"),
         F.when(s["a"], "critical").otherwise("normal").alias("alert_level"),
         F.array_compact(F.array(
@@ -217,12 +219,11 @@ def word_contexts(text: Column | str, spans: Column, **options) -> Column:
 
 def combined_context(text: Column | str, contexts: Column) -> Column:
     """Distinct words of all contexts by first position in the text, then by word."""
-    t = nz(text)
     words = F.array_distinct(F.flatten(F.transform(
         contexts,
         lambda c: F.concat(c["before_words"], F.array(c["target"]), c["after_words"]))))
-    placed = F.transform(words, lambda w: F.struct(
-        F.greatest(F.position(w, t) - 1, F.lit(0)).alias("p"), w.alias("w")))
+    placed = let(nz(text), lambda t: F.transform(words, lambda w: F.struct(
+        F.greatest(F.position(w, t) - 1, F.lit(0)).alias("p"), w.alias("w"))))
     return F.array_join(F.transform(F.array_sort(placed), lambda x: x["w"]), " ")
 
 

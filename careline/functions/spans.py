@@ -98,34 +98,32 @@ def longest_non_overlapping(spans: Column | str) -> Column:
             F.nullif(F.signum(a["start"] - b["start"]).cast("int"), F.lit(0)),
             F.signum(b["end"] - a["end"]).cast("int")),
     )
-    return F.aggregate(ordered, F.filter(col(spans), lambda _: F.lit(False)), step)
+    return let(ordered, lambda s: F.aggregate(s, F.slice(s, 1, 0), step))
 
 
 def add_uncovered(base: Column | str, extra: Column | str) -> Column:
     """Spans of ``base`` plus those of ``extra`` with an end inside none of them,
     ordered by start. As in the source rule, an extra span that contains a base span
     on both sides counts as apart."""
-    a, b = col(base), col(extra)
-
     def touches(x: Column, y: Column) -> Column:
         return ((x["start"] >= y["start"]) & (x["start"] < y["end"])) | (
             (x["end"] > y["start"]) & (x["end"] <= y["end"]))
 
-    fresh = F.filter(b, lambda x: ~F.exists(a, lambda y: touches(x, y)))
-    return F.array_sort(
-        F.concat(a, fresh),
-        lambda x, y: F.signum(x["start"] - y["start"]).cast("int"),
-    )
+    def merge(both: Column) -> Column:
+        fresh = F.filter(both["b"], lambda x: ~F.exists(both["a"], lambda y: touches(x, y)))
+        return by_start(F.concat(both["a"], fresh))
+
+    return let(F.struct(col(base).alias("a"), col(extra).alias("b")), merge)
 
 
 def accept_in_order(spans: Column) -> Column:
     """Greedy choice: take spans in the given order unless they overlap one taken before."""
-    return F.aggregate(
-        spans, F.filter(spans, lambda _: F.lit(False)),
+    return let(spans, lambda all_: F.aggregate(
+        all_, F.slice(all_, 1, 0),
         lambda kept, s: F.when(
             F.exists(kept, lambda k: overlaps(s, k)), kept
         ).otherwise(F.concat(kept, F.array(s))),
-    )
+    ))
 
 
 def by_start(spans: Column) -> Column:
@@ -137,15 +135,16 @@ def mask_spans(text: Column | str, spans: Column) -> Column:
 
     The kept pieces are cut out once and joined, so the text is not copied per span.
     """
-    t = nz(text)
+    def build(b: Column) -> Column:
+        t, s = b["t"], b["s"]
 
-    def build(s: Column) -> Column:
         def piece(i: Column) -> Column:
             start = F.when(i == 0, F.lit(0)).otherwise(F.get(s, i - 1)["end"])
             kept = F.when(
                 i < F.size(s), F.substring(t, start + 1, F.get(s, i)["start"] - start)
             ).otherwise(F.substring(t, start + 1, F.length(t)))
             return F.concat(kept, F.coalesce(F.get(s, i)["mask"], F.lit("")))
-        return F.array_join(F.transform(F.sequence(F.lit(0), F.size(s)), piece), "")
+        masked = F.array_join(F.transform(F.sequence(F.lit(0), F.size(s)), piece), "")
+        return F.when(F.size(s) == 0, t).otherwise(masked)
 
-    return F.when(F.size(spans) == 0, t).otherwise(let(spans, build))
+    return let(F.struct(nz(text).alias("t"), spans.alias("s")), build)

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from careline.functions import chunks as C
 from careline.functions import segments as S
-from careline.functions.core import nz, rx, strip
+from careline.functions.core import nz, rx, strip, unpack
 from careline.functions.text import strip_quotes
 from careline.rules import dialogue
 
@@ -23,7 +23,7 @@ def explode_chunks(df: DataFrame, chunks: Column, source: str, category: str = "
         df.withColumn("_chunks", chunks)
         .select(F.col(source).cast("string").alias("source"), place.alias("file_path"),
                 F.size("_chunks").alias("total_chunks"),
-                F.posexplode("_chunks").alias("chunk_index", "text"))
+                F.posexplode_outer("_chunks").alias("chunk_index", "text"))
         .filter(strip(F.col("text")) != "")
         .select(
             F.concat(F.lit(prefix), "source", F.lit("_"), F.col("chunk_index").cast("string"))
@@ -53,11 +53,10 @@ def transcript_turns(files: DataFrame, path: str = "path", content: str = "conte
     Result: path, section, topic, turn, role, text.
     """
     name = F.regexp_extract(F.col(path), r"([^/]*?)(\.[^./]*)?$", 1) if topic is None else topic
-    sections = files.select(path, F.posexplode(
-        C.transcript_sections(content, name)).alias("section", "_s"))
-    return sections.select(
-        path, "section", F.col("_s.topic").alias("topic"),
-        F.posexplode(C.extract_turns(F.col("_s.text"), version)).alias("turn", "_t"),
+    sections = unpack(files, [path], C.transcript_sections(content, name), "_s", "section", ["_s"])
+    return unpack(
+        sections, [path, "section", F.col("_s.topic").alias("topic")],
+        C.extract_turns(F.col("_s.text"), version), "_t", "turn", ["_t"],
     ).select(path, "section", "topic", F.col("turn").cast("long").alias("turn"),
              F.col("_t.role").alias("role"), F.col("_t.content").alias("text"))
 
