@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,10 +37,6 @@ def explode_chunks(df: DataFrame, chunks: Column, source: str, category: str = "
 
 def nfc(c: Column | str) -> Column:
     """Unicode NFC; there is no built-in for it."""
-    import unicodedata
-
-    import pandas as pd
-
     @F.pandas_udf(T.StringType())
     def normal(values: pd.Series) -> pd.Series:
         return values.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))

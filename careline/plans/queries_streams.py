@@ -1 +1,136 @@
-"""Queries."""
+"""Stream jobs run over what is available, with the same SQL as their batch twins.
+
+Each call writes to a new folder below the cluster's checkpoint folder (or a temporary
+one where none is set, as in tests) and returns what it wrote.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from careline.plans.korean import KO, korean_turns
+from careline.plans.queries_detect import _INTENT
+from careline.plans.queries_turns import _CONTEXT
+from careline.plans.registry import query
+from careline.sources.tables import table
+from careline.streaming import sessions, streams
+
+
+def work_folder(spark: SparkSession) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="careline-")
+    return f"{root.rstrip('/')}/streams/{uuid.uuid4().hex}"
+
+
+def stream_of(spark: SparkSession, d: str, name: str) -> DataFrame:
+    schema = spark.read.parquet(f"{d}/{name}.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+
+
+def _run(spark: SparkSession, df: DataFrame, mode: str = "append") -> DataFrame:
+    folder = work_folder(spark)
+    return streams.run_to_files(df, f"{folder}/out", f"{folder}/state", mode)
+
+
+def _turns(spark, d):
+    return korean_turns(stream_of(spark, d, "conversations"))
+
+
+@query("stream_session_context", f"""WITH {_CONTEXT}
+SELECT conv_id, turn, turn_count, recent_topic, repeated_question, topic_drifted FROM ctx WHERE role = 'user'""")
+def stream_session_context(spark, d):
+    return _run(spark, sessions.session_context(_turns(spark, d))).filter("role = 'user'").select(
+        "conv_id", "turn", "turn_count", "recent_topic", "repeated_question", "topic_drifted")
+
+
+@query("stream_turn_log", f"WITH {_INTENT} SELECT conv_id, turn, intent, intent_confidence, route FROM iv")
+def stream_turn_log(spark, d):
+    analysed = streams.turn_stream(_turns(spark, d))
+    return _run(spark, analysed.select("conv_id", "turn", "intent", "intent_confidence", "route"))
+
+
+@query("stream_alerts", f"""WITH {_INTENT} SELECT conv_id, turn, 'critical' AS level, coalesce(c_name, '') AS emergency_contact
+FROM iv LEFT JOIN customer ON conv_id = c_custkey AND c_nationkey < 20 WHERE intent = 'emergency'""")
+def stream_alerts(spark, d):
+    profiles = table(spark, d, "customer").filter("c_nationkey < 20").select(
+        F.col("c_custkey").alias("conv_id"), F.col("c_name").alias("emergency_contact"))
+    alerts = streams.alert_stream(streams.turn_stream(_turns(spark, d)), profiles)
+    return _run(spark, alerts).select("conv_id", "turn", "level", "emergency_contact")
+
+
+@query("stream_once_per_session", """
+SELECT conv_id, turn, coalesce(role = 'user' AND length(text) > 150 AND turn = (SELECT min(turn) FROM conversations c
+  WHERE c.conv_id = o.conv_id AND role = 'user' AND length(text) > 150), false) AS referral FROM conversations o""")
+def stream_once_per_session(spark, d):
+    flags = stream_of(spark, d, "conversations").select(
+        "conv_id", "turn", F.expr("role = 'user' AND length(text) > 150").alias("flag"))
+    return _run(spark, sessions.once_per_session(flags))
+
+
+@query("stream_session_names", """
+WITH w AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '[A-Z][a-z]+', 0)) AS name,
+   generate_subscripts(regexp_extract_all(text, '[A-Z][a-z]+', 0), 1) - 1 AS start FROM conversations),
+f AS (SELECT conv_id, name, min((turn, start)) AS first FROM w GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY first, name) - 1 AS number FROM f)
+SELECT conv_id, turn, start::INT AS start, name, '[사용자' || chr((65 + number % 26)::INT) || ']' AS label FROM w JOIN r USING (conv_id, name)""")
+def stream_session_names(spark, d):
+    names = stream_of(spark, d, "conversations").select("conv_id", "turn", F.posexplode(
+        F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), F.lit(0))).alias("start", "name"))
+    return _run(spark, sessions.session_names(names))
+
+
+@query("stream_summary_triggers", """
+SELECT conv_id, count(*) // 2 AS pairs, 0::BIGINT AS from_message, (count(*) // 2 - 1) * 2 AS to_message
+FROM conversations GROUP BY conv_id HAVING count(*) // 2 >= 2""")
+def stream_summary_triggers(spark, d):
+    return _run(spark, sessions.summary_triggers(stream_of(spark, d, "conversations"), 2, 1))
+
+
+@query("stream_dual_sink", f"""WITH {KO}
+SELECT 'history' AS sink, count(*) * 2 AS n FROM ko WHERE role = 'user' UNION ALL SELECT 'logs', count(*) FROM ko WHERE role = 'user'""")
+def stream_dual_sink(spark, d):
+    folder = work_folder(spark)
+    users = _turns(spark, d).filter("role = 'user'").withColumn("response", F.lit("ok"))
+    streams.dual_sink(
+        users, f"{folder}/history", f"{folder}/logs", f"{folder}/state",
+        log_row=lambda b: b.select("conv_id", "turn", F.col("text").alias("user_message")),
+        history_row=streams.append_turn_rows).awaitTermination()
+
+    def counted(name):
+        return spark.read.parquet(f"{folder}/{name}").agg(F.count("*").alias("n")).select(
+            F.lit(name).alias("sink"), "n")
+
+    return counted("history").unionByName(counted("logs"))
+
+
+@query("stream_due_medications", """
+WITH w AS (SELECT event_id, user_id, (hour(ts) * 60 + minute(ts))::INT AS now_min FROM events),
+t AS (SELECT DISTINCT user_id, (user_id * 37) % 1440 AS m FROM events)
+SELECT event_id, m::INT AS scheduled_min FROM w JOIN t USING (user_id) WHERE ((m - now_min + 5 + 1440) % 1440) - 5 <= 30""")
+def stream_due_medications(spark, d):
+    folder = work_folder(spark)
+    users = table(spark, d, "events").select(F.col("user_id").alias("nickname")).distinct()
+    m = (F.col("nickname") * 37) % 1440
+    meds = users.select("nickname", F.lit("med").alias("name"), F.lit(True).alias("is_active"),
+                        F.array(F.format_string("%02d:%02d", F.floor(m / 60), m % 60)).alias("times"))
+    ticks = stream_of(spark, d, "events").select("event_id", F.col("user_id").alias("nickname"), "ts")
+    streams.reminder_checks(ticks, meds, f"{folder}/due", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/due").select("event_id", "scheduled_min")
+
+
+@query("stream_activity_windows", """
+SELECT strftime(time_bucket(INTERVAL 1 DAY, ts + INTERVAL 9 HOUR) - INTERVAL 9 HOUR, '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n
+FROM events GROUP BY ALL""")
+def stream_activity_windows(spark, d):
+    events = stream_of(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    folder = work_folder(spark)
+    # Complete counts of all days, also of the last one that no later row closes.
+    shown = f"days_{uuid.uuid4().hex}"
+    streams.activity_windows(events).writeStream.format("memory").queryName(shown).outputMode(
+        "complete").option("checkpointLocation", f"{folder}/state").trigger(
+        availableNow=True).start().awaitTermination()
+    return spark.table(shown).select(
+        F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")

@@ -23,8 +23,20 @@ LOG_SCHEMA = (
 )
 
 
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. Text tables in fewer files than cores are dealt out over the cores,
+    because their operators cost far more than the exchange; tables of many files are
+    read as they are."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def decode_chat_history(raw: DataFrame, nickname: str | None = None, newline: str = "\r",
