@@ -8,8 +8,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from careline.functions.core import col, let, nz, rank_of, rx, strings, strip, total
-from careline.functions.lexicon import any_keyword, any_pattern, keyword_count, keyword_hits
+from careline.functions.core import (
+    col, let, mapping, nz, rank_of, rx, strings, strip, total,
+)
+from careline.functions.lexicon import (
+    any_keyword, any_pattern, found_terms, keyword_count, keyword_hits,
+)
 from careline.rules import intents as I
 from careline.rules import medical, risk
 
@@ -116,13 +120,16 @@ def risk_signals(
     categories = categories or risk.CATEGORIES
     terms = strings([]) if terms is None else terms
 
+    every = [k for c in categories for k in c["keywords"]]
+
     def bound(t: Column) -> Column:
-        return F.struct(t.alias("text"), F.lower(t).alias("low"), terms.alias("terms"),
+        return F.struct(t.alias("text"), found_terms(F.lower(t), every).alias("found"),
+                        terms.alias("terms"),
                         level_shift(t, raising, lowering).alias("shift"))
 
     def one(b: Column, c: dict) -> Column:
         kws = strings(c["keywords"])
-        direct = F.filter(kws, lambda k: F.contains(b["low"], k))
+        direct = F.array_intersect(kws, b["found"])
         indirect = F.filter(b["terms"], lambda x: F.exists(
             kws, lambda k: F.contains(F.lower(x), k) | F.contains(k, F.lower(x))))
         rank = adjust_level(risk.LEVELS.index(c["level"]), b["shift"])
@@ -146,7 +153,7 @@ def overall_risk(signals: Column) -> Column:
 
 
 def _display(signals: Column, key: str) -> Column:
-    table = F.create_map(*[F.lit(x) for c in risk.CATEGORIES for x in (c["category"], c[key])])
+    table = mapping((c["category"], c[key]) for c in risk.CATEGORIES)
     return F.transform(signals, lambda s: F.coalesce(table[s["category"]], s["category"]))
 
 
@@ -195,4 +202,4 @@ def default_report(text: Column | str) -> Column:
 
 
 def analysis_gate(text: Column | str) -> Column:
-    return any_keyword(nz(text), medical.GATE_WORDS)
+    return any_keyword(nz(col(text)), medical.GATE_WORDS)

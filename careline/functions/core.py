@@ -24,8 +24,28 @@ def escape(term: str) -> str:
 
 
 def alternation(terms: Iterable[str]) -> str:
-    """Non-capturing alternation of literal terms, in the given order."""
-    return "(?:" + "|".join(escape(t) for t in terms) + ")"
+    """Non-capturing alternation of literal terms; among terms that start alike, the given
+    order decides.
+
+    A flat alternation tries every term at every place of the text. Terms with different
+    first characters exclude each other, so long lists are grouped by ranges of first
+    characters, each behind one range test.
+    """
+    terms = list(terms)
+
+    def flat(ts: list[str]) -> str:
+        return "(?:" + "|".join(escape(t) for t in ts) + ")"
+
+    firsts = sorted({t[0] for t in terms})
+    width = max(2, round(len(firsts) ** 0.5))
+    if len(firsts) < 9:
+        return flat(terms)
+    groups = []
+    for i in range(0, len(firsts), width):
+        part = firsts[i:i + width]
+        span = f"\\x{{{ord(part[0]):x}}}-\\x{{{ord(part[-1]):x}}}"
+        groups.append(f"(?=[{span}])" + flat([t for t in terms if t[0] in part]))
+    return "(?:" + "|".join(groups) + ")"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -66,16 +86,38 @@ def total(numbers: Sequence[Column]) -> Column:
     return functools.reduce(lambda a, b: a + b, numbers, F.lit(0))
 
 
+def _sql(value: str | bool) -> str:
+    if isinstance(value, bool):
+        return str(value).lower()
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def strings(values: Sequence[str]) -> Column:
-    """Literal string array (typed also when empty)."""
+    """Literal string array (typed also when empty).
+
+    Rule tables become one parsed expression and not one call to the JVM per entry.
+    """
     if not values:
         return F.array().cast("array<string>")
-    return F.array(*[F.lit(v) for v in values])
+    return F.expr("array(" + ", ".join(_sql(v) for v in values) + ")")
+
 
+def structs(names: Sequence[str], rows: Sequence[Sequence[str | Sequence[str]]]) -> Column:
+    """Literal array of structs; a list value becomes a string array."""
+    def value(v) -> str:
+        return _sql(v) if isinstance(v, str) else "array(" + ", ".join(_sql(x) for x in v) + ")"
 
-def lookup(mapping: dict[str, str], key: Column, default: Column | None = None) -> Column:
-    out = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])[key]
-    return out if default is None else F.coalesce(out, default)
+    return F.expr("array(" + ", ".join(
+        "named_struct(" + ", ".join(f"'{n}', {value(v)}" for n, v in zip(names, r)) + ")"
+        for r in rows) + ")")
+
+
+def mapping(pairs: Iterable[tuple[str, str | Sequence[str]]]) -> Column:
+    """Literal map from strings to strings or string arrays."""
+    def value(v) -> str:
+        return _sql(v) if isinstance(v, str) else "array(" + ", ".join(_sql(x) for x in v) + ")"
+
+    return F.expr("map(" + ", ".join(f"{_sql(k)}, {value(v)}" for k, v in pairs) + ")")
 
 
 def strip(c: Column) -> Column:
@@ -88,32 +130,35 @@ def rank_of(level: Column, levels: Sequence[str]) -> Column:
     return F.greatest(F.array_position(strings(levels), level).cast("int") - 1, F.lit(0))
 
 
-def prefix_sums(values: Column, block: int = 64) -> Column:
+def let_sql(value: str, name: str, body: str) -> str:
+    """:func:`let` in SQL text."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def apply_sql(value: Column, name: str, body: str) -> Column:
+    """Bind a value to a name in an SQL expression. Kernels with many nested lambdas are
+    written this way, as text that the JVM parses once; built call by call they would
+    cost the driver seconds."""
+    bound = F.call_function("transform", F.array(value), F.expr(f"{name} -> {body}"))
+    return F.element_at(bound, 1)
+
+
+def prefix_sums_sql(values: str, block: int = 64) -> str:
     """Exclusive running totals of an int array.
 
     Appending to an array copies it, so a plain fold is quadratic in the number of
     elements. Folding inside blocks and then over block totals keeps long texts cheap.
     """
-
-    def scan(items: Column, step: Callable[[Column], Column]) -> Column:
-        return F.aggregate(
-            items, F.array(F.lit(0)),
-            lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + step(x))),
-        )
-
-    def blocks_of(a: Column) -> Column:
-        last = F.greatest(F.ceil(F.size(a) / block).cast("int") - 1, F.lit(0))
-        return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(a, b * block + 1, block))
-
-    def combine(local: Column) -> Column:
-        return let(
-            scan(local, lambda part: F.element_at(part, -1)),
-            lambda base: F.flatten(F.transform(
-                local,
-                lambda part, i: F.transform(
-                    F.slice(part, 1, F.size(part) - 1), lambda x: x + F.get(base, i)),
-            )),
-        )
-
-    return let(values, lambda a: let(
-        F.transform(blocks_of(a), lambda blk: scan(blk, lambda x: x)), combine))
+    blocks = (f"transform(sequence(0, greatest(cast(ceil(size(a_) / {block}) as int) - 1, 0)), "
+              f"k_ -> slice(a_, k_ * {block} + 1, {block}))")
+    local = (f"transform({blocks}, b_ -> aggregate(b_, array(0), "
+             "(acc, x) -> concat(acc, array(element_at(acc, -1) + x))))")
+    base = ("aggregate(l_, array(0), "
+            "(acc, x) -> concat(acc, array(element_at(acc, -1) + element_at(x, -1))))")
+    totals = ("flatten(transform(l_, (p_, i_) -> "
+              "transform(slice(p_, 1, size(p_) - 1), x -> x + get(s_, i_))))")
+    return let_sql(values, "a_", let_sql(local, "l_", let_sql(base, "s_", totals)))
+
+
+def prefix_sums(values: Column) -> Column:
+    return apply_sql(values, "v_", prefix_sums_sql("v_"))

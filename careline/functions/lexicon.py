@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from careline.functions.core import alternation, any_of, col, let, nz, rx, strings, total
+from careline.functions.core import (
+    alternation, any_of, col, let, mapping, nz, rx, strings, structs, total,
+)
 from careline.functions.spans import pattern_spans
 from careline.rules import medical
 
@@ -21,14 +23,35 @@ def any_keyword(text: Column, terms: Sequence[str]) -> Column:
     return nz(text).rlike(alternation(terms))
 
 
+def found_terms(text: Column, terms: Sequence[str]) -> Column:
+    """The distinct terms that are part of the text, in one pass over it.
+
+    At each place the longest term that starts there is read; terms that are a beginning
+    of it start there too and are added by look-up.
+    """
+    longest = sorted(set(terms), key=lambda t: (-len(t), t))
+    seen = F.array_distinct(F.regexp_extract_all(
+        nz(text), F.lit("(?=(" + alternation(longest) + "))"), F.lit(1)))
+    heads = {t: [p for p in longest if t.startswith(p)] for t in longest}
+    nested = {t: ps for t, ps in heads.items() if len(ps) > 1}
+    if not nested:
+        return seen
+    table = mapping(nested.items())
+    return F.array_distinct(F.flatten(F.transform(
+        seen, lambda t: F.coalesce(table[t], F.array(t)))))
+
+
 def keyword_hits(text: Column, terms: Sequence[str]) -> Column:
-    """The terms that are part of the text, in list order."""
-    return let(nz(text), lambda t: F.filter(strings(terms), lambda k: F.contains(t, k)))
+    """The distinct terms that are part of the text, in list order."""
+    return F.array_intersect(strings(terms), found_terms(text, terms))
 
 
 def keyword_count(text: Column, terms: Sequence[str]) -> Column:
-    t = nz(text)
-    return total([F.contains(t, F.lit(k)).cast("int") for k in terms])
+    """Number of list entries that are part of the text; an entry listed twice counts
+    twice."""
+    twice = [t for i, t in enumerate(terms) if t in terms[:i]]
+    distinct = F.size(found_terms(text, terms))
+    return total([distinct, *[F.contains(nz(text), F.lit(t)).cast("int") for t in twice]])
 
 
 def clinical_terms(text: Column) -> Column:
@@ -61,17 +84,18 @@ def _entity(text, lemma, category, tag, start, confidence: float, source: str) -
 
 
 def _table(rows: Sequence[tuple[str, str, str]]) -> Column:
-    return F.array(*[
-        F.struct(F.lit(t).alias("term"), F.lit(c).alias("category"), F.lit(d).alias("description"))
-        for t, c, d in rows])
+    return structs(["term", "category", "description"], rows)
 
 
 def noun_matches(text: Column | str, nouns=medical.NOUNS) -> Column:
     """First occurrence of every noun that is part of the text (no tagger needed)."""
-    return let(F.lower(nz(text)), lambda t: F.transform(
-        F.filter(_table(nouns), lambda r: F.contains(t, r["term"])),
-        lambda r: _entity(r["term"], r["term"], r["category"], F.lit("NNG"),
-                          F.position(r["term"], t) - 1, 0.8, "fallback")))
+    def build(t: Column) -> Column:
+        return let(found_terms(t, [n for n, _, _ in nouns]), lambda found: F.transform(
+            F.filter(_table(nouns), lambda r: F.array_contains(found, r["term"])),
+            lambda r: _entity(r["term"], r["term"], r["category"], F.lit("NNG"),
+                              F.position(r["term"], t) - 1, 0.8, "fallback")))
+
+    return let(F.lower(nz(text)), build)
 
 
 def compound_matches(text: Column | str, patterns=medical.COMPOUNDS) -> Column:
@@ -97,8 +121,8 @@ def tagged_matches(text: Column | str, morphemes: Column | str) -> Column:
 
 def _tagged(t: Column, ms: Column) -> Column:
     def table(rows):
-        return F.create_map(*[x for term, c, d in rows for x in (
-            F.lit(term), F.struct(F.lit(c).alias("category"), F.lit(d).alias("description")))])
+        return F.map_from_entries(F.transform(structs(["t", "c", "d"], rows), lambda r: F.struct(
+            r["t"], F.struct(r["c"].alias("category"), r["d"].alias("description")))))
 
     stopped = sorted(set(medical.MORPH_STOP_WORDS) - set(medical.MORPH_STOP_EXEMPT))
     nouns, verbs = table(medical.NOUNS), table(medical.VERBS)

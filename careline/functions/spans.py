@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from careline.functions.core import alternation, col, let, nz, prefix_sums, rx, strings
+from careline.functions.core import (
+    alternation, apply_sql, col, let, let_sql, nz, prefix_sums_sql, rx, strings,
+)
 
 SPAN = "array<struct<start:int,end:int,text:string>>"
 
@@ -21,23 +23,12 @@ def pattern_spans(text: Column | str, pattern: str | Column) -> Column:
     t = nz(text)
     p = F.lit(rx(pattern)) if isinstance(pattern, str) else pattern
 
-    def build(parts: Column) -> Column:
-        found, gaps = parts["m"], parts["g"]
-        steps = F.transform(found, lambda m, i: F.length(F.get(gaps, i)) + F.length(m))
-        return let(prefix_sums(steps), lambda base: F.transform(
-            found,
-            lambda m, i: let(
-                F.get(base, i) + F.length(F.get(gaps, i)),
-                lambda s: F.struct(s.alias("start"), (s + F.length(m)).alias("end"),
-                                   m.alias("text")),
-            ),
-        ))
-
-    matched = let(
-        F.struct(F.regexp_extract_all(t, p, F.lit(0)).alias("m"),
-                 F.split(t, p, -1).alias("g")),
-        build,
-    )
+    steps = "transform(x_.m, (m, i) -> length(get(x_.g, i)) + length(m))"
+    one = let_sql("get(base_, i) + length(get(x_.g, i))", "at_",
+                  "named_struct('start', at_, 'end', at_ + length(m), 'text', m)")
+    matched = apply_sql(
+        F.struct(F.regexp_extract_all(t, p, F.lit(0)).alias("m"), F.split(t, p, -1).alias("g")),
+        "x_", let_sql(prefix_sums_sql(steps), "base_", f"transform(x_.m, (m, i) -> {one})"))
     return F.when(F.rlike(t, p), matched).otherwise(F.array().cast(SPAN))
 
 
@@ -50,24 +41,15 @@ def term_spans(text: Column | str, terms: Sequence[str]) -> Column:
     t = nz(text)
     longest = max(len(x) for x in terms)
     cut = "(?=" + alternation(terms) + ")"
-    lexicon = strings(terms)
-
-    def build(pieces: Column) -> Column:
-        return let(prefix_sums(F.transform(pieces, F.length)), lambda base: F.flatten(F.transform(
-            pieces,
-            lambda _, i: let(
-                F.substring(F.array_join(F.slice(pieces, i + 1, longest), ""), 1, longest),
-                lambda head: F.transform(
-                    F.filter(lexicon, lambda k: F.startswith(head, k)),
-                    lambda k: F.struct(
-                        F.get(base, i).alias("start"),
-                        (F.get(base, i) + F.length(k)).alias("end"),
-                        k.alias("text")),
-                ),
-            ),
-        )))
-
-    return F.when(t.rlike(alternation(terms)), let(F.split(t, cut, -1), build)).otherwise(
+
+    heads = "transform(filter(x_.terms, k -> startswith(head_, k)), k -> named_struct('start', "\
+        "get(base_, i), 'end', get(base_, i) + length(k), 'text', k))"
+    head = f"substring(array_join(slice(x_.p, i + 1, {longest}), ''), 1, {longest})"
+    found = apply_sql(
+        F.struct(F.split(t, cut, -1).alias("p"), strings(terms).alias("terms")), "x_",
+        let_sql(prefix_sums_sql("transform(x_.p, y -> length(y))"), "base_",
+                f"flatten(transform(x_.p, (y, i) -> {let_sql(head, 'head_', heads)}))"))
+    return F.when(t.rlike(alternation(terms)), found).otherwise(
         F.array().cast(SPAN))
 
 
@@ -135,16 +117,9 @@ def mask_spans(text: Column | str, spans: Column) -> Column:
 
     The kept pieces are cut out once and joined, so the text is not copied per span.
     """
-    def build(b: Column) -> Column:
-        t, s = b["t"], b["s"]
-
-        def piece(i: Column) -> Column:
-            start = F.when(i == 0, F.lit(0)).otherwise(F.get(s, i - 1)["end"])
-            kept = F.when(
-                i < F.size(s), F.substring(t, start + 1, F.get(s, i)["start"] - start)
-            ).otherwise(F.substring(t, start + 1, F.length(t)))
-            return F.concat(kept, F.coalesce(F.get(s, i)["mask"], F.lit("")))
-        masked = F.array_join(F.transform(F.sequence(F.lit(0), F.size(s)), piece), "")
-        return F.when(F.size(s) == 0, t).otherwise(masked)
-
-    return let(F.struct(nz(text).alias("t"), spans.alias("s")), build)
+    start = "if(i = 0, 0, get(x_.s, i - 1).end)"
+    piece = (f"concat(if(i < size(x_.s), substring(x_.t, {start} + 1, get(x_.s, i).start - {start}), "
+             f"substring(x_.t, {start} + 1)), coalesce(get(x_.s, i).mask, ''))")
+    masked = f"array_join(transform(sequence(0, size(x_.s)), i -> {piece}), '')"
+    return apply_sql(F.struct(nz(text).alias("t"), spans.alias("s")), "x_",
+                     f"if(size(x_.s) = 0, x_.t, {masked})")

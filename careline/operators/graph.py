@@ -12,9 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from careline.functions.core import nz, strings
+from careline.functions.core import mapping, nz, strings, unpack
 from careline.functions.lexicon import colloquial_terms, keyword_hits
 from careline.rules import graph_seed as G
+from careline.rules import medical
 
 NODE_SCHEMA = "label string, name string, id string, description string"
 EDGE_SCHEMA = "src string, dst string, rel string"
@@ -287,7 +288,7 @@ def keyword_blocks(nodes: DataFrame, edges: DataFrame, keywords: DataFrame) -> D
     open_ = keywords.join(via.unionByName(direct).select("keyword").distinct(), "keyword",
                           "left_anti")
     grouped = group_by_type(related_nodes(open_, nodes, edges, 2))
-    label = F.create_map(*[F.lit(x) for kv in G.TYPE_LABELS for x in kv])
+    label = mapping(G.TYPE_LABELS)
     rank = F.array_position(strings([t for t, _ in G.TYPE_LABELS]), F.col("type"))
     around = (
         grouped.filter(rank > 0).groupBy("keyword").agg(F.array_join(F.transform(
@@ -301,15 +302,23 @@ def keyword_blocks(nodes: DataFrame, edges: DataFrame, keywords: DataFrame) -> D
     return via.unionByName(direct).unionByName(around)
 
 
+def keyword_vocabulary(nodes: DataFrame) -> DataFrame:
+    """Every keyword the rules can give: node names and terms for colloquial wording."""
+    terms = F.explode(strings(sorted({t for _, t in medical.COLLOQUIAL})))
+    named = nodes.select(node_name().alias("keyword")).filter("keyword is not null")
+    return named.unionByName(nodes.sparkSession.range(1).select(terms.alias("keyword"))).distinct()
+
+
 def graph_context(texts: DataFrame, nodes: DataFrame, edges: DataFrame, ident: str,
-                  keywords: str = "keywords", keep: int = G.CONTEXTS_KEPT) -> DataFrame:
+                  keywords: str = "keywords", keep: int = G.CONTEXTS_KEPT,
+                  vocabulary: DataFrame | None = None) -> DataFrame:
     """First distinct blocks of the keywords of each text, joined by lines.
 
-    The blocks of a keyword are worked out once per distinct keyword; texts then join
-    them by key.
+    The blocks are worked out once per keyword of the vocabulary, which depends on the
+    graph and not on the texts; texts then join them by key and are read once.
     """
-    exploded = texts.select(ident, F.posexplode(keywords).alias("_k", "keyword"))
-    blocks = keyword_blocks(nodes, edges, exploded.select("keyword").distinct())
+    exploded = unpack(texts, [ident], F.col(keywords), "keyword", "_k", ["keyword"])
+    blocks = keyword_blocks(nodes, edges, keyword_vocabulary(nodes) if vocabulary is None else vocabulary)
     parts = exploded.join(blocks, "keyword")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("_k", "part", "o", "block"))),
                           lambda x: x["block"])
