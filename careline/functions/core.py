@@ -86,7 +86,8 @@ def total(numbers: Sequence[Column]) -> Column:
     return functools.reduce(lambda a, b: a + b, numbers, F.lit(0))
 
 
-def _sql(value: str | bool) -> str:
+def literal(value: str | bool) -> str:
+    """A value as SQL text."""
     if isinstance(value, bool):
         return str(value).lower()
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
@@ -99,13 +100,13 @@ def strings(values: Sequence[str]) -> Column:
     """
     if not values:
         return F.array().cast("array<string>")
-    return F.expr("array(" + ", ".join(_sql(v) for v in values) + ")")
+    return F.expr("array(" + ", ".join(literal(v) for v in values) + ")")
 
 
 def structs(names: Sequence[str], rows: Sequence[Sequence[str | Sequence[str]]]) -> Column:
     """Literal array of structs; a list value becomes a string array."""
     def value(v) -> str:
-        return _sql(v) if isinstance(v, str) else "array(" + ", ".join(_sql(x) for x in v) + ")"
+        return literal(v) if isinstance(v, str) else "array(" + ", ".join(literal(x) for x in v) + ")"
 
     return F.expr("array(" + ", ".join(
         "named_struct(" + ", ".join(f"'{n}', {value(v)}" for n, v in zip(names, r)) + ")"
@@ -115,9 +116,9 @@ def structs(names: Sequence[str], rows: Sequence[Sequence[str | Sequence[str]]])
 def mapping(pairs: Iterable[tuple[str, str | Sequence[str]]]) -> Column:
     """Literal map from strings to strings or string arrays."""
     def value(v) -> str:
-        return _sql(v) if isinstance(v, str) else "array(" + ", ".join(_sql(x) for x in v) + ")"
+        return literal(v) if isinstance(v, str) else "array(" + ", ".join(literal(x) for x in v) + ")"
 
-    return F.expr("map(" + ", ".join(f"{_sql(k)}, {value(v)}" for k, v in pairs) + ")")
+    return F.expr("map(" + ", ".join(f"{literal(k)}, {value(v)}" for k, v in pairs) + ")")
 
 
 def strip(c: Column) -> Column:

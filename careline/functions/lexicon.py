@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from careline.functions.core import (
-    alternation, any_of, col, let, mapping, nz, rx, strings, structs, total,
+    alternation, apply_sql, col, let, literal, mapping, nz, rx, strings, structs, total,
 )
 from careline.functions.spans import pattern_spans
 from careline.rules import medical
@@ -59,7 +59,7 @@ def clinical_terms(text: Column) -> Column:
 
 
 def any_pattern(text: Column, patterns: Sequence[str]) -> Column:
-    return any_of([nz(text).rlike(rx(p)) for p in patterns])
+    return nz(text).rlike(rx("|".join(f"(?:{p})" for p in patterns)))
 
 
 def is_health_related(
@@ -101,12 +101,16 @@ def noun_matches(text: Column | str, nouns=medical.NOUNS) -> Column:
 def compound_matches(text: Column | str, patterns=medical.COMPOUNDS) -> Column:
     """First match of every compound pattern. Each pattern is a literal, so it is
     compiled once per task and not per row."""
-    t = nz(text)
-    return F.array_compact(F.array(*[
-        F.when(t.rlike(rx(p)), _entity(
-            F.regexp_extract(t, rx(p), 0), F.lit(d), F.lit(c), F.lit("COMPOUND"),
-            F.length(F.get(F.split(t, rx(p), 2), F.lit(0))), 0.95, "pattern"))
-        for p, c, d in patterns]))
+    def one(p: str, category: str, lemma: str) -> str:
+        p, start = literal(rx(p)), f"length(split(x_, {literal(rx(p))}, 2)[0])"
+        found = f"regexp_extract(x_, {p}, 0)"
+        return (
+            f"if(x_ rlike {p}, named_struct('text', {found}, 'lemma', {literal(lemma)}, 'category', "
+            f"{literal(category)}, 'pos_tag', 'COMPOUND', 'start', {start}, 'end', {start} + "
+            f"length({found}), 'confidence', 0.95D, 'source', 'pattern'), null)")
+
+    body = "array_compact(array(" + ", ".join(one(*r) for r in patterns) + "))"
+    return apply_sql(nz(text), "x_", body)
 
 
 def tagged_matches(text: Column | str, morphemes: Column | str) -> Column:
@@ -200,9 +204,8 @@ def symptom_scan(text: Column | str) -> Column:
 
 def colloquial_terms(text: Column | str, rules=medical.COLLOQUIAL) -> Column:
     """Medical terms for colloquial wording, in rule order."""
-    t = nz(text)
-    return F.array_distinct(F.array_compact(F.array(*[
-        F.when(t.rlike(rx(p)), F.lit(term)) for p, term in rules])))
+    hits = ", ".join(f"if(x_ rlike {literal(rx(p))}, {literal(term)}, null)" for p, term in rules)
+    return apply_sql(nz(text), "x_", f"array_distinct(array_compact(array({hits})))")
 
 
 # ---- word context -----------------------------------------------------------------
