@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from careline.functions.core import (
-    col, let, mapping, nz, rank_of, rx, strings, strip, total,
+    col, let, mapping, nz, rank_of, rx, strings, strip, structs, total,
 )
 from careline.functions.lexicon import (
     any_keyword, any_pattern, found_terms, keyword_count, keyword_hits,
@@ -98,14 +98,12 @@ def level_shift(text: Column | str, raising=None, lowering=None) -> Column:
                     any_pattern(t, lowering or risk.LOWERING).alias("down"))
 
 
-def adjust_level(base: int, shift: Column) -> Column:
+def adjust_level(base: Column, shift: Column) -> Column:
     """Rank of a base level after the shift; the highest level can only fall."""
-    out = F.when(F.lit(False), 0)
-    if base < len(risk.LEVELS) - 1:
-        out = out.when(shift["up"], base + 1)
-    if base > 0:
-        out = out.when(shift["down"], base - 1)
-    return out.otherwise(base)
+    return (
+        F.when(shift["up"] & (base < len(risk.LEVELS) - 1), base + 1)
+        .when(shift["down"] & (base > 0), base - 1).otherwise(base)
+    )
 
 
 def risk_signals(
@@ -127,24 +125,25 @@ def risk_signals(
                         terms.alias("terms"),
                         level_shift(t, raising, lowering).alias("shift"))
 
-    def one(b: Column, c: dict) -> Column:
-        kws = strings(c["keywords"])
-        direct = F.array_intersect(kws, b["found"])
+    table = structs(
+        ["category", "base", "keywords", "description", "recommendation"],
+        [(c["category"], str(risk.LEVELS.index(c["level"])), c["keywords"], c["description"],
+          c["recommendation"]) for c in categories])
+
+    def one(b: Column, c: Column) -> Column:
         indirect = F.filter(b["terms"], lambda x: F.exists(
-            kws, lambda k: F.contains(F.lower(x), k) | F.contains(k, F.lower(x))))
-        rank = adjust_level(risk.LEVELS.index(c["level"]), b["shift"])
-        return let(F.array_distinct(F.concat(direct, indirect)), lambda hits: F.when(
-            F.size(hits) > 0,
-            F.struct(
-                F.lit(c["category"]).alias("category"),
-                F.get(strings(risk.LEVELS), rank).alias("level"), rank.alias("rank"),
-                hits.alias("trigger_terms"),
-                F.substring(b["text"], 1, risk.CONTEXT_CHARS).alias("context"),
-                F.lit(c["description"]).alias("description"),
-                F.lit(c["recommendation"]).alias("recommendation"))))
+            c["keywords"], lambda k: F.contains(F.lower(x), k) | F.contains(k, F.lower(x))))
+        hits = F.array_distinct(F.concat(F.array_intersect(c["keywords"], b["found"]), indirect))
+        bound = F.struct(hits.alias("h"), adjust_level(c["base"].cast("int"), b["shift"]).alias("r"))
+        return let(bound, lambda x: F.when(F.size(x["h"]) > 0, F.struct(
+            c["category"].alias("category"),
+            F.get(strings(risk.LEVELS), x["r"]).alias("level"), x["r"].alias("rank"),
+            x["h"].alias("trigger_terms"),
+            F.substring(b["text"], 1, risk.CONTEXT_CHARS).alias("context"),
+            c["description"].alias("description"), c["recommendation"].alias("recommendation"))))
 
     return let(let(nz(text), bound), lambda b: F.array_compact(
-        F.array(*[one(b, c) for c in categories])))
+        F.transform(table, lambda c: one(b, c))))
 
 
 def overall_risk(signals: Column) -> Column:
