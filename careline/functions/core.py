@@ -43,7 +43,7 @@ def alternation(terms: Iterable[str]) -> str:
     groups = []
     for i in range(0, len(firsts), width):
         part = firsts[i:i + width]
-        span = f"\\x{{{ord(part[0]):x}}}-\\x{{{ord(part[-1]):x}}}"
+        span = "-".join(c if c.isalnum() else f"\\x{{{ord(c):x}}}" for c in (part[0], part[-1]))
         groups.append(f"(?=[{span}])" + flat([t for t in terms if t[0] in part]))
     return "(?:" + "|".join(groups) + ")"
 

@@ -78,7 +78,7 @@ def deletion_counts(df: DataFrame, doomed: DataFrame, key: str) -> DataFrame:
 def ensure_columns(df: DataFrame, schema: StructType) -> DataFrame:
     """Add the columns of a newer schema that a table does not have yet, as nulls."""
     empty = df.sparkSession.createDataFrame([], schema)
-    return df.unionByName(empty, allowMissingColumns=True)
+    return df.select("*").unionByName(empty, allowMissingColumns=True)
 
 
 def create_if_absent(spark: SparkSession, table: str, schema: StructType) -> bool:

@@ -20,11 +20,11 @@ DIALOGUE_SCHEMA = (
 def read_corpus(spark: SparkSession, directory: str, category: str | None = None,
                 recursive: bool = False, pattern: str = "*.txt") -> DataFrame:
     """Whole text files with path, file stem and category."""
-    reader = spark.read.option("wholetext", True).option("pathGlobFilter", pattern)
+    reader = spark.read.option("pathGlobFilter", pattern)
     if recursive:
         reader = reader.option("recursiveFileLookup", True)
     path = F.col("_metadata.file_path")
-    return reader.text(directory).select(
+    return reader.text(directory, wholetext=True).select(
         path.alias("path"),
         F.regexp_extract(F.url_decode(path), r"([^/]*)\.[^./]*$", 1).alias("source"),
         F.lit(category).alias("category"), F.col("value").alias("content"))
