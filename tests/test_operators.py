@@ -179,12 +179,11 @@ def test_add_columns_and_create_once(spark, tmp_path):
 
     df = U.ensure_columns(spark.range(2), StructType.fromDDL("id bigint, extra string"))
     assert df.columns == ["id", "extra"] and df.filter("extra is null").count() == 2
-    spark.conf.set("spark.sql.warehouse.dir", str(tmp_path))
-    name = "made_once"
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(f"CREATE DATABASE made LOCATION '{tmp_path}/made'")
+    name = "made.once"
     schema = StructType.fromDDL("id bigint")
     assert U.create_if_absent(spark, name, schema) and not U.create_if_absent(spark, name, schema)
-    spark.sql(f"DROP TABLE {name}")
+    spark.sql("DROP DATABASE made CASCADE")
 
 
 def test_level_accuracy_and_preservation(spark):
@@ -215,8 +214,8 @@ def test_csv_export(spark, tmp_path):
     assert FS.export_csv(df.limit(0), str(tmp_path), "conversations", S.HISTORY_FIELDS) is None
     path = FS.export_csv(df, str(tmp_path), "conversations", S.HISTORY_FIELDS, "kim", datetime(2024, 5, 6, 7, 8))
     assert path.endswith("conversations_kim_20240506_0708")
-    text = next(p for p in (tmp_path / "conversations_kim_20240506_0708").glob("part*")).read_bytes()
-    assert text.decode("utf-8").splitlines() == ["﻿id,nickname,role,content", '1,"","","say ""hi"", 네"']
+    parts = [p.read_text(encoding="utf-8").splitlines() for p in (tmp_path / "conversations_kim_20240506_0708").glob("part*")]
+    assert ["\ufeffid,nickname,role,content", '1,"","","say ""hi"", 네"'] in parts
 
 
 def test_refresh_snapshot_and_report(spark, tmp_path):
