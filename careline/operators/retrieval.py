@@ -41,7 +41,7 @@ def _search(batches, q_ids, q_mat, k: int, qid: str, vid: str, vec: str):
         pdf = pdf[pdf[vec].notna()]
         if pdf.empty:
             continue
-        ids = pdf[vid].to_numpy()
+        ids = np.asarray(pdf[vid].tolist())
         scores = np.round(q_mat @ _normal(_matrix(pdf[vec])).T, SCORE_DIGITS)
         for i in range(len(q_ids)):
             s = np.concatenate([best[i][0], scores[i]])
@@ -117,11 +117,12 @@ def score_candidates(vectors: DataFrame, candidates: DataFrame, keep: int = 4,
                      cid: str = "name", vid: str = "vec_id", vec: str = "embedding",
                      max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """For every vector its ``keep`` best candidates (array of id and score, best first)
-    and the number of candidates. The candidates (node names, centroids) are a small set
-    whose size is checked; the vectors are not shuffled."""
+    and the number of candidates. The candidates (node names, centroids) are usually few;
+    then the vectors are not shuffled. Beyond the row bound the search runs in blocks,
+    with the same result."""
     rows = candidates.select(cid, vec).limit(max_rows + 1).collect()
     if len(rows) > max_rows:
-        raise ValueError(f"more than {max_rows} candidates; use top_k with the sides swapped")
+        return _score_in_blocks(vectors, candidates, keep, cid, vid, vec, max_rows)
     ids = np.array([r[0] for r in rows])
     order = np.argsort(ids, kind="stable")
     handle = vectors.sparkSession.sparkContext.broadcast(
@@ -144,6 +145,16 @@ def score_candidates(vectors: DataFrame, candidates: DataFrame, keep: int = 4,
     return vectors.select(vid, vec).filter(F.col(vec).isNotNull()).mapInPandas(scan, schema)
 
 
+def _score_in_blocks(vectors: DataFrame, candidates: DataFrame, keep: int, cid: str, vid: str,
+                     vec: str, max_rows: int) -> DataFrame:
+    ranked = top_k(vectors, candidates, keep, vid, cid, vec, max_rows, max_rows)
+    best = ranked.groupBy(vid).agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("rank", F.col(cid).alias("id"), "score"))),
+        lambda x: F.struct(x["id"], x["score"])).alias("best"))
+    n = candidates.agg(F.count("*").cast("int").alias("n_candidates"))
+    return best.join(F.broadcast(n)).select(vid, "n_candidates", "best")
+
+
 def match_with_gap(scored: DataFrame, k: int = graph_seed.GAP_K,
                    threshold: float = graph_seed.GAP_THRESHOLD,
                    gap: float = graph_seed.GAP_MIN) -> DataFrame:

@@ -99,6 +99,13 @@ def test_gap_rule(spark):
     assert out == {1: ["a"], 2: []}
 
 
+def test_many_candidates(spark, vectors):
+    _, df = vectors
+    names = df.select(F.concat(F.lit("n"), F.lpad(F.col("vec_id").cast("string"), 3, "0")).alias("name"), "embedding")
+    few, many = [V.score_candidates(df, names, max_rows=n) for n in (1000, 30)]
+    assert few.exceptAll(many).count() == 0 and many.count() == 200
+
+
 def test_category_drop_after_ranking(spark, vectors):
     _, df = vectors
     docs = df.select("vec_id", F.lit("t" * 400).alias("text"), F.when(F.col("vec_id") % 2 == 0, "conversations").alias("category"))
