@@ -35,7 +35,9 @@ def top_users(df: DataFrame, user: str, n: int = 10) -> DataFrame:
 
 def distribution(df: DataFrame, value: str, digits: int = 1) -> DataFrame:
     """Count and share of each non-empty value. Shares come from the grouped counts."""
-    counts = df.filter(nz(value) != "").groupBy(value).agg(F.count("*").alias("n"))
+    # The test for empty values is an aggregate: as a filter it would be pushed below the
+    # projection and compute an expensive value (an intent, a risk level) a second time.
+    counts = df.groupBy(value).agg(F.count_if(nz(value) != "").alias("n")).filter("n > 0")
     whole = counts.agg(F.sum("n").alias("_all"))
     return counts.join(F.broadcast(whole)).select(
         value, "n", F.round(F.col("n") / F.col("_all") * 100, digits).alias("percent"))
