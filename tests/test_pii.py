@@ -116,3 +116,13 @@ def test_quality_of_labelled_sentences(spark, detected):
 def test_surface_patterns():
     for stem, form in [("답답하", "답답해서"), ("두렵", "두려워요"), ("슬프", "슬퍼요"), ("어이없", "어이없어")]:
         assert re.fullmatch(pii.surface_pattern(stem), form)
+
+
+def test_health_summary(spark):
+    from careline.functions import classify as C
+
+    df = spark.createDataFrame([("김영수 씨는 혈압이 높고 잠이 안 와요",)], ["t"])
+    s = df.select(P.health_summary("t", P.detect_pii("t"), C.risk_signals("t")).alias("s")).first().s
+    assert s.context_redacted == "[사용자A] 씨는 혈압이 높고 잠이 안 와요"
+    assert (s.risk_level, s.categories, s.symptoms) == ("HIGH", ["chronic_disease", "sleep_disorder"], ["혈압", "잠"])
+    assert (s.pii_removed_count, s.clinical_terms_preserved, len(s.recommendations)) == (1, ["혈압"], 2)
