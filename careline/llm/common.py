@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A table below this many rows of short strings may be broadcast (about 64 MB); beyond it
 #: the join is left to a shuffle.
@@ -63,3 +64,8 @@ def ascii_lower(text: Column) -> Column:
 def filled(c: str) -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(F.col(c), F.lit(""))
+
+
+def widened(df: DataFrame, more: str) -> StructType:
+    """The schema of ``df`` with further columns, given as DDL."""
+    return StructType(df.schema.fields + StructType.fromDDL(more).fields)

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["q_exact", "q_decontaminate"]
+MODULES = ["q_exact", "q_decontaminate", "q_tokens", "q_packing", "q_simhash"]
 
 
 def _all(kind: str) -> dict:
