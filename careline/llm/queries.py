@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["q_exact", "q_decontaminate", "q_tokens", "q_packing", "q_simhash"]
+MODULES = ["q_exact", "q_decontaminate", "q_tokens", "q_packing", "q_simhash", "q_chat", "q_warc"]
 
 
 def _all(kind: str) -> dict:
