@@ -85,6 +85,24 @@ def _starts(chars: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+def distinct(chars: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of spans that follow each other without gaps or not, equal for equal characters, and
+    the place of the first span of each code. Spans are compared by hash, then by character."""
+    first = np.cumsum(length) - length
+    off = np.arange(int(length.sum())) - np.repeat(first, length)
+    inside = chars if len(off) == len(chars) else chars[np.repeat(start, length) + off]
+    for seed in range(1, 9):
+        mixed = (inside + np.uint64(seed)) * multipliers()[(off + 64 * seed) & 8191]
+        hashed = np.add.reduceat(mixed, first) ^ (length.astype(np.uint64) << np.uint64(40))
+        codes, _ = pd.factorize(hashed)
+        rep = np.empty(codes.max() + 1, np.int64)
+        rep[codes[::-1]] = np.arange(len(codes))[::-1]
+        if (length[rep[codes]] == length).all() and np.array_equal(
+                inside[np.repeat(first[rep[codes]], length) + off], inside):
+            return codes, rep
+    raise RuntimeError("unequal spans share every hash")
+
+
 @dataclass
 class Block:
     """Pre-tokens of some texts. ``codes`` has one number per pre-token, ``words`` the
@@ -110,18 +128,7 @@ def pre_tokens(parts: list[tuple[int, str]]) -> Block:
             inside[first[i] + 1:first[i] + sizes[i]] = True
         start = start[~inside[start]]
     length = np.diff(start, append=len(chars))
-    off = np.arange(len(chars)) - np.repeat(start, length)
-    for seed in range(1, 9):
-        mixed = (chars + np.uint64(seed)) * multipliers()[(off + 64 * seed) & 8191]
-        hashed = np.add.reduceat(mixed, start) ^ (length.astype(np.uint64) << np.uint64(40))
-        codes, _ = pd.factorize(hashed)
-        rep = np.empty(codes.max() + 1, np.int64)
-        rep[codes[::-1]] = np.arange(len(codes))[::-1]
-        same = length[rep[codes]] == length
-        if same.all() and np.array_equal(chars[np.repeat(start[rep[codes]], length) + off], chars):
-            break
-    else:
-        raise RuntimeError("unequal pre-tokens share every hash")
+    codes, rep = distinct(chars, start, length)
     words = [joined[a:b] for a, b in zip(start[rep].tolist(), (start + length)[rep].tolist())]
     which = np.searchsorted(first, start, "right") - 1
     return Block(words, codes, np.array([i for i, _ in parts])[which])

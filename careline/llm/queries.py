@@ -2,7 +2,8 @@
 
 from importlib import import_module
 
-MODULES = ["q_exact", "q_decontaminate", "q_tokens", "q_packing", "q_simhash", "q_chat", "q_warc"]
+MODULES = ["q_decontaminate", "q_langid", "q_simhash", "q_exact", "q_packing", "q_quality", "q_warc", "q_tokens",
+           "q_extract", "q_chat"]
 
 
 def _all(kind: str) -> dict:
