@@ -5,9 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 #: A table below this many rows of short strings may be broadcast (about 64 MB); beyond it
@@ -69,3 +72,42 @@ def filled(c: str) -> Column:
 def widened(df: DataFrame, more: str) -> StructType:
     """The schema of ``df`` with further columns, given as DDL."""
     return StructType(df.schema.fields + StructType.fromDDL(more).fields)
+
+
+def appended(df: DataFrame, source: str, more: str, make: Callable[[list], Sequence],
+             keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (by default all) and further ones (``more``, as DDL) that ``make`` works out
+    from the values of the column ``source`` of a batch. Further columns replace those of their names.
+
+    Arrow batches pass through Python once; nothing is shuffled.
+    """
+    new = [f.name for f in StructType.fromDDL(more).fields]
+    kept = [c for c in (df.columns if keep is None else keep) if c not in new]
+    schema = widened(df.select(kept), more)
+    types = [to_arrow_type(f.dataType) for f in schema.fields[len(kept):]]
+    columns = [F.col(f"`{c}`") for c in kept]
+    if source in kept:
+        at = kept.index(source)
+    else:
+        at = len(kept)
+        columns.append(F.col(f"`{source}`").alias("_source"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = make(batch.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:len(kept)], *(pa.array(v, t) for v, t in zip(made, types))], names=schema.names)
+
+    return df.select(columns).mapInArrow(run, schema)
+
+
+def only(docs: DataFrame, id_col: str, digest: Column, stays: DataFrame, stays_id: str, stays_digest: str) -> DataFrame:
+    """The rows of ``docs`` whose id and digest are in ``stays``, each pair once, with their columns. The
+    row travels as one value, so its column names do not matter."""
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("row_id"), digest.alias("row_digest"))
+    kept = rows.join(stays, rows["row_id"].eqNullSafe(stays[stays_id])
+                     & (rows["row_digest"] == stays[stays_digest]), "left_semi")
+    pairs = docs.select(F.col(id_col).alias("row_id"), digest.alias("row_digest"))
+    if pairs.groupBy("row_id", "row_digest").count().filter("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["row_id", "row_digest"])
+    return kept.select("row.*")

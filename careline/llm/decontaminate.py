@@ -142,6 +142,8 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
                       text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with their columns."""
     bad = written(contamination(docs, items, id_col, text_col).filter("contaminated")
-                  .select(F.col("id").alias("_id"), F.col("th").alias("_th")).distinct(), "contaminated")
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("_id"))
-                     & (F.xxhash64(filled(text_col)) == F.col("_th")), "left_anti")
+                  .select("id", "th").distinct(), "contaminated")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("row_id"),
+                       F.xxhash64(filled(text_col)).alias("row_th"))
+    return rows.join(bad, rows["row_id"].eqNullSafe(bad["id"]) & (rows["row_th"] == bad["th"]),
+                     "left_anti").select("row.*")

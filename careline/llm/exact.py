@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from careline.llm.common import filled, written
+from careline.llm.common import filled, only, written
 
 #: Bits of a key that the directory uses; it has at most 2**BITS = 65,536 cells, which is
 #: the bound of the broadcast directory.
@@ -132,12 +132,4 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns: one of each group of equal texts."""
     index = build_index(docs, id_col, text_col)
-    names = docs.columns
-    marked = docs.withColumn("_key", sha256_key(filled(text_col)))
-    best = index.select(F.col("key").alias("_key"), F.col("keep_id").alias("_keep"))
-    kept = marked.join(best, (marked["_key"] == best["_key"])
-                       & marked[id_col].eqNullSafe(best["_keep"]), "left_semi")
-    twice = kept.groupBy("_key").count().filter("count > 1")
-    if twice.limit(1).count():  # repeated rows of the id that stays
-        return kept.dropDuplicates(["_key"]).select(*[F.col(f"`{c}`") for c in names])
-    return kept.drop("_key")
+    return only(docs, id_col, sha256_key(filled(text_col)), index, "keep_id", "key")

@@ -19,14 +19,11 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from careline.llm.common import widened
+from careline.llm.common import appended
 
 #: Share of characters in links above which a block is boilerplate.
 LINKS = 0.4
@@ -255,13 +252,4 @@ def with_main_text(pages: DataFrame, html_col: str = "html", keep: list[str] | N
                    name: str = "text") -> DataFrame:
     """The columns ``keep`` (by default all) with the main text, which replaces a column of that
     name."""
-    kept = [c for c in (pages.columns if keep is None else keep) if c != name]
-    schema = widened(pages.select(kept), f"`{name}` string")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [main_text(v.as_py()) for v in batch.column(len(kept))]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:len(kept)], pa.array(texts, pa.string())], names=schema.names)
-
-    return pages.select(*kept, F.col(html_col).alias("_read")).mapInArrow(run, schema)
+    return appended(pages, html_col, f"`{name}` string", lambda found: [[main_text(v) for v in found]], keep)

@@ -25,15 +25,13 @@ predicted each; other columns play no part.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from careline.llm.common import widened
+from careline.llm.common import appended
 from careline.llm.pretokens import LETTER, blocks, classes, distinct, multipliers
 from careline.llm.splits import held_out, sampled
 
@@ -257,16 +255,18 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return train([(r["text"], r["lang"]) for r in some.collect()])
 
 
-def with_language(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (by default all) with lang_pred and score, which replace columns of
-    those names."""
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
-    schema = widened(docs.select(kept), "lang_pred string, score double")
+def with_language(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None,
+                  names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``keep`` (by default all) with the language and its score, named by ``names``; they
+    replace columns of those names."""
+    return appended(docs, text_col, f"`{names[0]}` string, `{names[1]}` double",
+                    lambda texts: label(texts, model), keep)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs, score = label(batch.column(len(kept)).to_pylist(), model)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:len(kept)], pa.array(langs, pa.string()), pa.array(score)], names=schema.names)
 
-    return docs.select(*kept, F.col(text_col).alias("_read")).mapInArrow(run, schema)
+def with_known_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that a language can be given, with their columns."""
+    free = "_"
+    while any(c.startswith(free) for c in docs.columns):
+        free += "_"
+    found = with_language(docs, model, text_col, names=(f"{free}lang", f"{free}score"))
+    return found.filter(F.col(f"{free}lang") != UNKNOWN).select([F.col(f"`{c}`") for c in docs.columns])

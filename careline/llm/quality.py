@@ -18,15 +18,13 @@ with each; repeated rows are scored each; other columns play no part.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from careline.llm.common import widened
+from careline.llm.common import appended
 from careline.llm.splits import held_out, sampled
 
 PER_LABEL, ROW_BYTES = 900, 12_000
@@ -200,12 +198,4 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def with_quality(docs: DataFrame, net: Network, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (by default all) with score, which replaces a column of that name."""
-    kept = [c for c in (docs.columns if keep is None else keep) if c != "score"]
-    schema = widened(docs.select(kept), "score double")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = score(net, batch.column(len(kept)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:len(kept)], pa.array(found)], names=schema.names)
-
-    return docs.select(*kept, F.col(text_col).alias("_read")).mapInArrow(run, schema)
+    return appended(docs, text_col, "score double", lambda texts: [score(net, texts)], keep)

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from careline.llm.common import widened, written
+from careline.llm.common import appended, filled, only, written
 
 RADIUS = 2
 SHINGLE = 3
@@ -64,15 +64,10 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and fp of every row."""
-    schema = widened(docs.select(F.col(id_col).alias("id")), "fp bigint")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp = [fingerprint(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], names=schema.names)
-
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    """id, th (hash of the text) and fp of every row."""
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(filled(text_col)).alias("th"),
+                       F.col(text_col).alias("text"))
+    return appended(rows, "text", "fp bigint", lambda texts: [[fingerprint(t) for t in texts]], ["id", "th"])
 
 
 # ---- comparison in bit slices ----------------------------------------------------------
@@ -223,7 +218,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     radius: int = RADIUS) -> DataFrame:
-    """id, fp, component_id (the smallest id reachable) of every row."""
+    """id, th (hash of the text), fp, root (a fingerprint that names the component) and component_id (the
+    smallest id in it) of every row."""
     if not 0 <= radius <= 2:
         raise ValueError("four blocks find up to two differing bits")
     rows = written(fingerprints(docs, id_col, text_col), "fingerprints")
@@ -232,13 +228,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labelled = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root"))
     least = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = labelled.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("id", "fp", "component_id")
+    named = labelled.join(least, "root").select("fp", "root", "component_id")
+    return rows.join(named, "fp").select("id", "th", "fp", "root", "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns: of each component the smallest id."""
+    """The rows of ``docs`` that stay, with their columns: of each component the one with the smallest
+    id (null ids last)."""
     found = near_duplicates(docs, id_col, text_col)
-    dropped = written(found.filter(~F.col("id").eqNullSafe(F.col("component_id")))
-                      .select(F.col("id").alias("_id")).distinct(), "dropped")
-    return docs.join(dropped, docs[id_col].eqNullSafe(F.col("_id")), "left_anti")
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("best")
+    stays = written(found.groupBy("root").agg(best).select(
+        F.col("best.id").alias("stays_id"), F.col("best.th").alias("stays_th")), "stays")
+    return only(docs, id_col, F.xxhash64(filled(text_col)), stays, "stays_id", "stays_th")

@@ -16,14 +16,10 @@ starts; repeated rows and other columns stay as they are.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from careline.llm.common import widened
+from careline.llm.common import appended
 from careline.llm.pretokens import blocks, pieces, pre_tokens
 
 
@@ -42,15 +38,5 @@ def token_counts(docs: DataFrame, ranks_file: str, json_file: str, text_col: str
                  keep: list[str] | None = None, name: str = "n_tokens") -> DataFrame:
     """The columns ``keep`` (by default all) and the token count as ``name``, which replaces a
     column of that name. The vocabulary files are at the same paths on every executor."""
-    kept = [c for c in (docs.columns if keep is None else keep) if c != name]
-    schema = widened(docs.select(kept), f"`{name}` bigint")
-    # the text travels to Python once more than it is kept
-    source = docs.select(*kept, F.col(text_col).alias("_counted"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = count_tokens(batch.column(len(kept)).to_pylist(), ranks_file, json_file)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:len(kept)], pa.array(n, pa.int64())], names=schema.names)
-
-    return source.mapInArrow(count, schema)
+    return appended(docs, text_col, f"`{name}` bigint",
+                    lambda texts: [count_tokens(texts, ranks_file, json_file)], keep)
