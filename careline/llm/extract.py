@@ -6,7 +6,8 @@ or comments are boilerplate, and so are blocks that are mostly links; long block
 words are text; other blocks inside an article element are text unless they are short. What
 is left, short or sparse blocks, is ambiguous. Pass two gives an ambiguous block the label of
 the nearest decided blocks in its own container (article, section), and in the whole page if
-that has none: both alike, or the nearer one; at equal distance, text.
+that has none: both alike, or the nearer one; at equal distance, text. A page without any text
+by these rules has its ambiguous blocks as text.
 
 Each page is one value and is read in one pass of a tag expression; nothing is shuffled.
 
@@ -96,17 +97,17 @@ def _attributes(rest: str) -> dict[str, str]:
     return found
 
 
-def _marked(rest: str) -> bool:
-    """Whether attributes say that an element is no main text."""
+def _marked(rest: str) -> tuple[bool, bool]:
+    """Whether attributes say that an element is not seen, and that it is no main text."""
     if "=" not in rest and "hidden" not in rest.lower():
-        return False
+        return False, False
     a = _attributes(rest)
     if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or HIDDEN_STYLE.search(a.get("style", "")):
-        return True
+        return True, True
     if a.get("role", "").lower() in ROLES:
-        return True
+        return False, True
     names = re.split(r"[^a-zA-Z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", f"{a.get('class', '')} {a.get('id', '')}"))
-    return any(n.lower() in MARKS for n in names)
+    return False, any(n.lower() in MARKS for n in names)
 
 
 def cut(page: str) -> list[Block]:
@@ -174,12 +175,12 @@ def cut(page: str) -> list[Block]:
         if name in VOID or rest.endswith("/"):
             continue
         _, aside, marked, article, place = state[-1]
-        odd = name not in ("body", "html") and name not in ARTICLES and _marked(rest)
+        unseen, odd = (False, False) if name in ("body", "html") or name in ARTICLES else _marked(rest)
         if name in BLOCKS and name not in ("p", "li", "hr") or odd:
             if name in CONTAINERS:
                 places += 1
                 place = places
-            state.append((name, aside or name in ASIDES or name == "header" and not article,
+            state.append((name, aside or unseen or name in ASIDES or name == "header" and not article,
                           marked or odd, article or name in ARTICLES, place))
     flush()
     return blocks
@@ -243,8 +244,10 @@ def main_text(page: str | None) -> str:
     """Text blocks of a page, joined by line ends."""
     blocks = cut(page or "")
     keep = labels(blocks)
-    if not any(keep) and any(b.marked for b in blocks):
-        keep = labels(blocks, names=False)  # the whole page stands in a marked element
+    if not any(keep):  # nothing but ambiguous blocks
+        keep = [_decided(b, True) is None for b in blocks]
+    if not any(keep):  # the whole page stands in a marked element
+        keep = labels(blocks, names=False)
     return "\n".join(b.text for b, k in zip(blocks, keep) if k)
 
 

@@ -79,7 +79,7 @@ def best_cuts(places: np.ndarray, penalty: np.ndarray, length: int = LENGTH) ->
     exact = []
     for p in POWERS:
         found = np.searchsorted(at, at - p)
-        exact.append(np.where((at >= p) & (at[found] == at - p), found, -1).tolist())
+        exact.append(np.where((p <= length) & (at >= p) & (at[found] == at - p), found, -1).tolist())
     pos, pen = at.tolist(), [0, *(penalty + SEQUENCE).tolist()]
     e0, e1, e2 = exact
     m = len(pos)

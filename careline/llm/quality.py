@@ -63,11 +63,11 @@ def steps_of(size: np.ndarray) -> np.ndarray:
 
 
 def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Texts one after another, each filled with zero bytes to whole half chunks, then WIDTH - 1
-    more; and the half chunks of each."""
+    """Texts one after another, each filled with zero bytes to whole half chunks and one more, which keeps
+    filters from seeing the next text, then WIDTH - 1 more; and the half chunks of each text."""
     half = CHUNK // 2
     steps = steps_of(np.array([len(t) for t in texts]))
-    data = b"".join(t.ljust(int(s) * half, b"\0") for t, s in zip(texts, steps))
+    data = b"".join(t.ljust(int(s + 1) * half, b"\0") for t, s in zip(texts, steps))
     return np.frombuffer(data + b"\0" * (WIDTH - 1), np.uint8), steps
 
 
@@ -90,7 +90,7 @@ def half_maxima(net: Network, data: np.ndarray) -> np.ndarray:
 def chunk_rows(steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First half chunk of every chunk, and its text."""
     of = np.repeat(np.arange(len(steps)), steps - 1)
-    first = np.cumsum(steps) - steps
+    first = np.cumsum(steps + 1) - (steps + 1)
     inside = np.arange(len(of)) - np.repeat(np.cumsum(steps - 1) - (steps - 1), steps - 1)
     return first[of] + inside, of
 
