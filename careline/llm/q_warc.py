@@ -8,7 +8,7 @@ from careline.llm.common import read, scratch
 
 def op7_warc(spark, sf_dir):
     path = scratch(spark, "archives")
-    warc.write_archives(read(spark, sf_dir, "pages"), path)
+    warc.write_archives(read(spark, sf_dir, "pages"), path, compression="gzip")
     return warc.resolved(warc.read_archives(spark, path)).select(
         F.col("id").alias("page_id"), F.col("payload_bytes").cast("bigint").alias("payload_bytes"), "payload_digest",
         F.col("kind").alias("record_type"), "refers_to")

@@ -15,7 +15,7 @@ put together from its segments.
 
 Records without a payload of their own (revisits) name the record whose payload they repeat.
 
-Only DataFrame operations are used. Payloads move once when written; when read, only
+Only DataFrame operations are used. A compressed file is one range. Payloads move once when written; when read, only
 payloads that hold a magic move.
 
 Defined cases: a null payload is empty; of equal payloads the smallest id is the response; of
@@ -36,7 +36,7 @@ CLOSE = "\r\n\r\n"
 # fixed values: the alphabets of digits in base 32, as counted and as written (RFC 4648)
 COUNTED, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: No more records than this in a file.
-FILE_RECORDS = 50_000
+FILE_RECORDS = 20_000
 
 
 def base32_sha1(data: Column) -> Column:
@@ -47,9 +47,10 @@ def base32_sha1(data: Column) -> Column:
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url",
-                   payload_col: str = "html", least_bytes: int = 0) -> None:
+                   payload_col: str = "html", least_bytes: int = 0, compression: str | None = None) -> None:
     """A record per row under ``path``. Rows whose payload, of at least ``least_bytes``, equals
-    that of a row with a smaller id are revisits of it."""
+    that of a row with a smaller id are revisits of it. With ``compression`` ("gzip") files are
+    compressed as a whole; then a file is read by one task, and without it by one per range."""
     payload = filled(payload_col)
     rows = pages.select(
         F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"),
@@ -79,7 +80,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         line("Content-Length", F.when(revisit, F.lit(0)).otherwise(F.col("n")).cast("string")), F.lit("\r\n"))
     body = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
     (met.select(F.concat(head, body).alias("value")).write
-     .option("lineSep", CLOSE).option("maxRecordsPerFile", FILE_RECORDS).text(path))
+     .option("lineSep", CLOSE).option("maxRecordsPerFile", FILE_RECORDS)
+     .option("compression", compression or "none").text(path))
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -146,7 +148,7 @@ def reachable(nodes: DataFrame) -> DataFrame:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """file, at (offset), kind, id, url, refers_to, declared (digest in the header), content_n and
-    digest (of the payload itself, null if that is empty) of every record of uncompressed archives."""
+    digest (of the payload itself, null if that is empty) of every record; offsets are those of the uncompressed file."""
     rows = written(_placed(_parsed(_lines(spark, path))), "segments").filter("at >= 0")
     rows = rows.withColumn("next", F.col("at") + len(MAGIC) + F.col("size"))
     order = Window.partitionBy("file").orderBy("at")

@@ -42,8 +42,8 @@ def expected(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("split", [None, 3000, 40_000])
-def test_round_trip_with_magics_in_payloads(spark, tmp_path, split):
+@pytest.mark.parametrize("split, compression", [(None, None), (3000, None), (40_000, None), (3000, "gzip")])
+def test_round_trip_with_magics_in_payloads(spark, tmp_path, split, compression):
     df = spark.createDataFrame([(*r, 0, "", 0) for r in PAGES], SCHEMA)
     path = str(tmp_path / "a")
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
@@ -52,7 +52,7 @@ def test_round_trip_with_magics_in_payloads(spark, tmp_path, split):
         if split:
             spark.conf.set("spark.sql.files.maxPartitionBytes", split)
             spark.conf.set("spark.sql.files.openCostInBytes", 0)
-        warc.write_archives(df.coalesce(1), path)
+        warc.write_archives(df.coalesce(1), path, compression=compression)
         found = warc.resolved(warc.read_archives(spark, path)).collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
