@@ -61,7 +61,11 @@ def over_frame(
 
 
 def _carry(totals: DataFrame, keys: Sequence[str], exprs: dict[str, str]) -> DataFrame:
-    """Value of all earlier segments, for every segment that has one."""
+    """Value of all earlier segments, for every segment that has one.
+
+    A row here is a whole segment. Where values are so sparse that a segment holds few rows, a key
+    of n rows has n segments at most, of two numbers each.
+    """
     earlier = (
         Window.partitionBy(*[F.col(k) for k in keys]).orderBy("_seg")
         .rowsBetween(Window.unboundedPreceding, -1)

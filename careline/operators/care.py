@@ -156,11 +156,13 @@ def symptom_history(symptoms: DataFrame, moods: DataFrame, last: int = 50,
                     days: int | None = None, until: Column | None = None,
                     user: str = "nickname") -> DataFrame:
     """Symptom rows, then mood rows of each user, the last ``last`` of them in that order;
-    with ``days`` only recent ones. The row limit is pushed below the exchange."""
+    with ``days`` only recent ones. Rows of one time are ordered by their other columns, so the cut is
+    repeatable. The row limit is pushed below the exchange."""
     both = symptoms.withColumn("_part", F.lit(0)).unionByName(
         moods.withColumn("_part", F.lit(1)), allowMissingColumns=True)
     if days is not None:
         both = both.filter(F.col("timestamp") > until - F.expr(f"INTERVAL {days} DAYS"))
-    w = Window.partitionBy(user).orderBy(F.col("_part").desc(), F.col("timestamp").desc())
+    ties = [F.col(c).desc() for c in sorted(both.columns) if c not in (user, "_part", "timestamp")]
+    w = Window.partitionBy(user).orderBy(F.col("_part").desc(), F.col("timestamp").desc(), *ties)
     return both.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= last).drop(
         "_r", "_part")

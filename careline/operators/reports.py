@@ -234,18 +234,22 @@ def by_criterion(trials: DataFrame, base: str, other: str, digits: int = 6) -> D
 
 def latency_stats(df: DataFrame, keys: Sequence[str], value: str,
                   percentiles: Sequence[int] = (50, 95), digits: int = 6,
-                  buckets: int = 64) -> DataFrame:
+                  buckets: int | None = None, bucket_rows: int = 65_536) -> DataFrame:
     """Count, nearest-rank percentiles, maximum and mean per group, exact.
 
     The rank is ``p (n - 1) / 100`` rounded half to even. Equal values are counted first;
     the counts then run up inside value ranges of about equal size, so a group of any
-    size is spread over tasks.
+    size is spread over tasks. There are as many ranges as the largest group, which is counted
+    first, has times ``bucket_rows``.
     """
     rows = df.filter(F.col(value).isNotNull())
+    if buckets is None:
+        largest = rows.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        buckets = max(2, -(-largest // bucket_rows))
     edges = [i / buckets for i in range(1, buckets)]
     base = rows.groupBy(*keys).agg(
         F.count("*").alias("n"), F.max(value).alias("max"), F.avg(value).alias("avg"),
-        F.percentile_approx(value, edges, 1000).alias("_edges"))
+        F.percentile_approx(value, edges, max(1000, 10 * buckets)).alias("_edges"))
     counted = rows.groupBy(*keys, value).agg(F.count("*").alias("_c"))
     placed = counted.join(base.select(*keys, "n", "_edges"), list(keys)).withColumn(
         "_b", F.size(F.filter("_edges", lambda e: e < F.col(value))).cast("long")).drop("_edges")

@@ -1,8 +1,8 @@
-"""Vector search, exact and in blocks.
+"""Vector search, exact and in tiles.
 
-Scores come from matrix products inside Arrow batches. The side that is shipped to every
-task is fetched only up to a row bound; beyond the bound the work is done in blocks of
-both sides. No join enumerates pairs of rows, and each task emits only its best ``k``.
+Scores come from matrix products of a tile of queries with a tile of vectors. Both sides are
+tiled at every size, no side is collected, and each pair of tiles gives only its best ``k``
+per query.
 """
 
 from __future__ import annotations
@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from careline.functions.core import nz
 from careline.rules import graph_seed, intents
 
-BROADCAST_ROWS = 20_000
 SCORE_DIGITS = 6
+#: Rows of a tile on either side, and values of a score matrix that a task holds at a time.
+TILE_ROWS, TILE_VALUES = 4_096, 1 << 21
 
 
 def _matrix(values) -> np.ndarray:
@@ -29,130 +30,97 @@ def _normal(m: np.ndarray) -> np.ndarray:
     return m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-10)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k best scores, ties by id."""
-    return np.lexsort((ids, -scores))[:k]
-
-
-def _search(batches, q_ids, q_mat, k: int, qid: str, vid: str, vec: str):
-    """Best k of the batches for each query; keeps k candidates per query."""
-    best = [(np.empty(0), np.empty(0, dtype=np.int64)) for _ in q_ids]
-    for pdf in batches:
-        pdf = pdf[pdf[vec].notna()]
-        if pdf.empty:
-            continue
-        ids = np.asarray(pdf[vid].tolist())
-        scores = np.round(q_mat @ _normal(_matrix(pdf[vec])).T, SCORE_DIGITS)
-        for i in range(len(q_ids)):
-            s = np.concatenate([best[i][0], scores[i]])
-            v = np.concatenate([best[i][1], ids])
-            top = _best(s, v, k)
-            best[i] = (s[top], v[top])
-    rows = [(q, v, s) for q, (ss, vs) in zip(q_ids, best) for s, v in zip(ss, vs)]
-    return pd.DataFrame(rows, columns=[qid, vid, "score"])
-
-
-def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, qid: str = "query_id",
-          vid: str = "vec_id", vec: str = "embedding", max_rows: int = BROADCAST_ROWS,
-          block_rows: int = 50_000) -> DataFrame:
-    """The k most similar vectors of every query by cosine, with rank from 1.
-
-    Scores are rounded before ranking and ties go to the smaller id, so the result does
-    not depend on how the data is split. ``distance`` is ``1 - score``.
+def _best_of(q_ids: np.ndarray, q_mat: np.ndarray, v_ids: np.ndarray, v_mat: np.ndarray, k: int):
+    """For each query (rows) the k best vectors: query ids, vector ids and scores, best first,
+    ties by the smaller vector id. Scores are worked out for some queries at a time."""
+    order = np.argsort(v_ids, kind="stable")
+    v_ids, v_mat = v_ids[order], v_mat[order]
+    step, k = max(1, TILE_VALUES // len(v_ids)), min(k, len(v_ids))
+    for a in range(0, len(q_ids), step):
+        scores = np.round(q_mat[a:a + step] @ v_mat.T, SCORE_DIGITS)
+        if k < len(v_ids):
+            # all that reach the k-th best score, so that ties at the cut are decided by id
+            least = np.partition(scores, len(v_ids) - k, axis=1)[:, len(v_ids) - k]
+            row, col = np.nonzero(scores >= least[:, None])
+        else:
+            row, col = np.nonzero(np.ones_like(scores, bool))
+        found = scores[row, col]
+        best = np.lexsort((col, -found, row))
+        row, col, found = row[best], col[best], found[best]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        kept = rank < k
+        yield q_ids[a:a + step][row[kept]], v_ids[col[kept]], found[kept]
+
+
+def top_k(queries: DataFrame, vectors: DataFrame, k: int | None = 5, qid: str = "query_id",
+          vid: str = "vec_id", vec: str = "embedding", tile_rows: int = TILE_ROWS) -> DataFrame:
+    """The k most similar vectors of every query by cosine, with rank from 1; all with k None.
+
+    Both sides are cut into tiles of about ``tile_rows`` by a hash of the id, and a group is a tile of
+    queries with a tile of vectors, so a task holds two tiles whatever the sizes are. A group
+    gives its best k per query, and the best of those are the result. Scores are rounded
+    before ranking and ties go to the smaller id, so the result does not depend on the
+    tiles. ``distance`` is ``1 - score``. Rows without an id or a vector take no part.
     """
-    q = queries.select(qid, vec).filter(F.col(vec).isNotNull())
-    v = vectors.select(vid, vec)
+    q, v = _with_vectors(queries, qid, vec), _with_vectors(vectors, vid, vec)
     schema = f"{qid} {_type(q, qid)}, {vid} {_type(v, vid)}, score double"
-    shipped = q.limit(max_rows + 1).collect()
-    if not shipped:
-        found = v.sparkSession.createDataFrame([], schema)
-    elif len(shipped) <= max_rows:
-        q_ids = [r[0] for r in shipped]
-        q_mat = _normal(_matrix([r[1] for r in shipped]))
-        handle = v.sparkSession.sparkContext.broadcast((q_ids, q_mat))
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, mat = handle.value
-            yield _search(batches, ids, mat, k, qid, vid, vec)
-
-        found = v.mapInPandas(scan, schema)
-    else:
-        found = _top_k_blocks(q, v, k, qid, vid, vec, schema, max_rows, block_rows)
-    w = Window.partitionBy(qid).orderBy(F.col("score").desc(), vid)
-    return (
-        found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-        .withColumn("distance", F.round(1 - F.col("score"), SCORE_DIGITS))
-    )
 
+    def tiled(df: DataFrame, ident: str, own: str, other: str, n: Column, m: Column) -> DataFrame:
+        """Rows with their tile, copied to every tile of the other side."""
+        return df.join(F.broadcast(counts)).withColumn(own, F.pmod(F.xxhash64(ident), n)).withColumn(
+            other, F.explode(F.sequence(F.lit(0).cast("bigint"), m - 1))).select(
+            *[F.col(c).alias(c) for c in (ident, vec, own, other)])  # names of their own, as sides may be one table
 
-def _type(df: DataFrame, name: str) -> str:
-    return df.schema[name].dataType.simpleString()
+    tiles = (lambda c: F.greatest(F.ceil(F.count(c) / tile_rows), F.lit(1)).cast("bigint"))
+    counts = q.agg(tiles(qid).alias("_nq")).join(F.broadcast(v.agg(tiles(vid).alias("_nv"))))  # one row
+    qs = tiled(q, qid, "_qb", "_vb", F.col("_nq"), F.col("_nv"))
+    vs = tiled(v, vid, "_vb", "_qb", F.col("_nv"), F.col("_nq"))
 
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame(columns=[qid, vid, "score"])
+        parts = list(_best_of(left[qid].to_numpy(), _normal(_matrix(left[vec])), right[vid].to_numpy(),
+                              _normal(_matrix(right[vec])), k or len(right)))
+        return pd.DataFrame({qid: np.concatenate([p[0] for p in parts]),
+                             vid: np.concatenate([p[1] for p in parts]),
+                             "score": np.concatenate([p[2] for p in parts])})
 
-def _top_k_blocks(q: DataFrame, v: DataFrame, k: int, qid: str, vid: str, vec: str,
-                  schema: str, q_rows: int, v_rows: int) -> DataFrame:
-    """Many queries: every block of queries meets every block of vectors in a bounded
-    group, and each group gives k candidates per query."""
-    def blocks(df: DataFrame, rows: int) -> int:
-        return max(1, -(-df.count() // rows))
+    found = qs.groupBy("_qb", "_vb").cogroup(vs.groupBy("_qb", "_vb")).applyInPandas(meet, schema)
+    w = Window.partitionBy(qid).orderBy(F.col("score").desc(), vid)
+    ranked = found.withColumn("rank", F.row_number().over(w))
+    return (ranked if k is None else ranked.filter(F.col("rank") <= k)).withColumn(
+        "distance", F.round(1 - F.col("score"), SCORE_DIGITS))
 
-    nq, nv = blocks(q, q_rows), blocks(v, v_rows)
 
-    def spread(df: DataFrame, ident: str, own: str, n_own: int, other: str, n_other: int):
-        return df.withColumn(own, F.pmod(F.xxhash64(ident), F.lit(n_own))).withColumn(
-            other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)).cast("array<bigint>")))
+def _with_vectors(df: DataFrame, ident: str, vec: str) -> DataFrame:
+    return df.select(ident, vec).filter(F.col(ident).isNotNull() & F.col(vec).isNotNull())
 
-    qs = spread(q, qid, "_qb", nq, "_vb", nv)
-    vs = spread(v, vid, "_vb", nv, "_qb", nq)
 
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame(columns=[qid, vid, "score"])
-        return _search([right], left[qid].tolist(), _normal(_matrix(left[vec])), k, qid, vid, vec)
+def _type(df: DataFrame, name: str) -> str:
+    return df.schema[name].dataType.simpleString()
+
 
-    return qs.groupBy("_qb", "_vb").cogroup(vs.groupBy("_qb", "_vb")).applyInPandas(meet, schema)
+def cosine_pairs(queries: DataFrame, vectors: DataFrame, qid: str = "query_id",
+                 vid: str = "vec_id", vec: str = "embedding", tile_rows: int = TILE_ROWS) -> DataFrame:
+    """The score of every query with every vector. The result is the full matrix by definition; it
+    is made tile by tile."""
+    return top_k(queries, vectors, None, qid, vid, vec, tile_rows).select(qid, vid, "score")
 
 
 def score_candidates(vectors: DataFrame, candidates: DataFrame, keep: int = 4,
                      cid: str = "name", vid: str = "vec_id", vec: str = "embedding",
-                     max_rows: int = BROADCAST_ROWS) -> DataFrame:
+                     tile_rows: int = TILE_ROWS) -> DataFrame:
     """For every vector its ``keep`` best candidates (array of id and score, best first)
-    and the number of candidates. The candidates (node names, centroids) are usually few;
-    then the vectors are not shuffled. Beyond the row bound the search runs in blocks,
-    with the same result."""
-    rows = candidates.select(cid, vec).limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return _score_in_blocks(vectors, candidates, keep, cid, vid, vec, max_rows)
-    ids = np.array([r[0] for r in rows])
-    order = np.argsort(ids, kind="stable")
-    handle = vectors.sparkSession.sparkContext.broadcast(
-        (ids[order], _normal(_matrix([r[1] for r in rows]))[order] if rows else None))
-    schema = (f"{vid} {_type(vectors, vid)}, n_candidates int, "
-              f"best array<struct<id:{_type(candidates, cid)},score:double>>")
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, mat = handle.value
-        for pdf in batches:
-            if mat is None or pdf.empty:
-                best = [[] for _ in range(len(pdf))]
-            else:
-                scores = np.round(_normal(_matrix(pdf[vec])) @ mat.T, SCORE_DIGITS)
-                top = np.argsort(-scores, axis=1, kind="stable")[:, :keep]
-                best = [[{"id": names[j].item(), "score": float(s[j])} for j in t]
-                        for s, t in zip(scores, top)]
-            yield pd.DataFrame({vid: pdf[vid], "n_candidates": len(names), "best": best})
-
-    return vectors.select(vid, vec).filter(F.col(vec).isNotNull()).mapInPandas(scan, schema)
-
-
-def _score_in_blocks(vectors: DataFrame, candidates: DataFrame, keep: int, cid: str, vid: str,
-                     vec: str, max_rows: int) -> DataFrame:
-    ranked = top_k(vectors, candidates, keep, vid, cid, vec, max_rows, max_rows)
+    and the number of candidates that have a vector."""
+    ranked = top_k(vectors, candidates, keep, vid, cid, vec, tile_rows)
     best = ranked.groupBy(vid).agg(F.transform(
         F.array_sort(F.collect_list(F.struct("rank", F.col(cid).alias("id"), "score"))),
         lambda x: F.struct(x["id"], x["score"])).alias("best"))
-    n = candidates.agg(F.count("*").cast("int").alias("n_candidates"))
-    return best.join(F.broadcast(n)).select(vid, "n_candidates", "best")
+    n = _with_vectors(candidates, cid, vec).agg(F.count("*").cast("int").alias("n_candidates"))
+    known = _with_vectors(vectors, vid, vec).select(vid)
+    none = F.array().cast(best.schema["best"].dataType)
+    return known.join(best, vid, "left").join(F.broadcast(n)).select(
+        vid, "n_candidates", F.coalesce("best", none).alias("best"))
 
 
 def match_with_gap(scored: DataFrame, k: int = graph_seed.GAP_K,

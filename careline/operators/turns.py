@@ -1,7 +1,7 @@
 """Turn-sequence operators.
 
-Input is one row per message with a conversation key, a dense position inside it
-(``turn``), a role and a text. No operator gathers a conversation in one task unless
+Input is one row per message with a conversation key, an order inside it (``turn``, any
+integers, with or without gaps), a role and a text. No operator gathers a conversation in one task unless
 its output row is that conversation: neighbours come from segmented frames, everything
 else from keyed aggregates over bounded groups.
 """
@@ -99,7 +99,8 @@ def user_assistant_pairs(df: DataFrame, key: str = "conv_id", turn: str = "turn"
                          role: str = "role", text: str = "text",
                          size: int = S.SEGMENT_ROWS) -> DataFrame:
     """Each user message with the assistant message right after it."""
-    ahead = S.over_frame(df.select(key, turn, role, text), [key], turn, {
+    numbered = number_turns(df.select(key, turn, role, text), key, turn, "_pos", size)
+    ahead = S.over_frame(numbered, [key], "_pos", {
         "next_role": lambda w: F.lead(role).over(w),
         "assistant_text": lambda w: F.lead(text).over(w)}, after=1, size=size)
     return ahead.filter((F.col(role) == "user") & (F.col("next_role") == "assistant")).select(
@@ -278,8 +279,10 @@ def train_valid_split(df: DataFrame, ident: str, ratio: float = 0.85,
 
 def turn_context(df: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role",
                  text: str = "text", history: int = HISTORY,
-                 size: int = S.SEGMENT_ROWS) -> DataFrame:
-    """Adds what a turn knows of the messages before it; one exchange serves all.
+                 size: int = S.SEGMENT_ROWS, dense: bool = False) -> DataFrame:
+    """Adds what a turn knows of the messages before it; one exchange serves all of it, after
+    the messages have been numbered. ``dense`` says that ``turn`` is such a number already
+    (0, 1, 2 … without gaps); rows would be missed if it were not.
 
     ``history`` (array of role and text, oldest first), ``turn_count`` (user messages in
     it), ``recent_topic``, ``previous_topics`` (newest first), ``repeated_question`` and
@@ -287,13 +290,15 @@ def turn_context(df: DataFrame, key: str = "conv_id", turn: str = "turn", role:
     the frame, and not again for every turn that looks back at it.
     """
     user = F.col(role) == "user"
-    featured = df.withColumn("_m", F.struct(
+    numbered = (df.withColumn("_pos", F.col(turn)) if dense
+                else number_turns(df, key, turn, "_pos", size))
+    featured = numbered.withColumn("_m", F.struct(
         F.col(role).alias("role"), F.col(text).alias("text"),
         F.when(user, T.extract_topic(text)).alias("topic"),
         F.when(user, T.content_stems(text)).alias("stems"),
         F.when(user, keyword_count(F.col(text), medical.GATE_WORDS)).alias("hits")))
     framed = S.over_frame(
-        featured, [key], turn,
+        featured, [key], "_pos",
         {"_h": lambda w: F.collect_list("_m").over(w.rowsBetween(-history, -1))},
         before=history, size=size)
     users = F.filter("_h", lambda m: m["role"] == "user")
@@ -350,12 +355,12 @@ def with_rewrites(df: DataFrame, key: str = "conv_id", turn: str = "turn", role:
                   size: int = S.SEGMENT_ROWS) -> DataFrame:
     """User turns with the question rewritten from the last user message before them."""
     framed = S.over_frame(
-        df.select(key, turn, role, text), [key], turn,
+        number_turns(df.select(key, turn, role, text), key, turn, "_pos", size), [key], "_pos",
         {"last_user": lambda w: F.last(
             F.when((F.col(role) == "user") & (F.col(text) != ""), F.col(text)), True
         ).over(w.rowsBetween(-history, -1))},
         before=history, size=size)
-    return framed.filter(F.col(role) == "user").withColumn(
+    return framed.filter(F.col(role) == "user").drop("_pos").withColumn(
         "rewritten", T.rewrite_followup(text, "last_user", T.extract_topic("last_user")))
 
 

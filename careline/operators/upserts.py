@@ -16,13 +16,17 @@ HEALTH_FIELDS = ("conditions", "notes")
 def upsert_profiles(profiles: DataFrame, updates: DataFrame, now: Column,
                     key: str = "nickname", fields: Sequence[str] = PROFILE_FIELDS,
                     health_fields: Sequence[str] = HEALTH_FIELDS,
-                    clear: str = "clear_health_info") -> DataFrame:
+                    clear: str = "clear_health_info",
+                    order: Sequence[str] | None = None) -> DataFrame:
     """Insert or update one row per key.
 
+    Of several updates of a key the newest by ``order`` (columns of the updates; by default all
+    other columns, so that the choice is repeatable) is the one that counts.
+
     A null in an update keeps the old value. Withdrawn consent clears the health fields
     of an existing row. Keys without an update pass through unchanged.
     """
-    p, u = profiles.alias("p"), updates.alias("u")
+    p, u = profiles.alias("p"), newest(updates, key, order).alias("u")
     exists, touched = F.col(f"p.{key}").isNotNull(), F.col(f"u.{key}").isNotNull()
 
     def value(f: str) -> Column:
@@ -39,9 +43,10 @@ def upsert_profiles(profiles: DataFrame, updates: DataFrame, now: Column,
 
 
 def upsert_summaries(summaries: DataFrame, updates: DataFrame, now: Column,
-                     key: str = "nickname") -> DataFrame:
-    """Replace summary and count of a key, or add it."""
-    s, u = summaries.alias("s"), updates.alias("u")
+                     key: str = "nickname", order: Sequence[str] | None = None) -> DataFrame:
+    """Replace summary and count of a key, or add it. Of several updates of a key the one with the
+    largest count is taken, or the newest by ``order``."""
+    s, u = summaries.alias("s"), newest(updates, key, order or ["summarized_count", "summary"]).alias("u")
     hit = F.col(f"u.{key}").isNotNull()
 
     def pick(f: str) -> Column:
@@ -53,6 +58,13 @@ def upsert_summaries(summaries: DataFrame, updates: DataFrame, now: Column,
         F.when(hit, now).otherwise(F.col("s.updated_at")).alias("updated_at"))
 
 
+def newest(updates: DataFrame, key: str, order: Sequence[str] | None = None) -> DataFrame:
+    """One update per key; updates without a key have no row to go to and are left out."""
+    columns = updates.columns
+    rest = list(order) if order else [c for c in columns if c != key]
+    return latest_by_key(updates.filter(F.col(key).isNotNull()), [key], rest).select(columns)
+
+
 def latest_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Newest row per key. The maximum is combined before the exchange, so a key with
     very many versions costs one row per task."""

@@ -211,8 +211,7 @@ def vector_gap_match(spark, d):
 @query("cosine_matrix", f"WITH {_SCORED} SELECT vec_id, query_id AS name, score FROM sc")
 def cosine_matrix(spark, d):
     names = _centroids(spark, d).withColumnRenamed("label", "name")
-    scored = V.score_candidates(table(spark, d, "embeddings"), names, keep=10_000)
-    return unpack(scored, ["vec_id"], F.col("best"), "id").withColumnRenamed("id", "name")
+    return V.cosine_pairs(table(spark, d, "embeddings"), names, "vec_id", "name")
 
 
 @query("embedded_turns")

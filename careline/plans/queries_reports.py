@@ -296,6 +296,23 @@ def profile_upsert(spark, d):
         F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))
 
 
+@query("profile_upsert_repeated", f"""WITH {_UPDATES}
+SELECT coalesce(c_custkey::VARCHAR, u.nickname) AS nickname, c_name AS name, c_nationkey AS age,
+  CASE WHEN st = 'F' AND c_custkey IS NOT NULL THEN NULL ELSE coalesce(CASE WHEN st = 'O' THEN pr END, c_mktsegment) END AS conditions,
+  pr AS emergency_contact, CASE WHEN st = 'F' OR c_custkey IS NULL THEN NULL ELSE 'old' END AS notes,
+  CASE WHEN c_custkey IS NULL THEN NULL ELSE true END AS health_info_consent,
+  CASE WHEN c_custkey IS NULL THEN '2024-06-01' ELSE '2024-01-01' END AS created, CASE WHEN u.nickname IS NULL THEN '2024-01-01' ELSE '2024-06-01' END AS updated
+FROM customer FULL JOIN u ON c_custkey::VARCHAR = u.nickname""")
+def profile_upsert_repeated(spark, d):
+    """As above, with an older and a newer update of every key."""
+    now = F.lit("2024-06-01 00:00:00").cast("timestamp")
+    new = _updates(spark, d).withColumn("version", F.lit(2))
+    stale = new.withColumn("version", F.lit(1)).withColumn("emergency_contact", F.lit("stale"))
+    return U.upsert_profiles(_profiles(spark, d), stale.unionByName(new), now, order=["version"]).select(
+        "nickname", *U.PROFILE_FIELDS, F.date_format("created_at", "yyyy-MM-dd").alias("created"),
+        F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))
+
+
 @query("summary_upsert", f"""WITH {_UPDATES}
 SELECT coalesce(c_custkey::VARCHAR, u.nickname) AS nickname, CASE WHEN u.nickname IS NOT NULL THEN pr ELSE c_mktsegment END AS summary,
   CASE WHEN u.nickname IS NOT NULL THEN length(pr) ELSE c_nationkey END::INT AS summarized_count FROM customer FULL JOIN u ON c_custkey::VARCHAR = u.nickname""")

@@ -21,13 +21,20 @@ from careline.streaming import sessions, streams
 
 
 def work_folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="careline-")
+    """A new folder for output, state and checkpoints of a stream, in the folder that all executors
+    share. Only a local session without ``spark.checkpoint.dir`` uses a folder of its own."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="careline-")
     return f"{root.rstrip('/')}/streams/{uuid.uuid4().hex}"
 
 
-def stream_of(spark: SparkSession, d: str, name: str) -> DataFrame:
+def stream_of(spark: SparkSession, d: str, name: str, **options) -> DataFrame:
+    """A table as a stream. A table is one file or a folder of part files; the glob finds both."""
     schema = spark.read.parquet(f"{d}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    return spark.readStream.schema(schema).options(**options).parquet(f"{d}/{name}.parquet*")
 
 
 def _run(spark: SparkSession, df: DataFrame, mode: str = "append") -> DataFrame:
@@ -83,8 +90,8 @@ def stream_session_names(spark, d):
 
 
 @query("stream_summary_triggers", """
-SELECT conv_id, count(*) // 2 AS pairs, 0::BIGINT AS from_message, (count(*) // 2 - 1) * 2 AS to_message
-FROM conversations GROUP BY conv_id HAVING count(*) // 2 >= 2""")
+SELECT conv_id, p AS pairs, greatest(p - 2, 0) * 2 AS from_message, (p - 1) * 2 AS to_message
+FROM (SELECT conv_id, unnest(range(2, count(*) // 2 + 1)) AS p FROM conversations GROUP BY conv_id)""")
 def stream_summary_triggers(spark, d):
     return _run(spark, sessions.summary_triggers(stream_of(spark, d, "conversations"), 2, 1))
 
@@ -127,10 +134,10 @@ FROM events GROUP BY ALL""")
 def stream_activity_windows(spark, d):
     events = stream_of(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     folder = work_folder(spark)
-    # Complete counts of all days, also of the last one that no later row closes.
-    shown = f"days_{uuid.uuid4().hex}"
-    streams.activity_windows(events).writeStream.format("memory").queryName(shown).outputMode(
-        "complete").option("checkpointLocation", f"{folder}/state").trigger(
-        availableNow=True).start().awaitTermination()
-    return spark.table(shown).select(
+    # A day is written once the watermark has passed it. A last row far ahead closes the real days;
+    # its own day stays open and is not written.
+    spark.range(1).selectExpr("timestamp'9999-12-30 00:00:00' AS ts", "'end' AS event_type").write.parquet(f"{folder}/end")
+    end = spark.readStream.schema("ts timestamp, event_type string").parquet(f"{folder}/end")
+    counts = streams.activity_windows(events.select("ts", "event_type").unionByName(end))
+    return _run(spark, counts).select(
         F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")

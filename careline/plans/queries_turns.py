@@ -87,6 +87,20 @@ def turn_pairs(spark, d):
     return O.user_assistant_pairs(_turns(spark, d))
 
 
+SPARSE = 40_000
+
+
+def _sparse(df):
+    """Turns numbered with gaps, as by ids that all conversations share."""
+    return df.withColumn("turn", F.col("turn") * SPARSE)
+
+
+@query("turn_pairs_sparse", f"""WITH {_NEXT} SELECT conv_id, turn * {SPARSE} AS turn, text AS user_text, assistant_text
+FROM n WHERE role = 'user' AND nr = 'assistant'""")
+def turn_pairs_sparse(spark, d):
+    return O.user_assistant_pairs(_sparse(_turns(spark, d)))
+
+
 @query("instruction_samples", f"""WITH {_NEXT}
 SELECT conv_id, turn, {q(dialogue.INSTRUCTION)} AS instruction, text AS input, assistant_text AS output
 FROM n WHERE role = 'user' AND nr = 'assistant'""")
@@ -256,6 +270,13 @@ def turn_context(spark, d):
         F.array_join("previous_topics", "|").alias("previous_topics"))
 
 
+@query("turn_context_sparse", f"""WITH {_CONTEXT}
+SELECT conv_id, turn * {SPARSE} AS turn, turn_count, recent_topic, repeated_question, topic_drifted FROM ctx WHERE role = 'user'""")
+def turn_context_sparse(spark, d):
+    return O.turn_context(_sparse(korean_turns(_turns(spark, d)))).filter("role = 'user'").select(
+        "conv_id", "turn", "turn_count", "recent_topic", "repeated_question", "topic_drifted")
+
+
 _SUMMARIES = """s AS (SELECT conv_id, conv_id % 3 AS summarized_count FROM conversations WHERE conv_id % 2 = 0 GROUP BY conv_id),
 b AS (SELECT conv_id, count(*) // 2 AS pairs FROM conversations GROUP BY conv_id),
 u AS (SELECT conv_id, pairs, coalesce(summarized_count, 0)::BIGINT AS summarized_count FROM b LEFT JOIN s USING (conv_id)),
@@ -282,7 +303,7 @@ def turns_to_summarize(spark, d):
 
 @query("symptom_history", """
 WITH u AS (SELECT user_id AS nickname, CASE WHEN event_type IN ('error', 'signup') THEN 0 ELSE 1 END AS part, ts, event_id FROM events)
-SELECT nickname, event_id FROM u QUALIFY row_number() OVER (PARTITION BY nickname ORDER BY part DESC, ts DESC) <= 50""")
+SELECT nickname, event_id FROM u QUALIFY row_number() OVER (PARTITION BY nickname ORDER BY part DESC, ts DESC, event_id DESC) <= 50""")
 def symptom_history(spark, d):
     from careline.operators.care import symptom_history as history
 

@@ -75,14 +75,40 @@ def refresh_corpus(chunks: DataFrame, path: str, replace: bool = True) -> None:
     chunks.write.mode("overwrite" if replace else "append").parquet(path)
 
 
+def _committed(spark: SparkSession, path: str) -> bool:
+    """Whether a write to the path was finished: its commit leaves a marker file."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
+
 def write_snapshot(df: DataFrame, root: str, version: str) -> str:
-    """New version of a keyed table next to the old one. Readers switch by version, so a
-    lost job leaves the old one intact."""
+    """New version of a keyed table next to the old one. Readers take finished versions only, so a
+    lost job leaves the old one intact, and its remains are replaced by the next try. A finished
+    version is not written again."""
     path = f"{root.rstrip('/')}/version={version}"
-    df.write.mode("errorifexists").parquet(path)
+    if _committed(df.sparkSession, path):
+        raise FileExistsError(path)
+    df.write.mode("overwrite").parquet(path)
     return path
 
 
+def snapshot_versions(spark: SparkSession, root: str) -> list[str]:
+    """Finished versions in order of their names."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(top)] if fs.exists(top) else []
+    found = [n.removeprefix("version=") for n in names if n.startswith("version=")]
+    return sorted(v for v in found if _committed(spark, f"{root.rstrip('/')}/version={v}"))
+
+
+def read_snapshot(spark: SparkSession, root: str, version: str | None = None) -> DataFrame:
+    """A finished version, by default the last by name."""
+    versions = snapshot_versions(spark, root)
+    if not versions or version not in (None, *versions):
+        raise FileNotFoundError(f"{root}: no finished version" + (f" {version}" if version else ""))
+    return spark.read.parquet(f"{root.rstrip('/')}/version={version or versions[-1]}")
+
+
 def write_eval_report(summary: DataFrame, trials: DataFrame, path: str) -> None:
     """Summary row and trial rows as JSON under one folder."""
     summary.write.mode("errorifexists").json(f"{path}/summary")

@@ -9,6 +9,7 @@ from careline.functions.core import nz
 from careline.functions.text import kst, scrub_newlines
 
 MESSAGE = "struct<type:string,data:struct<content:string>>"
+# Columns of the exports.
 HISTORY_FIELDS = ["id", "nickname", "role", "content"]
 LOG_FIELDS = [
     "id", "nickname", "created_at_kst", "intent", "intent_confidence", "risk_level",
@@ -23,20 +24,10 @@ LOG_SCHEMA = (
 )
 
 
-TEXT_TABLES = ("documents", "pages", "conversations")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. Text tables in fewer files than cores are dealt out over the cores,
-    because their operators cost far more than the exchange; tables of many files are
-    read as they are."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    """A given table, in the splits that the session's file settings give
+    (``spark.sql.files.maxPartitionBytes``, ``spark.sql.files.minPartitionNum``)."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def decode_chat_history(raw: DataFrame, nickname: str | None = None, newline: str = "\r",

@@ -84,7 +84,7 @@ def _context_step(key, rows, past):
         out.append((
             key, r.turn, r.role, r.text, len(users), recent, list(dict.fromkeys(topics)),
             bool(gated and any(_shares(mine, set(p["stems"])) for p in users)),
-            bool(recent and peak >= 2 and not gated and len(r.text) > 15)))
+            bool(recent and peak >= 2 and not gated and len(r.text or "") > 15)))
         past = [*past, dict(role=r.role, topic=r.topic, stems=list(r.stems),
                             hits=int(r.hits))][-HISTORY:]
     return out, past
@@ -109,12 +109,14 @@ def _names_step(key, rows, numbers):
 def _summary_step(threshold: int, keep_last: int) -> Step:
     def step(key, rows, seen):
         messages, done = seen or (0, 0)
-        messages += len(rows)
-        pairs, out = messages // 2, []
-        if pairs - done >= threshold:
-            until = max(done, pairs - keep_last)
-            out.append((key, pairs, done * 2, until * 2))
-            done = until
+        out = []
+        for _ in range(len(rows)):  # message by message, so that the batches do not matter
+            messages += 1
+            pairs = messages // 2
+            if pairs - done >= threshold:
+                until = max(done, pairs - keep_last)
+                out.append((key, pairs, done * 2, until * 2))
+                done = until
         return out, (messages, done)
 
     return step
@@ -135,7 +137,9 @@ def session_names(names: DataFrame, keep_ms: int | None = None) -> DataFrame:
     return _stateful(names, _names_step, ["turn", "start", "name"], NAMES, keep_ms)
 
 
-def summary_triggers(turns: DataFrame, threshold: int = 10, keep_last: int = 5) -> DataFrame:
-    """The range to summarise each time enough new pairs have come in."""
+def summary_triggers(turns: DataFrame, threshold: int = 10, keep_last: int = 5,
+                     keep_ms: int | None = None) -> DataFrame:
+    """The range to summarise each time enough new pairs have come in: a row at each message that
+    completes ``threshold`` pairs since the last row."""
     return _stateful(turns.select("conv_id", "turn"), _summary_step(threshold, keep_last),
-                     ["turn"], SUMMARIES, None)
+                     ["turn"], SUMMARIES, keep_ms)

@@ -81,10 +81,10 @@ def vectors(spark):
     return mat.astype(np.float32).astype(float), df.repartition(6).cache()
 
 
-@pytest.mark.parametrize("max_rows", [1000, 20])
-def test_top_k_both_ways(vectors, max_rows):
+@pytest.mark.parametrize("tile_rows", [1000, 30])
+def test_top_k_in_tiles(vectors, tile_rows):
     mat, df = vectors
-    out = V.top_k(df.withColumnRenamed("vec_id", "query_id"), df, 3, max_rows=max_rows, block_rows=50).collect()
+    out = V.top_k(df.withColumnRenamed("vec_id", "query_id"), df, 3, tile_rows=tile_rows).collect()
     unit = mat / np.linalg.norm(mat, axis=1, keepdims=True)
     scores = np.round(unit @ unit.T, 6)
     want = {(q, int(v), r + 1) for q in range(200)
@@ -102,10 +102,29 @@ def test_gap_rule(spark):
 def test_many_candidates(spark, vectors):
     _, df = vectors
     names = df.select(F.concat(F.lit("n"), F.lpad(F.col("vec_id").cast("string"), 3, "0")).alias("name"), "embedding")
-    few, many = [V.score_candidates(df, names, max_rows=n) for n in (1000, 30)]
+    few, many = [V.score_candidates(df, names, tile_rows=n) for n in (1000, 30)]
     assert few.exceptAll(many).count() == 0 and many.count() == 200
 
 
+@pytest.mark.parametrize("tile_rows", [1, 4096])
+def test_candidates_without_a_vector_do_not_count(spark, tile_rows):
+    schema = "name string, embedding array<float>"
+    names = spark.createDataFrame([("a", [1.0, 0.0]), ("b", None), ("c", [0.0, 1.0]), (None, [1.0, 1.0])], schema)
+    q = spark.createDataFrame([(1, [1.0, 0.1]), (2, None)], "vec_id long, embedding array<float>")
+    rows = V.score_candidates(q, names, tile_rows=tile_rows).collect()
+    assert [(r.vec_id, r.n_candidates, [b.id for b in r.best]) for r in rows] == [(1, 2, ["a", "c"])]
+    none = V.score_candidates(q, names.filter("embedding IS NULL")).collect()
+    assert [(r.vec_id, r.n_candidates, r.best) for r in none] == [(1, 0, [])]
+
+
+def test_more_candidates_than_a_collect_would_hold(spark):
+    many = spark.range(21_000).selectExpr("id AS vec_id", "array(cos(id), sin(id), 1D) AS embedding")
+    pairs = V.cosine_pairs(many.filter("vec_id < 3").withColumnRenamed("vec_id", "query_id"), many)
+    assert pairs.count() == 63_000
+    best = V.top_k(many.filter("vec_id < 40").withColumnRenamed("vec_id", "query_id"), many, 1).collect()
+    assert len(best) == 40 and all(r.score == 1 and r.vec_id <= r.query_id for r in best)
+
+
 def test_category_drop_after_ranking(spark, vectors):
     _, df = vectors
     docs = df.select("vec_id", F.lit("t" * 400).alias("text"), F.when(F.col("vec_id") % 2 == 0, "conversations").alias("category"))
