@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from careline.functions.core import let, nz, rx, strings, strip
+from careline.functions.core import let, nz, part, rx, strings, strip
 from careline.functions.text import clean_text, normalize_role
 from careline.rules import dialogue
 
@@ -42,24 +42,31 @@ def _pack(parts: Column, limit: int, gap: int, keep_blank: bool) -> Column:
 
 
 def section_split(text: Column | str, long_section: int = 500) -> Column:
-    """Sections between ``---`` lines, or at a blank line once a section is long."""
-
-    def emit(st: Column) -> Column:
-        return let(strip(F.array_join(st["buf"], "\n")), lambda s: F.when(
-            s != "", _append(st["done"], s)).otherwise(st["done"]))
+    """Sections between ``---`` lines, or at a blank line once a section is long.
 
+    The fold over the lines only notes where sections begin and end; the texts are cut out once.
+    """
     def step(st: Column, line: Column) -> Column:
-        bare = strip(line)
-        held = F.size(st["buf"]) > 0
-        rule = F.startswith(bare, F.lit("---"))
-        cut = rule | ((bare == "") & held & (st["chars"] - 1 > long_section))
+        held = st["begin"] < line["i"]
+        cut = line["rule"] | (line["blank"] & held & (st["chars"] - 1 > long_section))
+        section = F.struct(st["begin"].alias("a"), line["i"].alias("b"))
         return F.struct(
-            F.when(cut & held, emit(st)).otherwise(st["done"]).alias("done"),
-            F.when(cut, strings([])).otherwise(_append(st["buf"], line)).alias("buf"),
-            F.when(cut, F.lit(0)).otherwise(st["chars"] + F.length(line) + 1).alias("chars"))
-
-    zero = F.struct(strings([]).alias("done"), strings([]).alias("buf"), F.lit(0).alias("chars"))
-    return F.aggregate(F.split(nz(text), "\n", -1), zero, step, emit)
+            F.when(cut & held, _append(st["done"], section)).otherwise(st["done"]).alias("done"),
+            F.when(cut, line["i"] + 1).otherwise(st["begin"]).alias("begin"),
+            F.when(cut, F.lit(0)).otherwise(st["chars"] + line["n"] + 1).alias("chars"))
+
+    def cut(lines: Column) -> Column:
+        seen = F.transform(lines, lambda x, i: let(strip(x), lambda bare: F.struct(
+            i.alias("i"), F.startswith(bare, F.lit("---")).alias("rule"), (bare == "").alias("blank"),
+            F.length(x).alias("n"))))
+        zero = F.struct(F.array().cast("array<struct<a:int,b:int>>").alias("done"),
+                        F.lit(0).alias("begin"), F.lit(0).alias("chars"))
+        spans = F.aggregate(seen, zero, step, lambda st: _append(
+            st["done"], F.struct(st["begin"].alias("a"), F.size(lines).alias("b"))))
+        return F.filter(F.transform(spans, lambda s: strip(F.array_join(
+            part(lines, s["a"], s["b"] - s["a"]), "\n"))), lambda x: x != "")
+
+    return let(F.split(nz(text), "\n", -1), cut)
 
 
 def pack_paragraphs(sections: Column, limit: int = 1000) -> Column:

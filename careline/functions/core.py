@@ -144,6 +144,19 @@ def apply_sql(value: Column, name: str, body: str) -> Column:
     return F.element_at(bound, 1)
 
 
+def part(array: Column, start: Column, n: Column) -> Column:
+    """``n`` elements from place ``start`` (from 0). The built-in ``slice`` copies the whole array first,
+    so many parts of a long array would cost its square."""
+    return F.when(n > 0, F.transform(F.sequence(start, start + n - 1), lambda i: F.get(array, i))).otherwise(
+        F.slice(array, 1, 0))
+
+
+def part_sql(array: str, start: str, n: int | str, name: str = "j_") -> str:
+    """:func:`part` in SQL text, up to the end of the array."""
+    return (f"transform(filter(sequence({start}, {start} + {n} - 1), {name} -> {name} < size({array})), "
+            f"{name} -> get({array}, {name}))")
+
+
 def prefix_sums_sql(values: str, block: int = 64) -> str:
     """Exclusive running totals of an int array.
 
@@ -151,7 +164,7 @@ def prefix_sums_sql(values: str, block: int = 64) -> str:
     elements. Folding inside blocks and then over block totals keeps long texts cheap.
     """
     blocks = (f"transform(sequence(0, greatest(cast(ceil(size(a_) / {block}) as int) - 1, 0)), "
-              f"k_ -> slice(a_, k_ * {block} + 1, {block}))")
+              f"k_ -> {part_sql('a_', f'k_ * {block}', block)})")
     local = (f"transform({blocks}, b_ -> aggregate(b_, array(0), "
              "(acc, x) -> concat(acc, array(element_at(acc, -1) + x))))")
     base = ("aggregate(l_, array(0), "

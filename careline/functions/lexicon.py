@@ -8,9 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from careline.functions.core import (
-    alternation, apply_sql, col, let, literal, mapping, nz, rx, strings, structs, total,
+    alternation, apply_sql, col, let, literal, mapping, nz, part, rx, strings, structs, total,
 )
-from careline.functions.spans import pattern_spans
+from careline.functions.spans import counts_before, pattern_spans
 from careline.rules import medical
 
 PRIORITY = {"pattern": 3, "dictionary": 2, "llm": 1}
@@ -215,22 +215,24 @@ def tokens(text: Column | str, pattern: str = medical.TOKEN_PATTERN) -> Column:
 
 
 def word_context(
-    text_tokens: Column, span: Column, n_before: int = 5, n_after: int = 5, min_words: int = 2,
-    stop_words: Sequence[str] = medical.CONTEXT_STOP_WORDS,
+    text_tokens: Column, span: Column, before: Column, after: Column, n_before: int = 5,
+    n_after: int = 5, min_words: int = 2, stop_words: Sequence[str] = medical.CONTEXT_STOP_WORDS,
 ) -> Column:
-    """Words before and after a span; stop words go unless too few words would stay."""
+    """Words before and after a span; stop words go unless too few words would stay.
+
+    ``before`` tokens end before the span, and ``after`` start before its end.
+    """
 
     def thin(ws: Column) -> Column:
         return let(ws, lambda w: let(
             F.filter(w, lambda x: ~x.isin(list(stop_words))),
             lambda kept: F.when(F.size(kept) < min_words, w).otherwise(kept)))
 
-    before = let(F.filter(text_tokens, lambda k: k["end"] <= span["start"]), lambda b: F.slice(
-        b, F.greatest(F.size(b) - n_before, F.lit(0)) + 1, n_before))
-    after = F.slice(F.filter(text_tokens, lambda k: k["start"] >= span["end"]), 1, n_after)
+    first = part(text_tokens, F.greatest(before - n_before, F.lit(0)), F.least(before, F.lit(n_before)))
+    later = part(text_tokens, after, F.least(F.size(text_tokens) - after, F.lit(n_after)))
     words = F.struct(
-        thin(F.transform(before, lambda k: k["text"])).alias("before"),
-        thin(F.transform(after, lambda k: k["text"])).alias("after"))
+        thin(F.transform(first, lambda k: k["text"])).alias("before"),
+        thin(F.transform(later, lambda k: k["text"])).alias("after"))
     return let(words, lambda w: F.struct(
         span["text"].alias("target"), span["start"].alias("start"), span["end"].alias("end"),
         w["before"].alias("before_words"), w["after"].alias("after_words"),
@@ -239,9 +241,16 @@ def word_context(
 
 
 def word_contexts(text: Column | str, spans: Column, **options) -> Column:
-    """Context of every span of a text; the text is tokenized once."""
-    return let(tokens(text), lambda ks: F.transform(
-        spans, lambda s: word_context(ks, s, **options)))
+    """Context of every span of a text; the text is tokenized once, and the place of each span
+    among the tokens is found by sorting."""
+    def placed(b: Column) -> Column:
+        before = counts_before(F.transform(b["k"], lambda k: k["end"]), F.transform(b["s"], lambda s: s["start"]), True)
+        after = counts_before(F.transform(b["k"], lambda k: k["start"]), F.transform(b["s"], lambda s: s["end"]), False)
+        return let(F.struct(b["k"].alias("k"), b["s"].alias("s"), before.alias("b"), after.alias("a")),
+                   lambda x: F.transform(x["s"], lambda s, i: word_context(
+                       x["k"], s, F.get(x["b"], i), F.get(x["a"], i), **options)))
+
+    return let(F.struct(tokens(text).alias("k"), spans.alias("s")), placed)
 
 
 def combined_context(text: Column | str, contexts: Column) -> Column:

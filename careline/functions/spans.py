@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from careline.functions.core import (
-    alternation, apply_sql, col, let, let_sql, nz, prefix_sums_sql, rx, strings,
+    alternation, apply_sql, col, let, let_sql, nz, part, part_sql, prefix_sums_sql, rx, strings,
 )
 
 SPAN = "array<struct<start:int,end:int,text:string>>"
@@ -44,7 +44,7 @@ def term_spans(text: Column | str, terms: Sequence[str]) -> Column:
 
     heads = "transform(filter(x_.terms, k -> startswith(head_, k)), k -> named_struct('start', "\
         "get(base_, i), 'end', get(base_, i) + length(k), 'text', k))"
-    head = f"substring(array_join(slice(x_.p, i + 1, {longest}), ''), 1, {longest})"
+    head = f"substring(array_join({part_sql('x_.p', 'i', longest)}, ''), 1, {longest})"
     found = apply_sql(
         F.struct(F.split(t, cut, -1).alias("p"), strings(terms).alias("terms")), "x_",
         let_sql(prefix_sums_sql("transform(x_.p, y -> length(y))"), "base_",
@@ -57,6 +57,53 @@ def overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (a["end"] > b["start"])
 
 
+def counts_before(points: Column, marks: Column, at_mark: bool) -> Column:
+    """For each mark the number of points before it (``at_mark``: or on it), in the order of the
+    marks. Both are sorted into one line; a mark's place less the marks before it is the count."""
+    kind = 0 if at_mark else 2  # points on a mark come before or behind it
+    line = F.array_sort(F.concat(
+        F.transform(points, lambda p: F.struct(p.alias("p"), F.lit(kind).alias("k"), F.lit(-1).alias("i"))),
+        F.transform(marks, lambda p, i: F.struct(p.alias("p"), F.lit(1).alias("k"), i.alias("i")))))
+    placed = F.filter(F.transform(line, lambda x, n: F.struct(
+        x["k"].alias("k"), x["i"].alias("i"), n.alias("n"))), lambda x: x["k"] == 1)
+    counted = F.transform(placed, lambda x, m: F.struct(x["i"].alias("i"), (x["n"] - m).alias("c")))
+    return F.transform(F.array_sort(counted), lambda x: x["c"])
+
+
+def clusters(spans: Column, gap: int = 0) -> Column:
+    """Spans in groups that have nothing to do with each other, from left to right.
+
+    A group ends where all spans so far have ended (``gap`` characters before the next start at
+    least). With starts and ends each in order, the i-th span opens a group if the i earlier
+    ends lie before it, so sorting is all that is needed. Inside a group the given order is kept. Rules that
+    only look at overlapping spans cost the square of a group and not of a text.
+    """
+    def cut(b: Column) -> Column:
+        s, e = b["s"], b["e"]
+        heads = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (
+            F.get(e, i - 1) + gap <= F.get(s, i)["a"]))
+        return let(F.struct(s.alias("s"), heads.alias("h")), lambda c: F.transform(
+            c["h"], lambda h, k: part(c["s"], h, F.coalesce(
+                F.get(c["h"], k + 1), F.size(c["s"])) - h)))
+
+    def given(group: Column) -> Column:
+        return F.when(F.size(group) == 1, F.transform(group, lambda x: x["s"])).otherwise(F.transform(
+            F.array_sort(F.transform(group, lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s")))),
+            lambda x: x["s"]))
+
+    placed = F.array_sort(F.transform(spans, lambda s, i: F.struct(
+        s["start"].alias("a"), i.alias("i"), s.alias("s"))))
+    ends = F.array_sort(F.transform(spans, lambda s: s["end"]))
+    found = let(F.struct(placed.alias("s"), ends.alias("e")), lambda b: F.when(
+        F.size(b["s"]) > 0, cut(b)).otherwise(F.slice(F.array(b["s"]), 1, 0)))
+    return F.transform(found, given)
+
+
+def in_clusters(spans: Column, rule, gap: int = 0) -> Column:
+    """What ``rule`` (group of spans to array) keeps of each group, from left to right."""
+    return F.flatten(F.transform(clusters(spans, gap), rule))
+
+
 def longest_non_overlapping(spans: Column | str) -> Column:
     """From the left, keep a span that starts after the last kept one ends; a strictly
     longer overlapping span takes the place of the last kept one."""
@@ -74,13 +121,17 @@ def longest_non_overlapping(spans: Column | str) -> Column:
             .otherwise(kept)
         )
 
-    ordered = F.array_sort(
-        col(spans),
-        lambda a, b: F.coalesce(
-            F.nullif(F.signum(a["start"] - b["start"]).cast("int"), F.lit(0)),
-            F.signum(b["end"] - a["end"]).cast("int")),
-    )
-    return let(ordered, lambda s: F.aggregate(s, F.slice(s, 1, 0), step))
+    def rule(group: Column) -> Column:
+        ordered = F.array_sort(
+            group,
+            lambda a, b: F.coalesce(
+                F.nullif(F.signum(a["start"] - b["start"]).cast("int"), F.lit(0)),
+                F.signum(b["end"] - a["end"]).cast("int")),
+        )
+        return F.when(F.size(group) == 1, group).otherwise(
+            let(ordered, lambda s: F.aggregate(s, F.slice(s, 1, 0), step)))
+
+    return let(col(spans), lambda s: in_clusters(s, rule))
 
 
 def add_uncovered(base: Column | str, extra: Column | str) -> Column:
@@ -91,21 +142,31 @@ def add_uncovered(base: Column | str, extra: Column | str) -> Column:
         return ((x["start"] >= y["start"]) & (x["start"] < y["end"])) | (
             (x["end"] > y["start"]) & (x["end"] <= y["end"]))
 
-    def merge(both: Column) -> Column:
-        fresh = F.filter(both["b"], lambda x: ~F.exists(both["a"], lambda y: touches(x, y)))
-        return by_start(F.concat(both["a"], fresh))
+    def marked(spans: Column, more: bool) -> Column:
+        return F.transform(spans, lambda s: F.struct(
+            s["start"].alias("start"), s["end"].alias("end"), F.lit(more).alias("more"), s.alias("s")))
 
-    return let(F.struct(col(base).alias("a"), col(extra).alias("b")), merge)
+    def rule(group: Column) -> Column:
+        fresh = F.filter(group, lambda x: ~x["more"] | ~F.exists(
+            group, lambda y: ~y["more"] & touches(x, y)))
+        return by_start(F.transform(fresh, lambda x: x["s"]))
 
+    return let(F.concat(marked(col(base), False), marked(col(extra), True)),
+               lambda b: in_clusters(b, rule))
 
-def accept_in_order(spans: Column) -> Column:
-    """Greedy choice: take spans in the given order unless they overlap one taken before."""
-    return let(spans, lambda all_: F.aggregate(
-        all_, F.slice(all_, 1, 0),
+
+def greedy(spans: Column) -> Column:
+    """Take spans in the given order unless they overlap one taken before."""
+    return F.when(F.size(spans) == 1, spans).otherwise(F.aggregate(
+        spans, F.slice(spans, 1, 0),
         lambda kept, s: F.when(
             F.exists(kept, lambda k: overlaps(s, k)), kept
-        ).otherwise(F.concat(kept, F.array(s))),
-    ))
+        ).otherwise(F.concat(kept, F.array(s)))))
+
+
+def accept_in_order(spans: Column) -> Column:
+    """Greedy choice (:func:`greedy`) of the spans of a whole text, from left to right by groups."""
+    return let(spans, lambda all_: in_clusters(all_, greedy))
 
 
 def by_start(spans: Column) -> Column:

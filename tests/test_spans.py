@@ -1,6 +1,7 @@
 """Spans against plain loops over generated texts."""
 
 import random
+import time
 import re
 
 import pytest
@@ -9,6 +10,9 @@ from pyspark.sql import functions as F
 from careline.functions import core
 from careline.functions import lexicon as L
 from careline.functions import spans as SP
+from careline.functions.chunks import section_split
+from careline.functions.lexicon import word_contexts
+from careline.functions.pii import detect_pii
 
 TERMS = ["aa", "ab", "aba", "b", "수면", "수면제", "면제"]
 
@@ -101,3 +105,20 @@ def test_stop_words_stay_when_few(spark):
     df = spark.createDataFrame([("그 이것 두통 것 등 수",)], ["t"])
     c = df.select(L.word_contexts("t", SP.term_spans("t", ["두통"])).alias("c")).first().c[0]
     assert c.before_words == ["그", "이것"] and c.after_words == ["것", "등", "수"]
+
+
+@pytest.mark.parametrize("unit, rule", [
+    ("이영자 할머니 010-2345-6789 외로워서 아버지 ", lambda c: detect_pii(c)),
+    ("then we went home ", lambda c: word_contexts(c, SP.term_spans(c, ["the", "then"]))),
+    ("then the hen ", lambda c: SP.longest_non_overlapping(SP.term_spans(c, ["the", "then", "he"]))),
+    ("some line of text\n", lambda c: section_split(c)),
+])
+def test_long_texts_cost_their_length(spark, unit, rule):
+    def seconds(n):
+        df = spark.createDataFrame([(unit * n,)], "t string").repartition(1)
+        begin = time.perf_counter()
+        df.select(F.size(rule(F.col("t")))).collect()
+        return time.perf_counter() - begin
+
+    seconds(10)
+    assert seconds(16_000) < 3 * seconds(8_000) + 2
