@@ -29,7 +29,7 @@ from careline.llm.common import filled, only, written
 #: the bound of the broadcast directory.
 BITS = 16
 #: Entries that a bucket holds before it is split.
-CAPACITY = 16_384
+CAPACITY = 2_048
 
 
 def sha256_key(text: Column) -> Column:
