@@ -24,10 +24,23 @@ LOG_SCHEMA = (
 )
 
 
+TEXT_TABLES = ("documents", "pages", "conversations")
+#: A text table of at most so many bytes is dealt out over the cores when it is read.
+DEALT_BYTES = 64 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table, in the splits that the session's file settings give
-    (``spark.sql.files.maxPartitionBytes``, ``spark.sql.files.minPartitionNum``)."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table, in the splits that the session's file settings give.
+
+    A small text table is often one row group and so one task; as its operators cost far more
+    than an exchange of that bounded size, it is dealt out. Larger ones never are. The size comes
+    from the plan's statistics; no file names are listed.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in TEXT_TABLES and int(str(
+            df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= DEALT_BYTES:
+        return df.repartition(spark.sparkContext.defaultParallelism)
+    return df
 
 
 def decode_chat_history(raw: DataFrame, nickname: str | None = None, newline: str = "\r",

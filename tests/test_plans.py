@@ -39,11 +39,11 @@ def test_filter_and_columns_reach_the_scan(spark, tmp_path):
     assert "EqualTo(session_id,u)" in p and "other" not in p
 
 
-def test_tables_are_not_dealt_out(spark, tmp_path):
-    turns = table(spark, SMALL, "conversations")
-    assert "Exchange" not in plan(turns)
-    turns.repartition(16).write.parquet(str(tmp_path / "conversations.parquet"))
-    assert "Exchange" not in plan(table(spark, str(tmp_path), "conversations"))
+def test_only_small_tables_are_dealt_out(spark, monkeypatch):
+    assert "RoundRobin" in plan(table(spark, SMALL, "conversations"))
+    assert "Exchange" not in plan(table(spark, SMALL, "orders"))
+    monkeypatch.setattr("careline.sources.tables.DEALT_BYTES", 1000)
+    assert "Exchange" not in plan(table(spark, SMALL, "conversations"))
 
 
 def test_session_state_lives_across_batches(spark, tmp_path):

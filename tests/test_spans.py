@@ -1,8 +1,8 @@
 """Spans against plain loops over generated texts."""
 
 import random
-import time
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
