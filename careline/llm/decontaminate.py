@@ -10,7 +10,9 @@ inside the document (length bound), the second rarest word must stand at its pla
 Only DataFrame operations are used, and every text is split twice: for the word counts
 and for the join. Both are projections of the scan; what is shuffled are counts and matches.
 The windows are broadcast if their counted number allows it. Beyond that, words and windows
-meet in a shuffled join, and the words around a candidate are fetched by a join on the row.
+meet in a shuffled join, and the words around a candidate are fetched by a join on the row. Words
+that are no window's rarest stay out of that shuffle if the keys alone can be broadcast, and
+words are counted per task before they meet the vocabulary, so frequent ones do not pile up.
 
 Defined cases: null or wordless texts have no words and no windows; repeated rows of one id
 and text give a row each; an item id that occurs twice counts once, a null item id is the
@@ -66,8 +68,11 @@ def anchors(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id",
     vocabulary = written(spots.select("w").distinct(), "vocabulary")
     seen = _numbered(docs, id_col, text_col).select(F.explode("raw").alias("w")).select(
         F.lower("w").alias("w"))
-    side = F.broadcast(vocabulary) if bounded(vocabulary, limit) else vocabulary
-    counts = written(seen.join(side, "w").groupBy("w").agg(F.count("*").alias("n")), "counts")
+    if bounded(vocabulary, limit):
+        counted = seen.join(F.broadcast(vocabulary), "w").groupBy("w").agg(F.count("*").alias("n"))
+    else:
+        counted = seen.groupBy("w").agg(F.count("*").alias("n")).join(vocabulary, "w")
+    counts = written(counted, "counts")
     ranked = spots.join(counts, "w").groupBy("win", "k").agg(
         F.sort_array(F.collect_list(F.struct("n", "o", "w"))).alias("by"))
     second = F.coalesce(F.get("by", F.lit(1)), F.get("by", F.lit(0)))
@@ -81,28 +86,32 @@ def occurrences(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id",
     """id, th (hash of the text), n_words, start, k, win of every occurrence of a window; and
     one row with k = 0 for each row of ``docs``, so that its words are counted in the same pass."""
     rare = written(anchors(docs, windows, id_col, text_col, limit), "anchors")
-    blank = rare.sparkSession.range(1).select(
-        F.array().cast("array<string>").alias("win"), F.lit(0).alias("k"), F.lit("").alias("key"),
-        F.lit(0).alias("o"), F.lit(0).alias("step"), F.lit("").alias("key2"))
-    side = rare.unionByName(blank)
     rows = _numbered(docs, id_col, text_col).withColumn("n_words", F.size("raw"))
-    head = F.concat(F.array(F.lit("")), F.col("raw"))  # the empty word stands for the row itself
-    spread = F.posexplode(head).alias("p", "w")
-    start = F.col("p") - 1 - F.col("o")
-    fits = (F.col("k") == 0) | ((start >= 0) & (start + F.col("k") <= F.col("n_words")))
-    if bounded(rare, limit):
-        met = rows.select("id", "th", "n_words", "raw", spread).withColumn("key", F.lower("w"))
-        met = met.join(F.broadcast(side), "key").filter(fits)
-    else:
-        met = rows.select("id", "th", "n_words", spread).withColumn("key", F.lower("w"))
-        met = met.join(side, "key").filter(fits)
-        texts = rows.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "raw").dropDuplicates(["_id", "_th"])
-        met = met.join(texts, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
-    second = F.lower(F.get("raw", F.col("p") - 1 + F.col("step"))) == F.col("key2")
-    part = F.slice("raw", start + 1, F.col("k"))
+    none = F.array().cast("array<string>")
+    start = F.col("p") - F.col("o")
+    fits = (start >= 0) & (start + F.col("k") <= F.col("n_words"))
+    second = F.lower(F.get("raw", F.col("p") + F.col("step"))) == F.col("key2")
+    part = F.slice("raw", F.greatest(start, F.lit(0)) + 1, F.col("k"))
     same = ascii_lower(F.array_join(part, " ")) == F.array_join("win", " ")
-    return met.filter((F.col("k") == 0) | (second & same)).select(
-        "id", "th", "n_words", start.alias("start"), "k", "win")
+    columns = ["id", "th", "n_words", start.alias("start"), "k", "win"]
+    if bounded(rare, limit):
+        blank = rare.sparkSession.range(1).select(
+            none.alias("win"), F.lit(0).alias("k"), F.lit("").alias("key"), F.lit(0).alias("o"),
+            F.lit(0).alias("step"), F.lit("").alias("key2"))
+        head = F.concat(F.array(F.lit("")), F.col("raw"))  # the empty word stands for the row itself
+        met = rows.select("id", "th", "n_words", "raw", F.posexplode(head).alias("p", "w"))
+        met = met.withColumn("p", F.col("p") - 1).withColumn("key", F.lower("w")).join(
+            F.broadcast(rare.unionByName(blank)), "key")
+        return met.filter((F.col("k") == 0) | (fits & second & same)).select(columns)
+    keys = written(rare.select("key").distinct(), "keys")
+    met = rows.select("id", "th", "n_words", F.posexplode("raw").alias("p", "w")).withColumn("key", F.lower("w"))
+    if bounded(keys, limit):
+        met = met.join(F.broadcast(keys), "key", "left_semi")
+    texts = rows.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "raw").dropDuplicates(["_id", "_th"])
+    met = met.join(rare, "key").filter(fits).join(
+        texts, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
+    own = rows.select("id", "th", "n_words", F.lit(-1).alias("start"), F.lit(0).alias("k"), none.alias("win"))
+    return met.filter(second & same).select(columns).unionByName(own)
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",

@@ -35,13 +35,16 @@ ITEMS = [(1, ITEM), (2, "short ONE"), (3, None), (4, ""), (5, "é alpha"), (2, "
          (7, "istanbul"), (8, "not in any document at all")]
 
 
-@pytest.mark.parametrize("limit", [1000, 0])
+@pytest.mark.parametrize("limit", [1000, 5, 0])
 def test_equals_brute_force_with_and_without_broadcast(spark, limit):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     found = D.contamination(docs, items, limit=limit).collect()
     have = sorted(((r.id, r.n_words, r.n_hit, tuple(r.item_ids), r.contaminated) for r in found), key=str)
     assert have == sorted(brute(DOCS, ITEMS), key=str)
+    if limit == 5:  # windows are too many to broadcast, their keys are not
+        rare = D.anchors(docs, D.item_windows(items))
+        assert rare.select("key").distinct().count() <= limit < rare.count()
 
 
 def test_rarest_word_is_joined(spark):
