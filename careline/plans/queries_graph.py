@@ -315,7 +315,17 @@ def activity_rollup(spark, d):
     ).withColumn("last_time", F.date_format("last_time", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("grouped_neighbours")
+@query("grouped_neighbours", f"""WITH {_NODES}, {_EDGES}, k0 AS (SELECT DISTINCT * FROM ke), {_M},
+s AS (SELECT DISTINCT n_name AS keyword, name AS start FROM nation JOIN kn ON contains(name, n_name) OR contains(id, n_name) OR contains(description, n_name)),
+s5 AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY keyword ORDER BY start) <= 5),
+h1 AS (SELECT keyword, start, b AS at_, [e] AS path FROM s5 JOIN m ON a = start),
+h2 AS (SELECT keyword, start, b AS at_ FROM h1 JOIN m ON a = at_ WHERE NOT list_contains(path, e)),
+u AS (SELECT DISTINCT keyword, at_ AS name, dist FROM (SELECT keyword, start, at_, 1 AS dist FROM h1 UNION ALL SELECT *, 2 FROM h2) WHERE at_ <> start),
+r AS (SELECT DISTINCT keyword, u.name, label AS type, description, dist FROM u JOIN kn ON kn.name = u.name),
+n AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY keyword ORDER BY dist, name, type) <= 20),
+t AS (SELECT *, row_number() OVER (PARTITION BY keyword, type ORDER BY dist, name) AS i FROM n)
+SELECT keyword, type, string_agg(name || '(' || coalesce(description, '') || ')', ', ' ORDER BY i) AS names FROM t
+WHERE i <= {G.G.NAMES_PER_TYPE} GROUP BY ALL""")
 def grouped_neighbours(spark, d):
     keywords = table(spark, d, "nation").select(F.col("n_name").alias("keyword"))
     return G.group_by_type(G.related_nodes(keywords, _nodes(spark, d), _edges(spark, d), 2))

@@ -344,13 +344,48 @@ def recursive_chunks(spark, d):
         table(spark, d, "documents"), C.recursive_chunk()("text"), "doc_id", prefix="hd_")
 
 
-@query("document_sections")
+def _sql_pack(parts: str, limit: int, gap: int, keep_blank: bool) -> str:
+    """Parts joined by blank lines into pieces up to a limit, one after another."""
+    def emitted(cur: str, done: str) -> str:
+        worth = f"{cur} <> ''" if keep_blank else f"{sql_strip(cur)} <> ''"
+        return f"CASE WHEN {worth} THEN list_append({done}, {sql_strip(cur)}) ELSE {done} END"
+
+    packed = f"""list_reduce(list_transform({parts}, lambda p: {{'cur': p, 'done': []::VARCHAR[]}}), lambda a, x:
+      CASE WHEN length(a.cur) + length(x.cur) + {gap} > {limit} THEN {{'cur': x.cur, 'done': {emitted('a.cur', 'a.done')}}}
+      ELSE {{'cur': CASE WHEN a.cur <> '' THEN a.cur || chr(10) || chr(10) || x.cur ELSE x.cur END, 'done': a.done}} END,
+      {{'cur': '', 'done': []::VARCHAR[]}})"""
+    return f"list_transform([{packed}], lambda r: {emitted('r.cur', 'r.done')})[1]"
+
+
+def _sql_chunks(chunks: str) -> str:
+    """Rows of ``explode_chunks`` from (doc_id, chunks)."""
+    return f"""x AS (SELECT doc_id::VARCHAR AS source, len(chunks)::INT AS total_chunks, unnest(chunks) AS text,
+  (generate_subscripts(chunks, 1) - 1)::INT AS chunk_index FROM {chunks})
+SELECT source || '_' || chunk_index::VARCHAR AS chunk_id, text, source, NULL::VARCHAR AS file_path, chunk_index, total_chunks,
+  'healthcare_docs' AS category FROM x WHERE {sql_strip('text')} <> ''"""
+
+
+# Lines one after another: a rule, or a blank line behind more than 500 characters, ends a section.
+@query("document_sections", f"""
+WITH l AS (SELECT doc_id, string_split(replace(coalesce(text, ''), '.' || chr(10), '.' || chr(10) || chr(10)), chr(10)) AS lines FROM documents),
+f AS (SELECT doc_id, list_reduce(list_transform(lines, lambda w: {{'cur': w, 'n': 0, 'done': []::VARCHAR[]}}), lambda a, x:
+  CASE WHEN starts_with({sql_strip('x.cur')}, '---') OR ({sql_strip('x.cur')} = '' AND a.n > 0 AND length(a.cur) > 500)
+    THEN {{'cur': '', 'n': 0, 'done': CASE WHEN a.n > 0 THEN list_append(a.done, a.cur) ELSE a.done END}}
+    ELSE {{'cur': CASE WHEN a.n > 0 THEN a.cur || chr(10) || x.cur ELSE x.cur END, 'n': a.n + 1, 'done': a.done}} END,
+  {{'cur': '', 'n': 0, 'done': []::VARCHAR[]}}) AS r FROM l),
+s AS (SELECT doc_id, list_filter(list_transform(list_append(r.done, r.cur), lambda t: {sql_strip('t')}), lambda t: t <> '') AS sections FROM f),
+p AS (SELECT doc_id, flatten(list_transform(sections, lambda t: CASE WHEN length(t) > 1000
+  THEN {_sql_pack("string_split(t, chr(10) || chr(10))", 1000, 0, True)} ELSE [t] END)) AS chunks FROM s), {_sql_chunks('p')}""")
 def document_sections(spark, d):
     return TR.explode_chunks(table(spark, d, "documents"), C.pack_paragraphs(
         C.section_split(F.replace("text", F.lit(".\n"), F.lit(".\n\n")))), "doc_id")
 
 
-@query("numbered_sections")
+# Every line but the first is a numbered heading, so lines are what is merged.
+@query("numbered_sections", f"""
+WITH l AS (SELECT doc_id, string_split(replace(coalesce(text, ''), chr(10), chr(10) || '1. '), chr(10)) AS lines FROM documents),
+s AS (SELECT doc_id, list_filter(list_transform(lines, lambda w: {sql_strip('w')}), lambda w: w <> '') AS lines FROM l),
+p AS (SELECT doc_id, {_sql_pack('lines', 8000, 2, False)} AS chunks FROM s), {_sql_chunks('p')} AND length(text) >= 50""")
 def numbered_sections(spark, d):
     numbered = F.regexp_replace("text", "\n", "\n1. ")
     return TR.explode_chunks(
