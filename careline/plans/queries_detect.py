@@ -142,7 +142,23 @@ def tagged_entities(spark, d):
         F.col("start").cast("bigint").alias("start"), "confidence").agg(F.count("*").alias("n"))
 
 
-@query("medical_entities")
+# Entities from the left: one per lemma; of two that overlap the later one only wins by its source.
+@query("medical_entities", f"""WITH {KO_DOCS},
+c AS (SELECT doc_id, i, 0 AS rank, term AS text, term AS lemma, category, 'NNG' AS pos_tag, instr(lower(text), term) - 1 AS start,
+    0.8::DOUBLE AS confidence, 'fallback' AS source FROM kodocs,
+    {sql_values([[i, *r] for i, r in enumerate(medical.NOUNS)], 'n(i, term, category, description)')} WHERE contains(lower(text), term)
+  UNION ALL SELECT doc_id, i, 3, m, lemma, category, 'COMPOUND', instr(text, m) - 1, 0.95::DOUBLE, 'pattern' FROM (
+    SELECT doc_id, i, text, regexp_extract(text, p, 0) AS m, category, lemma FROM kodocs,
+    {sql_values([[i + 1000, *r] for i, r in enumerate(medical.COMPOUNDS)], 'c(i, p, category, lemma)')} WHERE regexp_matches(text, p))),
+o AS (SELECT doc_id, list({{'rank': rank, 'text': text, 'lemma': lemma, 'category': category, 'pos_tag': pos_tag, 'start': start,
+    'stop': start + length(text), 'confidence': confidence, 'source': source}} ORDER BY start, rank DESC, i) AS es FROM c GROUP BY doc_id),
+k AS (SELECT doc_id, unnest(list_reduce(list_transform(es, lambda e: {{'e': e, 'kept': es[1:0]}}), lambda a, x: {{'e': x.e, 'kept':
+    CASE WHEN len(list_filter(a.kept, lambda k: k.lemma = x.e.lemma)) > 0 THEN a.kept
+      WHEN len(a.kept) > 0 AND x.e.start < a.kept[-1].stop THEN CASE WHEN x.e.rank > a.kept[-1].rank
+        THEN list_append(a.kept[1:len(a.kept) - 1], x.e) ELSE a.kept END
+      ELSE list_append(a.kept, x.e) END}}, {{'e': es[1], 'kept': es[1:0]}}).kept) AS e FROM o)
+SELECT doc_id, e.text AS text, e.lemma AS lemma, e.category AS category, e.pos_tag AS pos_tag, e.start::INT AS start, e.stop::INT AS "end",
+  e.confidence AS confidence, e.source AS source FROM k""")
 def medical_entities(spark, d):
     return unpack(_ko_docs(spark, d), ["doc_id"], L.medical_entities("text"), "start")
 
@@ -428,22 +444,84 @@ def pii_candidates(spark, d):
         "doc_id", "pii_type", F.col("text").alias("found")).agg(F.count("*").alias("n"))
 
 
+def _sql_pii() -> str:
+    """Accepted detections: ``acc`` (doc_id, start, stop, text, pii_type, mask, strategy, confidence).
+
+    All candidates are placed, chains of candidates that touch are islands, and in each the
+    candidates are taken in the order of their detectors.
+    """
+    family = sorted(pii.FAMILY, key=lambda r: -len(r[0]))
+    patterns = [[P.ORDER.index(k), 0, k, p, *pii.MASKS[k]] for k, p in _SIMPLE.items()]
+    emotional = [(pii.surface_pattern(s), pii.EMOTION_MASK, pii.EMOTION_STEM_CONFIDENCE) for s in pii.EMOTION_STEMS]
+    emotional += [(w + pii.SURFACE_TAIL, mask, pii.EMOTION_WORD_CONFIDENCE)
+                  for ws, mask in ((pii.EMOTION_WORDS, pii.EMOTION_MASK), (pii.CRISIS_WORDS, pii.CRISIS_MASK)) for w in ws]
+    patterns += [[9, i, "emotional", p, mask, pii.GENERALIZE, c] for i, (p, mask, c) in enumerate(emotional)]
+    terms = [[7, i, "family_ref", t, mask, pii.PSEUDONYMIZE, pii.FAMILY_CONFIDENCE] for i, (t, mask) in enumerate(family)]
+    terms += [[8, i, "stigma", t, mask, pii.GENERALIZE, pii.STIGMA_CONFIDENCE] for i, (t, mask) in enumerate(pii.STIGMA)]
+    names = "(rank, sub, pii_type, p, mask, strategy, confidence)"
+    name_mask, name_strategy, name_confidence = pii.MASKS["name"]
+    honorific = ", ".join(q(t) for t in pii.HONORIFIC_FAMILY)
+    return f"""
+pm AS (SELECT doc_id, v.*, regexp_extract_all(text, p, 0) AS ms, string_split_regex(text, p) AS gs FROM kodocs, {sql_values(patterns, 'v' + names)}
+  WHERE regexp_matches(text, p)
+  UNION ALL SELECT doc_id, v.*, list_transform(string_split(text, p)[2:], lambda z: p), string_split(text, p) FROM kodocs,
+  {sql_values(terms, 'v' + names)} WHERE contains(text, p)),
+pe AS (SELECT doc_id, rank, sub, pii_type, mask, strategy, confidence, unnest(ms) AS text, unnest(gs[1:len(ms)]) AS gap,
+  generate_subscripts(ms, 1) AS i FROM pm),
+pp AS (SELECT *, sum(length(gap) + length(text)) OVER (PARTITION BY doc_id, rank, sub ORDER BY i) - length(text) AS start FROM pe),
+nr AS (SELECT doc_id, unnest(runs) AS r, generate_subscripts(runs, 1) AS i FROM
+  (SELECT doc_id, regexp_extract_all(text, '[가-힣]+|[^가-힣]+', 0) AS runs FROM kodocs)),
+np AS (SELECT *, sum(length(r)) OVER w - length(r) AS start, lead(r) OVER w AS gap, lead(r, 2) OVER w AS behind FROM nr
+  WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+ca AS (SELECT doc_id, rank, sub, pii_type, text, start, start + length(text) AS stop, CASE WHEN pii_type = 'age_specific'
+    THEN (regexp_extract(text, '[0-9]{{1,3}}', 0)::INT // 10 * 10)::VARCHAR || mask ELSE mask END AS mask, strategy, confidence,
+    text IN ({honorific}) AND pii_type IN ('family_ref', 'stigma') AS honorific FROM pp
+  UNION ALL SELECT doc_id, {P.ORDER.index('name')}, 0, 'name', r, start, start + length(r), '', {q(name_strategy)}, {name_confidence}, false FROM np
+  WHERE regexp_matches(r, '^({_SURNAME})[가-힣]{{1,2}}$') AND r NOT IN ({', '.join(q(w) for w in pii.NOT_NAMES)})
+    AND (length(r) = 3 OR left(r, 1) NOT IN ({', '.join(q(w) for w in pii.AMBIGUOUS_SURNAMES)})
+      OR (trim(gap) = '' AND regexp_matches(behind, {q(_HONOR)})))),
+cb AS (SELECT *, start - honorific::INT AS lo, stop + (pii_type = 'name')::INT AS hi FROM ca),
+cc AS (SELECT *, coalesce(lo >= max(hi) OVER (PARTITION BY doc_id ORDER BY lo, hi, rank, sub ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS fresh FROM cb),
+cd AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY lo, hi, rank, sub ROWS UNBOUNDED PRECEDING) AS island FROM cc),
+ci AS (SELECT doc_id, island, list_sort(list({{'rank': rank, 'sub': sub, 'start': start, 'stop': stop, 'text': text, 'pii_type': pii_type,
+    'mask': mask, 'strategy': strategy, 'confidence': confidence::DOUBLE, 'honorific': honorific}})) AS cs FROM cd GROUP BY doc_id, island),
+ck AS (SELECT doc_id, unnest(list_reduce(list_transform(cs, lambda c: {{'c': c, 'kept': cs[1:0], 'skipped': cs[1:0]}}), lambda a, x:
+  CASE WHEN len(list_filter(a.kept, lambda k: x.c.start < k.stop AND x.c.stop > k.start)) > 0
+      OR (x.c.pii_type = 'family_ref' AND len(list_filter(a.skipped, lambda k: x.c.start >= k.start AND x.c.stop <= k.stop)) > 0) THEN a
+    WHEN x.c.pii_type = 'family_ref' AND x.c.honorific AND len(list_filter(a.kept, lambda k: k.pii_type = 'name' AND abs(x.c.start - k.stop) <= 1)) > 0
+      THEN {{'c': x.c, 'kept': a.kept, 'skipped': list_append(a.skipped, x.c)}}
+    ELSE {{'c': x.c, 'kept': list_append(a.kept, x.c), 'skipped': a.skipped}} END, {{'c': cs[1], 'kept': cs[1:0], 'skipped': cs[1:0]}}).kept) AS k FROM ci),
+nf AS (SELECT doc_id, k.text AS text, min(k.start) AS first FROM ck WHERE k.pii_type = 'name' GROUP BY doc_id, k.text),
+nn AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1 AS n FROM nf),
+acc AS (SELECT ck.doc_id, k.start::INT AS start, k.stop::INT AS stop, k.text AS text, k.pii_type AS pii_type,
+  CASE WHEN k.pii_type = 'name' THEN {q(name_mask)} || chr((65 + n % 26)::INT) || ']' ELSE k.mask END AS mask,
+  k.strategy AS strategy, k.confidence AS confidence FROM ck LEFT JOIN nn ON k.pii_type = 'name' AND nn.doc_id = ck.doc_id AND nn.text = k.text)"""
+
+
+_PII = f"{KO_DOCS.replace('AS (', 'AS MATERIALIZED (', 1)}, {_sql_pii()}"
+
+
 def _detected(spark, d):
     return _ko_docs(spark, d).withColumn("pii", P.detect_pii("text"))
 
 
-@query("pii_spans")
+@query("pii_spans", f"""WITH {_PII} SELECT doc_id, start, stop AS "end", text, pii_type, mask, strategy, confidence FROM acc""")
 def pii_spans(spark, d):
     return unpack(_detected(spark, d), ["doc_id"], F.col("pii"), "start")
 
 
-@query("pii_redacted")
+@query("pii_redacted", f"""WITH {_PII},
+pg AS (SELECT acc.doc_id, acc.start, acc.mask, d.text, acc.stop, coalesce(lag(stop) OVER (PARTITION BY acc.doc_id ORDER BY acc.start), 0) AS done
+  FROM acc JOIN kodocs d USING (doc_id)),
+pd AS (SELECT doc_id, string_agg(substr(text, done + 1, start - done) || mask, '' ORDER BY start) || substr(any_value(text), max(stop) + 1) AS redacted,
+  count(*) AS n FROM pg GROUP BY doc_id)
+SELECT doc_id, coalesce(redacted, text, '') AS redacted, coalesce(n, 0)::INT AS n_pii FROM kodocs LEFT JOIN pd USING (doc_id)""")
 def pii_redacted(spark, d):
     return _detected(spark, d).select(
         "doc_id", P.redact("text", F.col("pii")).alias("redacted"), P.pii_count(F.col("pii")).alias("n_pii"))
 
 
-@query("pii_by_type")
+@query("pii_by_type", f"WITH {_PII} SELECT pii_type, count(*) AS n FROM acc GROUP BY pii_type")
 def pii_by_type(spark, d):
     return unpack(_detected(spark, d), [], F.col("pii"), "p", None, ["p"]).groupBy(
         F.col("p.pii_type").alias("pii_type")).agg(F.count("*").alias("n"))
