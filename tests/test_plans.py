@@ -1,7 +1,7 @@
 """Shapes of physical plans, and streams over several batches."""
 
 import pytest
-from conftest import SMALL
+from compare import SMALL
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry

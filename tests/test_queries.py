@@ -1,8 +1,7 @@
 """Every registered query on the smallest tables, against its SQL where it has one."""
 
 import pytest
-from compare import compare, connect
-from conftest import SMALL
+from compare import SMALL, compare, connect
 
 import __spark_entry__ as entry
 

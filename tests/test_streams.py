@@ -2,7 +2,7 @@
 
 import pytest
 from compare import compare, connect
-from conftest import SMALL
+from compare import SMALL
 
 import __spark_entry__ as entry
 from careline.operators import turns as O
