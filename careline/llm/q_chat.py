@@ -1,7 +1,5 @@
 """op10: all conversations formatted, and read back from the output."""
 
-from pyspark.sql import functions as F
-
 from careline.llm import chat
 from careline.llm.common import read
 
@@ -12,17 +10,7 @@ def op10_chat_format(spark, sf_dir):
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame(
         [(-1, 0, "user", PLANTED), (-1, 1, "assistant", PLANTED)], turns.schema)
-    done = chat.render(chat.fold(chat.replayed(turns.unionByName(extra))))
-    back = done.select(
-        "conv_id", F.length("formatted").cast("bigint").alias("formatted_chars"),
-        chat.parse(F.col("formatted")).alias("turns"),
-        chat.learnt_text(F.col("formatted"), F.col("loss")).alias("learnt"))
-    text = F.array_join(F.transform("turns", lambda t: F.concat(
-        t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return back.select(
-        "conv_id", F.size("turns").cast("bigint").alias("n_turns"),
-        F.sha2(text, 256).alias("turns_sha256"), F.length("learnt").cast("bigint").alias("loss_chars"),
-        F.sha2("learnt", 256).alias("loss_sha256"), "formatted_chars")
+    return chat.read_back(chat.rendered(chat.fold(chat.replayed(turns.unionByName(extra)))))
 
 
 def _escaped(text: str) -> str:

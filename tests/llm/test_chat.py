@@ -52,3 +52,45 @@ def test_query_has_the_planted_conversation(spark):
     text = f"user\n{PLANTED}\nassistant\n{PLANTED}\n"
     assert r.n_turns == 2 and r.turns_sha256 == hashlib.sha256(text.encode()).hexdigest()
     assert r.loss_chars == len(PLANTED) and r.loss_sha256 == hashlib.sha256(PLANTED.encode()).hexdigest()
+
+
+def test_turns_of_one_conversation_are_spread_and_stay_rows(spark):
+    from pyspark.sql import functions as F
+
+    # one conversation, all turns with the same number, in pieces of rows that no task joins
+    n = 4000
+    df = spark.range(n).select(
+        F.lit(7).cast("long").alias("conv_id"), F.lit(0).alias("turn"),
+        F.when(F.col("id") % 2 == 0, "assistant").otherwise("user").alias("role"),
+        F.format_string("%05d <s> \\ text", F.col("id")).alias("text"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        log = chat.replayed(df)
+        assert log.groupBy(F.spark_partition_id()).count().count() > 1
+        turns = chat.rendered(chat.fold(log))
+        rows = turns.orderBy("at").collect()
+        plan = turns._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert "Window" not in plan
+    texts = sorted(("assistant" if i % 2 == 0 else "user", f"{i:05d} <s> \\ text") for i in range(n))
+    assert len(rows) == n
+    whole = "".join(r.turn for r in rows)
+    for r, (role, text) in zip(rows, texts):
+        assert whole[r.at:r.at + len(r.turn)] == r.turn and r.learnt == (role == "assistant")
+        assert whole[r.start:r.start + r.chars] == text.replace("\\", "\\\\").replace("<s>", "<\\s>")
+    got = chat.read_back(turns).first()
+    joined = "".join(f"{role}\n{text}\n" for role, text in texts)
+    assert (got.n_turns, got.formatted_chars) == (n, len(whole))
+    assert got.turns_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+    learnt = "".join(text for role, text in texts if role == "assistant")
+    assert got.loss_chars == len(learnt) and got.loss_sha256 == hashlib.sha256(learnt.encode()).hexdigest()
+
+
+def test_pieces_of_a_text(spark):
+    text = "é👍🏽\n\r" * 100 + "x"
+    df = spark.createDataFrame([(1, 0, "user", text), (1, 1, "user", "")], "conv_id long, turn int, role string, text string")
+    log = [r for r in chat.replayed(df, piece=7).filter("seq >= 3").orderBy("message", "seq").collect()]
+    pieces = [r.text for r in log if r.message == log[0].message]
+    assert "".join(pieces) == text and [len(p) for p in pieces[:-1]] == [7] * (len(pieces) - 1)
+    assert [(r.seq, r.text) for r in log if r.message != log[0].message] == [(3, "")]
