@@ -15,11 +15,13 @@ document. The chain is cut into as many pieces as a piece is long: transfer matr
 multiplied side by side, messages pass over the pieces, and the pieces are filled in side by
 side. The result is exact for texts of any length.
 
-Training takes a bounded sample (``PER_LANGUAGE`` rows of each language) from rows that are
-not held out, on the driver; the model has a fixed size. Prediction reads whole texts, in blocks.
+Training takes a bounded sample (``PER_LANGUAGE`` rows of each language, of any length) from rows
+that are not held out and have a letter, on the driver; the model has a fixed size. Of a text longer than
+``ROW_CHARS`` it sees the letters of four spans, one from anywhere in each quarter (words may be cut at
+their ends). Prediction reads whole texts, in blocks.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; without any
-labelled row everything is ``und``; a null language is not learned; repeated rows are
+labelled row everything is ``und``, and ``with_known_language`` keeps every row; a null language is not learned; repeated rows are
 predicted each; other columns play no part.
 """
 
@@ -33,9 +35,9 @@ from pyspark.sql import functions as F
 
 from careline.llm.common import appended
 from careline.llm.pretokens import LETTER, blocks, classes, distinct, multipliers
-from careline.llm.splits import held_out, sampled
+from careline.llm.splits import held_out, sampled, spans
 
-#: Rows of each language that are learned from, and the longest text among them.
+#: Rows of each language that are learned from, and the characters of each that are seen.
 PER_LANGUAGE, ROW_CHARS = 100, 20_000
 BUCKETS = 1 << 17
 ORDERS = (1, 2, 3, 4)
@@ -248,11 +250,17 @@ def label(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray]
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         per_language: int = PER_LANGUAGE) -> Model:
     """A model of the rows that are not held out and have a language."""
+    text = F.col(text_col)
     rows = docs.filter(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()
-                       & (F.length(text_col) <= ROW_CHARS))
+                       & text.rlike(r"\p{L}"))
     some, _ = sampled(rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"),
-                                  F.col(text_col).alias("text")), "id", "lang", per_language)
-    return train([(r["text"], r["lang"]) for r in some.collect()])
+                                  text.alias("text")), "id", "lang", per_language)
+    # what is no letter only separates words, so a span is never without any
+    letters = F.when(F.length("text") <= ROW_CHARS, F.col("text")).otherwise(
+        F.trim(F.regexp_replace("text", r"[^\p{L}]+", " ")))
+    seen = some.select("id", "lang", letters.alias("text")).select(
+        "lang", spans(F.col("text"), F.col("id"), ROW_CHARS).alias("text"))
+    return train([(r["text"], r["lang"]) for r in seen.collect()])
 
 
 def with_language(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None,
@@ -264,7 +272,10 @@ def with_language(docs: DataFrame, model: Model, text_col: str = "text", keep: l
 
 
 def with_known_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that a language can be given, with their columns."""
+    """The rows of ``docs`` whose text has a letter, with their columns; all rows, if the model knows
+    no language."""
+    if not model.languages:
+        return docs
     free = "_"
     while any(c.startswith(free) for c in docs.columns):
         free += "_"

@@ -6,9 +6,10 @@ with the next). A hidden layer turns the pooled responses of a chunk into chunk
 mean and their maximum over all chunks of the text give one logistic probability. As a filter
 on one-hot bytes is a sum of one table row per place, a response is a sum of ``WIDTH`` look-ups.
 
-Training takes a bounded sample (``PER_LABEL`` rows of each label, texts up to ``ROW_BYTES``) of
+Training takes a bounded sample (``PER_LABEL`` rows of each label, of any length) of
 rows that are not held out, on the driver, by Adam with weights that restore the shares of the
-labels, so that the score is a probability. The model has a fixed size. Scoring reads whole
+labels, so that the score is a probability. Of a text longer than ``ROW_BYTES`` it sees about so many
+bytes: four spans, one from anywhere in each quarter. The model has a fixed size. Scoring reads whole
 texts in pieces of bounded size.
 
 Defined cases: null and empty texts are one chunk of zero bytes and get its score; without rows of both
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from careline.llm.common import appended
-from careline.llm.splits import held_out, sampled
+from careline.llm.splits import held_out, sampled, spans
 
 PER_LABEL, ROW_BYTES = 900, 12_000
 FILTERS, WIDTH, HIDDEN = 16, 5, 16
@@ -190,9 +191,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.filter(~held_out(F.col(id_col)) & F.col(label_col).isin(0, 1)).select(
         F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     some, shares = sampled(known, "id", "label", per_label)  # a few thousand ids at most
-    texts = docs.filter(F.octet_length(text_col) <= ROW_BYTES).select(
+    texts = docs.filter(F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(some), "id").collect()
+    # characters that hold ROW_BYTES bytes at the text's own bytes a character
+    most = F.floor(ROW_BYTES * (F.length("text") / F.greatest(F.octet_length("text"), F.lit(1))))
+    rows = texts.join(F.broadcast(some), "id").select("label", F.when(
+        F.octet_length("text") <= ROW_BYTES, F.col("text")).otherwise(
+            spans(F.col("text"), F.col("id"), most)).alias("text")).collect()
     return train([(r["text"], r["label"], 1 / shares[r["label"]]) for r in rows])
 
 

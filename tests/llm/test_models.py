@@ -122,3 +122,39 @@ def test_samples_are_bounded_and_whole(spark):
     assert n["rare"] == 200 and 140 < n["often"] < 260 and shares["rare"] == 1
     held = spark.createDataFrame([(5,), (None,)], "id long").select(held_out(F.col("id")).alias("h")).collect()
     assert [r.h for r in held] == [zlib.crc32(b"5") % 5 == 0, False]
+
+
+def test_long_rows_are_learned(spark):
+    # books only: numbers in front, so that a span of raw characters could be without any letter
+    words = {"en": "the house and the garden of it with that ", "de": "der die das und nicht mit ein auch ist "}
+    rows = [(i, "12 " * 30_000 + words[k] * 800 + "34 " * 30_000, k) for i, k in enumerate(["en", "de"] * 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert model.languages == ["de", "en"]
+    assert langid.label(["the garden of the house", "das ist nicht der"], model)[0] == ["en", "de"]
+    good = [(i, ("fine words of a text. " if i % 2 else "$$ || ## @@ !! ") * 1500, i) for i in range(60)]
+    docs = spark.createDataFrame(good, "doc_id long, text string, n int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    net = quality.fit(docs, labels)
+    assert quality.score(net, ["fine words of a text. " * 9])[0] > 0.5 > quality.score(net, ["$$ || ## @@ !! " * 9])[0]
+
+
+def test_no_language_rejects_nothing(spark, odd_docs):
+    docs = odd_docs.withColumn("lang", F.lit(None).cast("string"))
+    model = langid.fit(docs)
+    assert model.languages == []
+    kept = langid.with_known_language(docs, model)
+    assert kept.columns == docs.columns and kept.count() == docs.count()
+
+
+def test_spans_are_bounded_and_from_the_whole_text(spark):
+    from careline.llm.splits import spans
+
+    text = "".join(chr(0x4E00 + i) for i in range(1000))
+    df = spark.createDataFrame([(i, t) for i in range(20) for t in (text, text[:40])], "id long, text string")
+    found = [r.s for r in df.select(spans(F.col("text"), F.col("id"), 40).alias("s")).collect()]
+    assert text[:40] in found and all(len(s) <= 43 for s in found)
+    for s in set(found) - {text[:40]}:
+        parts = s.split(" ")
+        assert [len(p) for p in parts] == [10] * 4 and all(p in text[250 * i:250 * i + 250] for i, p in enumerate(parts))
+    assert len(set(found)) > 10
