@@ -4,7 +4,9 @@ A page is cut into blocks at block-level tags. Pass one decides blocks by what t
 where they stand: blocks in navigation, headers, footers, sidebars, forms, adverts, notices
 or comments are boilerplate, and so are blocks that are mostly links; long blocks with enough stop
 words are text; other blocks inside an article element are text unless they are short. What
-is left, short or sparse blocks, is ambiguous. Pass two gives an ambiguous block the label of
+is left, short or sparse blocks (code, tables, lists of names), is ambiguous. If more characters stand in long
+ambiguous blocks than in text, and no article element tells more, the page is taken to be in a language
+without listed stop words: there long blocks are text by their length and few links alone. Pass two gives an ambiguous block the label of
 the nearest decided blocks in its own container (article, section), and in the whole page if
 that has none: both alike, or the nearer one; at equal distance, text. A page without any text
 by these rules has its ambiguous blocks as text.
@@ -198,12 +200,17 @@ def _decided(b: Block, names: bool) -> bool | None:
     stops = sum(w in STOP_WORDS for w in words)
     if b.article or stops >= STOPS * len(words) and words:
         return True
-    return None if stops else False
+    return None
 
 
 def labels(blocks: list[Block], names: bool = True) -> list[bool]:
     """The label of each block after both passes."""
     first = [_decided(b, names) for b in blocks]
+    if not any(b.article for b in blocks):
+        sparse = [i for i, b in enumerate(blocks) if first[i] is None and len(b.text) >= SHORT]
+        if sum(len(blocks[i].text) for i in sparse) > sum(len(b.text) for b, f in zip(blocks, first) if f):
+            for i in sparse:
+                first[i] = True
 
     def nearest(i: int, step: int, inside: bool) -> tuple[int, bool] | None:
         return reach[step, inside][i]

@@ -62,3 +62,29 @@ def test_odd_tables(spark):
     assert sorted(str(tuple(r)) for r in extract.with_main_text(df).collect()) == sorted(
         str(t) for t in [(1, None, None, ""), (1, None, None, ""), (None, "u", "<p>a", "a")])
     assert extract.with_main_text(df.limit(0), keep=["page_id"]).count() == 0
+
+
+TEXT = "<p>This is the text of the page and it is long enough to be recognised as such by the rules of the game, number {}.</p>"
+
+
+def test_code_tables_and_names_between_paragraphs_of_a_div_page():
+    code = "def fold(xs): return reduce(lambda x, y: x + y, xs, 0) # O(n) additions, O(1) memory"
+    names = "Anna Berg, Boris Klein, Clara Stein, Dmitri Orlov, Elena Petrova, Farid Haddad"
+    row = "<tr><td>2019</td><td>northern district, measured quantity 12.5 kg/m3, deviation 0.25 kg/m3</td></tr>"
+    page = (f"<body><div class=nav><a href=1>One</a></div><div>{TEXT.format(1)}<pre>{code}</pre>{TEXT.format(2)}<p>{names}</p>"
+            f"{TEXT.format(3)}<table>{row}</table>{TEXT.format(4)}</div><div class=footer>Street 1</div></body>")
+    found = extract.main_text(page).split("\n")
+    assert code in found and names in found and "2019" in found and len(found) == 8
+    assert "northern district, measured quantity 12.5 kg/m3, deviation 0.25 kg/m3" in found
+
+
+@pytest.mark.parametrize("notice", ["", "<div>We use all of the data that you give to us, and it is kept by us for a year.</div>"])
+def test_div_page_in_an_unlisted_language(notice):
+    text = ["Москва является крупнейшим городом страны, здесь живут миллионы жителей разных профессий.",
+            "Каждый год сюда приезжают путешественники, которых привлекают музеи, театры и старинные улицы.",
+            "Городские власти обещают построить новые станции метро, а также обновить старые дома центра."]
+    page = (f"<body><div class=menu><a href=1>Главная</a> <a href=2>Новости</a></div><div><h1>Город</h1>"
+            f"{''.join(f'<p>{t}</p>' for t in text)}</div>{notice}<ul><li><a href=3>Читайте также другие материалы нашего сайта о жизни города</a></li></ul>"
+            "<div class=footer>Все права защищены законом, перепечатка материалов запрещена без разрешения</div></body>")
+    found = extract.main_text(page).split("\n")
+    assert found[:4] == ["Город", *text] and all("Читайте" not in t and "права" not in t for t in found)
