@@ -14,7 +14,8 @@ by these rules has its ambiguous blocks as text.
 Each page is one value and is read in one pass of a tag expression; nothing is shuffled.
 
 Defined cases: null, empty and tagless pages work (the latter are blocks of plain text); a
-page without any text gives the empty text; unclosed and stray tags are tolerated; repeated
+page without any text gives the empty text; unclosed and stray tags are tolerated, and end tags that HTML
+lets a page leave out (of paragraphs, items, cells and rows) are implied; repeated
 rows and other columns stay as they are.
 """
 
@@ -47,6 +48,20 @@ ARTICLES = set("article main".split())
 CONTAINERS = ARTICLES | set("section body".split())
 # fixed values: elements that never have an end tag
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+# fixed values: start tags that end an open paragraph, and others with the open elements that they end and
+# the elements beyond which they do not look
+PARAGRAPH_ENDS = set("""address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption
+figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul""".split())
+CELLS = set("table caption td th".split())
+ITEM_BOUNDS = BLOCKS - set("address div p".split())
+ROW_GROUPS = set("thead tbody tfoot".split())
+ENDED = {
+    "li": ({"li"}, ITEM_BOUNDS), "dt": ({"dt", "dd"}, ITEM_BOUNDS), "dd": ({"dt", "dd"}, ITEM_BOUNDS),
+    "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "tr": ({"tr", "caption"}, {"table"}),
+    **{g: (ROW_GROUPS | {"caption"}, {"table"}) for g in ROW_GROUPS}}
+# fixed values: elements beyond which an end tag does not look for its start
+END_BOUNDS = {"p": CELLS, "dt": CELLS | {"dl"}, "dd": CELLS | {"dl"}, "li": CELLS | set("ul ol menu dir".split()),
+              "td": {"table"}, "th": {"table"}, "tr": {"table"}, **dict.fromkeys(ROW_GROUPS, {"table"})}
 # fixed values: words of class and id names that mark what is not main text
 MARKS = set("""ad ads adv advert adverts advertisement advertising adsbygoogle sponsor sponsored sponsors promo
 promos promoted promotion banner cookie cookies consent gdpr notice notices notification notifications alert
@@ -123,6 +138,15 @@ def cut(page: str) -> list[Block]:
     places = 0
     lost = ""  # a dropped element whose end is awaited
 
+    def end(names: set[str], bounds: set[str]) -> None:
+        """Close the innermost open element of these names, with all in it."""
+        for i in range(len(state) - 1, 0, -1):
+            if state[i][0] in names:
+                del state[i:]
+                return
+            if state[i][0] in bounds:
+                return
+
     def flush() -> None:
         nonlocal linked
         if pieces:
@@ -154,14 +178,11 @@ def cut(page: str) -> list[Block]:
             if name in BLOCKS:
                 flush()
                 in_link = 0 if name in CONTAINERS or name in ASIDES else in_link
-            for i in range(len(state) - 1, 0, -1):
-                if state[i][0] == name:
-                    del state[i:]
-                    break
+            end({name}, END_BOUNDS.get(name, set()))
             continue
         if name in DROPPED and not rest.endswith("/"):
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            close = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+            at = close.end() if close else len(page)
             if name in BLOCKS:
                 flush()
             continue
@@ -172,13 +193,17 @@ def cut(page: str) -> list[Block]:
             in_link = 1
         if name in BLOCKS:
             flush()
+        if name in PARAGRAPH_ENDS:
+            end({"p"}, CELLS)
+        if name in ENDED:
+            end(*ENDED[name])
         if name == "body":
             state = state[:1]
         if name in VOID or rest.endswith("/"):
             continue
         _, aside, marked, article, place = state[-1]
         unseen, odd = (False, False) if name in ("body", "html") or name in ARTICLES else _marked(rest)
-        if name in BLOCKS and name not in ("p", "li", "hr") or odd:
+        if name in BLOCKS and name != "hr" or odd:
             if name in CONTAINERS:
                 places += 1
                 place = places

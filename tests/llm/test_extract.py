@@ -88,3 +88,15 @@ def test_div_page_in_an_unlisted_language(notice):
             "<div class=footer>Все права защищены законом, перепечатка материалов запрещена без разрешения</div></body>")
     found = extract.main_text(page).split("\n")
     assert found[:4] == ["Город", *text] and all("Читайте" not in t and "права" not in t for t in found)
+
+
+@pytest.mark.parametrize("page, kept", [
+    ("<div><p class=share>Tell it<p>{0}<p class=copyright>Owned<h2>Part</h2><p>{1}</div>", ["{0}", "Part", "{1}"]),
+    ("<div><p class=share>Tell <span class=ad>it<p>{0}<ul><li class=promo>Buy<li>{1}</ul><p>{2}</div>", ["{0}", "{1}", "{2}"]),
+    ("<div><p>{0}<ul><li class=promo>Buy<ul><li>Cheap</li><li>Now</li></ul>at once</li><li>{1}</ul></div>", ["{0}", "{1}"]),
+    ("<div><p>{0}<dl><dt class=ad>Buy<dd>{1}<dt>{2}</dl></div>", ["{0}", "{1}", "{2}"]),
+    ("<div><p>{0}<table><tr class=ad><td>Buy<tr><td class=share>Tell<td>{1}<tr><td>{2}</table></div>", ["{0}", "{1}", "{2}"]),
+])
+def test_implied_end_tags(page, kept):
+    texts = [f"This is the text of the page and it is long enough to be seen as such by the rules of the game, {i}." for i in range(3)]
+    assert extract.main_text("<body>" + page.format(*texts)).split("\n") == [k.format(*texts) for k in kept]
