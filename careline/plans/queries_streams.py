@@ -49,7 +49,7 @@ def _turns(spark, d):
 @query("stream_session_context", f"""WITH {_CONTEXT}
 SELECT conv_id, turn, turn_count, recent_topic, repeated_question, topic_drifted FROM ctx WHERE role = 'user'""")
 def stream_session_context(spark, d):
-    return _run(spark, sessions.session_context(_turns(spark, d))).filter("role = 'user'").select(
+    return _run(spark, sessions.session_context(_turns(spark, d), texts=False)).filter("role = 'user'").select(
         "conv_id", "turn", "turn_count", "recent_topic", "repeated_question", "topic_drifted")
 
 

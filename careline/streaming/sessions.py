@@ -5,12 +5,16 @@ It is kept as one short JSON text. A running service passes ``keep_ms`` (``DAY_M
 drop the state of a conversation that has been silent that long; leave it out for an
 available-now run, which would go on until every state has expired. Text features are
 computed in the stream's projections, so the Python side only keeps and compares small
-values.
+values. The rows of a conversation in a batch are put in order in runs of ``HELD_ROWS``, which go to a
+temporary file, and pass the step in chunks, so a worker never holds a busy conversation.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
+import pickle
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -32,14 +36,18 @@ REFERRALS = "conv_id bigint, turn bigint, referral boolean"
 NAMES = "conv_id bigint, turn bigint, start int, name string, label string"
 SUMMARIES = "conv_id bigint, pairs bigint, from_message bigint, to_message bigint"
 DAY_MS = 24 * 3600 * 1000
+#: Rows of a conversation that a worker sorts at a time, and rows of a sorted run that it reads at a time.
+HELD_ROWS, RUN_ROWS = 20_000, 256
 
 
-def with_features(turns: DataFrame) -> DataFrame:
-    """What the context state needs of a message."""
+def with_features(turns: DataFrame, texts: bool = True) -> DataFrame:
+    """What the context state needs of a message; the text itself only passes through, if wanted."""
     hits = keyword_count(F.col("text"), medical.GATE_WORDS)
-    return turns.select(
-        "conv_id", "turn", "role", "text", T.extract_topic("text").alias("topic"),
+    found = turns.select(
+        "conv_id", "turn", "role", "text",
+        F.coalesce(F.length("text") > 15, F.lit(False)).alias("wordy"), T.extract_topic("text").alias("topic"),
         T.content_stems("text").alias("stems"), hits.alias("hits"))
+    return found if texts else found.withColumn("text", F.lit(None).cast("string"))
 
 
 def _shares(mine: set, other: set) -> bool:
@@ -50,6 +58,56 @@ def _shares(mine: set, other: set) -> bool:
 Step = Callable[[int, pd.DataFrame, object], tuple[list[tuple], object]]
 
 
+def in_order(frames: Iterator[pd.DataFrame], order: list[str], held: int = HELD_ROWS) -> Iterator[pd.DataFrame]:
+    """The rows of all frames along ``order`` (nulls last), in chunks of at most ``held`` rows or the
+    longest frame. More rows than that are sorted in runs, which are merged from a temporary file."""
+    waiting: list[pd.DataFrame] = []
+    runs: list[list[tuple[int, int]]] = []  # place and size of the parts of each run
+    n = 0
+    with tempfile.TemporaryFile() as file:
+
+        def put_away() -> None:
+            rows = pd.concat(waiting).sort_values(order)
+            waiting.clear()
+            parts = []
+            for i in range(0, len(rows), RUN_ROWS):
+                data = pickle.dumps(rows.iloc[i:i + RUN_ROWS], protocol=pickle.HIGHEST_PROTOCOL)
+                parts.append((file.seek(0, 2), len(data)))
+                file.write(data)
+            runs.append(parts)
+
+        for frame in frames:
+            if waiting and n + len(frame) > held:
+                put_away()
+                n = 0
+            waiting.append(frame)
+            n += len(frame)
+        if not runs:
+            if waiting:
+                yield pd.concat(waiting).sort_values(order)
+            return
+        columns = list(waiting[0].columns)
+        put_away()
+        at = [columns.index(c) for c in order]
+
+        def key(row: tuple) -> tuple:
+            return tuple((True, 0) if pd.isna(row[i]) else (False, row[i]) for i in at)
+
+        def rows_of(parts: list[tuple[int, int]]) -> Iterator[tuple]:
+            for place, size in parts:
+                file.seek(place)
+                yield from pickle.loads(file.read(size)).itertuples(index=False, name=None)
+
+        chunk: list[tuple] = []
+        for row in heapq.merge(*map(rows_of, runs), key=key):
+            chunk.append(row)
+            if len(chunk) == held:
+                yield pd.DataFrame(chunk, columns=columns)
+                chunk = []
+        if chunk:
+            yield pd.DataFrame(chunk, columns=columns)
+
+
 def _stateful(df: DataFrame, step: Step, order: list[str], schema: str,
               keep_ms: int | None) -> DataFrame:
     """Run ``step(key, rows, state) -> (output rows, new state)`` per conversation."""
@@ -59,13 +117,13 @@ def _stateful(df: DataFrame, step: Step, order: list[str], schema: str,
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(batches)).sort_values(order)
         known = json.loads(state.get[0]) if state.exists else None
-        out, kept = step(key[0], rows, known)
-        state.update((json.dumps(kept),))
+        for rows in in_order(batches, order):
+            out, known = step(key[0], rows, known)
+            yield pd.DataFrame(out, columns=names)
+        state.update((json.dumps(known),))
         if keep_ms is not None:
             state.setTimeoutDuration(keep_ms)
-        yield pd.DataFrame(out, columns=names)
 
     timeout = (GroupStateTimeout.NoTimeout if keep_ms is None
                else GroupStateTimeout.ProcessingTimeTimeout)
@@ -84,7 +142,7 @@ def _context_step(key, rows, past):
         out.append((
             key, r.turn, r.role, r.text, len(users), recent, list(dict.fromkeys(topics)),
             bool(gated and any(_shares(mine, set(p["stems"])) for p in users)),
-            bool(recent and peak >= 2 and not gated and len(r.text or "") > 15)))
+            bool(recent and peak >= 2 and not gated and r.wordy)))
         past = [*past, dict(role=r.role, topic=r.topic, stems=list(r.stems),
                             hits=int(r.hits))][-HISTORY:]
     return out, past
@@ -122,9 +180,10 @@ def _summary_step(threshold: int, keep_last: int) -> Step:
     return step
 
 
-def session_context(turns: DataFrame, keep_ms: int | None = None) -> DataFrame:
-    """Each turn with its context, kept per conversation (twin: ``turn_context``)."""
-    return _stateful(with_features(turns), _context_step, ["turn"], CONTEXT, keep_ms)
+def session_context(turns: DataFrame, keep_ms: int | None = None, texts: bool = True) -> DataFrame:
+    """Each turn with its context, kept per conversation (twin: ``turn_context``). Without ``texts``
+    they stay out of the state function, and the column is null."""
+    return _stateful(with_features(turns, texts), _context_step, ["turn"], CONTEXT, keep_ms)
 
 
 def once_per_session(flags: DataFrame, keep_ms: int | None = None) -> DataFrame:

@@ -73,3 +73,26 @@ def test_upsert_write_read(spark, tmp_path):
     assert files.snapshot_versions(spark, root) == ["001", "002"] and files.read_snapshot(spark, root).count() == 2
     with pytest.raises(FileExistsError):
         files.write_snapshot(again, root, "002")
+
+
+def test_rows_of_a_conversation_come_in_order_and_in_chunks():
+    import pandas as pd
+
+    rows = [((i * 7919) % 5000, f"n{i % 3}", i) for i in range(5000)] + [(None, "n0", 5000)]
+    frames = [pd.DataFrame(rows[i:i + 300], columns=["turn", "name", "x"]) for i in range(0, len(rows), 300)]
+    for held in (300, 1000, 10_000):
+        chunks = list(sessions.in_order(iter(frames), ["turn", "name"], held))
+        assert max(map(len, chunks)) <= max(held, 300) and (len(chunks) > 1) == (held < 5001)
+        got = [r[2] for c in chunks for r in c.itertuples(index=False, name=None)]
+        assert got == [r[2] for r in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))]
+    assert list(sessions.in_order(iter([]), ["turn"])) == []
+
+
+def test_a_conversation_longer_than_a_worker_holds(spark, tmp_path):
+    n = 2 * sessions.HELD_ROWS + 5
+    rows = spark.range(n).selectExpr("CAST(1 AS BIGINT) AS conv_id", "(id * 7919) % 100003 AS turn", "(id * 7919) % 100003 > 50000 AS flag")
+    rows.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("conv_id bigint, turn bigint, flag boolean").parquet(str(tmp_path / "in"))
+    out = streams.run_to_files(sessions.once_per_session(stream), str(tmp_path / "out"), str(tmp_path / "state"))
+    first = rows.filter("flag").agg({"turn": "min"}).first()[0]
+    assert out.count() == n and [r.turn for r in out.filter("referral").collect()] == [first]
