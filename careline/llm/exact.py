@@ -5,6 +5,9 @@ distinct text. A directory over the first 16 bits of the keys starts as one buck
 doubles while a bucket is overfull: a bucket of local depth d owns the keys that share d
 bits. Entries go to the owner task of their bucket, which chains entries of equal keys.
 
+The groups themselves are a plain aggregate by key and text, made before the index: it settles
+keep_id and group_size, and the index records where an entry lies but decides no row.
+
 Only DataFrame operations are used. Bytes are compared where texts are grouped: that
 aggregate combines copies before its exchange, so a group that holds a third of all rows
 leaves each task as one row. Texts cross the network once, as distinct texts per task.
