@@ -1,13 +1,13 @@
-"""Token counts per document, by pieces of distinct pre-tokens.
+"""Token counts per document, by a look-up of distinct pre-tokens in each block.
 
 A task cuts its documents into blocks of some million characters. Within a block the
-distinct pre-tokens are counted once each (pieces after the merges) and joined, by code, to
-the pre-tokens of each document; the counts are summed and no ids are made. A worker keeps
-the pieces of pre-tokens it has met in a table of bounded size.
+distinct pre-tokens get their pieces (ids after the merges) once each, and the number of pieces is
+looked up, by code, for every pre-token of a document and summed. A worker keeps the ids of
+pre-tokens it has met in a table of bounded size; a common word is merged once per worker, and again
+when that table has been cleared.
 
-The join is made per block and not over the whole corpus: invented and rare words make
-distinct pre-tokens grow with the text (a tenth of all words), so that a global join would
-shuffle more bytes than the texts hold. See the README for figures.
+This is a per-block variant, kept for its cost, of a join of distinct pre-tokens of the whole corpus
+to their frequencies per document: the counts are the same, and nothing is shuffled. See the README.
 
 Defined cases: null and empty texts have no tokens; the special token's string inside a
 text is one token; very long texts are counted in parts that are cut where a pre-token
