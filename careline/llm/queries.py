@@ -3,7 +3,7 @@
 from importlib import import_module
 
 MODULES = ["q_decontaminate", "q_langid", "q_simhash", "q_exact", "q_packing", "q_quality", "q_warc", "q_tokens",
-           "q_extract", "q_chat", "q_runs", "q_urls"]
+           "q_extract", "q_chat", "q_search", "q_runs", "q_urls"]
 
 
 def _all(kind: str) -> dict:
