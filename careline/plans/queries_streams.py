@@ -6,9 +6,6 @@ one where none is set, as in tests) and returns what it wrote.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,25 +13,15 @@ from careline.plans.korean import KO, korean_turns
 from careline.plans.queries_detect import _INTENT
 from careline.plans.queries_turns import _CONTEXT
 from careline.plans.registry import query
+from careline.sources.scratch import work_folder
 from careline.sources.tables import table
 from careline.streaming import sessions, streams
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A new folder for output, state and checkpoints of a stream, in the folder that all executors
-    share. Only a local session without ``spark.checkpoint.dir`` uses a folder of its own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="careline-")
-    return f"{root.rstrip('/')}/streams/{uuid.uuid4().hex}"
-
-
 def stream_of(spark: SparkSession, d: str, name: str, **options) -> DataFrame:
-    """A table as a stream. A table is one file or a folder of part files; the glob finds both."""
+    """A table as a stream. A table is one file or a folder of part files; the glob finds both, and no other."""
     schema = spark.read.parquet(f"{d}/{name}.parquet").schema
-    return spark.readStream.schema(schema).options(**options).parquet(f"{d}/{name}.parquet*")
+    return spark.readStream.schema(schema).options(**options).parquet(f"{d}/{{{name}.parquet}}")
 
 
 def _run(spark: SparkSession, df: DataFrame, mode: str = "append") -> DataFrame:
@@ -42,6 +29,22 @@ def _run(spark: SparkSession, df: DataFrame, mode: str = "append") -> DataFrame:
     return streams.run_to_files(df, f"{folder}/out", f"{folder}/state", mode)
 
 
+def closed(spark: SparkSession, rows: DataFrame, at: str = "at") -> DataFrame:
+    """The stream with a last row far ahead in time and else null, so that the watermark passes all real rows; that
+    row itself stays in state. It is of the same batch, or a later one, as the whole table is."""
+    folder = work_folder(spark)
+    end = F.lit("2250-01-01 00:00:00").cast("timestamp")
+    spark.range(1).select(*[(end if f.name == at else F.lit(None).cast(f.dataType)).alias(f.name)
+                            for f in rows.schema.fields]).write.parquet(f"{folder}/end")
+    return rows.unionByName(spark.readStream.schema(rows.schema).parquet(f"{folder}/end"))
+
+
+def timed(spark: SparkSession, turns: DataFrame) -> DataFrame:
+    """Turns of a table that has no times, with the turn number as seconds of a clock, and an end."""
+    start = F.lit("2000-01-01 00:00:00").cast("timestamp")
+    return closed(spark, turns.withColumn("at", F.timestamp_seconds(F.unix_seconds(start) + F.col("turn"))))
+
+
 def _turns(spark, d):
     return korean_turns(stream_of(spark, d, "conversations"))
 
@@ -49,13 +52,13 @@ def _turns(spark, d):
 @query("stream_session_context", f"""WITH {_CONTEXT}
 SELECT conv_id, turn, turn_count, recent_topic, repeated_question, topic_drifted FROM ctx WHERE role = 'user'""")
 def stream_session_context(spark, d):
-    return _run(spark, sessions.session_context(_turns(spark, d), texts=False)).filter("role = 'user'").select(
+    return _run(spark, sessions.session_context(timed(spark, _turns(spark, d)), texts=False)).filter("role = 'user'").select(
         "conv_id", "turn", "turn_count", "recent_topic", "repeated_question", "topic_drifted")
 
 
 @query("stream_turn_log", f"WITH {_INTENT} SELECT conv_id, turn, intent, intent_confidence, route FROM iv")
 def stream_turn_log(spark, d):
-    analysed = streams.turn_stream(_turns(spark, d))
+    analysed = streams.turn_stream(timed(spark, _turns(spark, d)))
     return _run(spark, analysed.select("conv_id", "turn", "intent", "intent_confidence", "route"))
 
 
@@ -64,7 +67,7 @@ FROM iv LEFT JOIN customer ON conv_id = c_custkey AND c_nationkey < 20 WHERE int
 def stream_alerts(spark, d):
     profiles = table(spark, d, "customer").filter("c_nationkey < 20").select(
         F.col("c_custkey").alias("conv_id"), F.col("c_name").alias("emergency_contact"))
-    alerts = streams.alert_stream(streams.turn_stream(_turns(spark, d)), profiles)
+    alerts = streams.alert_stream(streams.turn_stream(timed(spark, _turns(spark, d))), profiles)
     return _run(spark, alerts).select("conv_id", "turn", "level", "emergency_contact")
 
 
@@ -74,7 +77,7 @@ SELECT conv_id, turn, coalesce(role = 'user' AND length(text) > 150 AND turn = (
 def stream_once_per_session(spark, d):
     flags = stream_of(spark, d, "conversations").select(
         "conv_id", "turn", F.expr("role = 'user' AND length(text) > 150").alias("flag"))
-    return _run(spark, sessions.once_per_session(flags))
+    return _run(spark, sessions.once_per_session(timed(spark, flags)))
 
 
 @query("stream_session_names", """
@@ -86,14 +89,14 @@ SELECT conv_id, turn, start::INT AS start, name, '[사용자' || chr((65 + numbe
 def stream_session_names(spark, d):
     names = stream_of(spark, d, "conversations").select("conv_id", "turn", F.posexplode(
         F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), F.lit(0))).alias("start", "name"))
-    return _run(spark, sessions.session_names(names))
+    return _run(spark, sessions.session_names(timed(spark, names)))
 
 
 @query("stream_summary_triggers", """
 SELECT conv_id, p AS pairs, greatest(p - 2, 0) * 2 AS from_message, (p - 1) * 2 AS to_message
 FROM (SELECT conv_id, unnest(range(2, count(*) // 2 + 1)) AS p FROM conversations GROUP BY conv_id)""")
 def stream_summary_triggers(spark, d):
-    return _run(spark, sessions.summary_triggers(stream_of(spark, d, "conversations"), 2, 1))
+    return _run(spark, sessions.summary_triggers(timed(spark, stream_of(spark, d, "conversations").select("conv_id", "turn")), 2, 1))
 
 
 @query("stream_dual_sink", f"""WITH {KO}
@@ -133,11 +136,26 @@ SELECT strftime(time_bucket(INTERVAL 1 DAY, ts + INTERVAL 9 HOUR) - INTERVAL 9 H
 FROM events GROUP BY ALL""")
 def stream_activity_windows(spark, d):
     events = stream_of(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    folder = work_folder(spark)
-    # A day is written once the watermark has passed it. A last row far ahead closes the real days;
-    # its own day stays open and is not written.
-    spark.range(1).selectExpr("timestamp'9999-12-30 00:00:00' AS ts", "'end' AS event_type").write.parquet(f"{folder}/end")
-    end = spark.readStream.schema("ts timestamp, event_type string").parquet(f"{folder}/end")
-    counts = streams.activity_windows(events.select("ts", "event_type").unionByName(end))
+    counts = streams.activity_windows(closed(spark, events.select("ts", "event_type"), "ts"))
     return _run(spark, counts).select(
         F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")
+
+
+#: Kinds of events after which a user is taken to be gone sooner or later than after others.
+GAPS = {"error": "20 minutes", "view": "2 hours", "purchase": "6 hours", "signup": "12 hours"}
+GAP = "45 minutes"
+_GAPS = " ".join(f"WHEN '{k}' THEN INTERVAL '{v}'" for k, v in GAPS.items())
+
+
+@query("stream_activity_sessions", f"""
+WITH e AS (SELECT user_id, ts, event_type, ts + CASE event_type {_GAPS} ELSE INTERVAL '{GAP}' END AS open_until FROM events WHERE ts IS NOT NULL),
+o AS (SELECT *, max(open_until) OVER (PARTITION BY user_id ORDER BY ts, open_until, event_type ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e),
+s AS (SELECT *, sum(CASE WHEN before IS NULL OR ts > before THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, open_until, event_type ROWS UNBOUNDED PRECEDING) AS number FROM o)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, strftime(max(open_until), '%Y-%m-%d %H:%M:%S.%f') AS "end",
+  strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_time, count(*) AS n, count(*) FILTER (event_type = 'purchase') AS n_purchase,
+  count(*) FILTER (event_type = 'error') AS n_error FROM s GROUP BY user_id, number""")
+def stream_activity_sessions(spark, d):
+    events = stream_of(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).select("user_id", "ts", "event_type")
+    found = _run(spark, streams.activity_sessions(closed(spark, events, "ts"), GAPS, GAP))
+    shown = [F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c) for c in ("start", "end", "last_time")]
+    return found.select("user_id", *shown, "n", "n_purchase", "n_error")

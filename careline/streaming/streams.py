@@ -11,13 +11,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from careline.operators.care import due_medications, minute_of_day
 from careline.plans.pipeline import emergency_alerts, with_analysis, with_guidance, with_intent
-from careline.streaming.sessions import session_context
+from careline.streaming.sessions import rocksdb_state, session_context
 
 log = logging.getLogger(__name__)
 
-def turn_stream(turns: DataFrame, keep_ms: int | None = None) -> DataFrame:
-    """Each user message with analysis, intent and flags, as it arrives."""
-    users = session_context(turns, keep_ms).filter(F.col("role") == "user")
+def turn_stream(turns: DataFrame, **options) -> DataFrame:
+    """Each user message with analysis, intent and flags, as soon as the watermark has passed it. ``turns`` has ``at``;
+    ``options`` as of ``session_context``."""
+    users = session_context(turns, **options).filter(F.col("role") == "user")
     return with_guidance(with_intent(with_analysis(users)))
 
 
@@ -90,11 +91,34 @@ def activity_windows(events: DataFrame, at: str = "ts", kind: str = "event_type"
     )
 
 
-def run_to_files(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is available, into a parquet folder, and read that folder."""
-    query = (
-        df.writeStream.format("parquet").outputMode(mode).option("path", path)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def activity_sessions(events: DataFrame, gaps: dict[str, str], gap: str = "30 minutes", at: str = "ts",
+                      kind: str = "event_type", user: str = "user_id", late: str = "1 hour") -> DataFrame:
+    """Sessions of each user: events that come before all earlier ones of the session have run out.
+
+    An event keeps its session open for the gap of its kind (``gaps``, else ``gap``), so a session ends with the
+    latest of these ends, and an event at that very moment still belongs to it. Spark merges the windows
+    of events in state, whatever their order; a session is written once the watermark has passed its end, and rows
+    that lag behind the newest one by more than ``late`` are dropped. An event without a time takes no part.
+    """
+    width = F.lit(gap)
+    for name, own in gaps.items():
+        width = F.when(F.col(kind) == name, F.lit(own)).otherwise(width)
+    return (
+        events.filter(F.col(at).isNotNull()).withWatermark(at, late)
+        .groupBy(F.session_window(at, width).alias("session"), user)
+        .agg(F.count("*").alias("n"), F.min(at).alias("first_time"), F.max(at).alias("last_time"),
+             *[F.count_if(F.col(kind) == name).alias(f"n_{name}") for name in gaps])
+        .select(user, F.col("session.start").alias("start"), F.col("session.end").alias("end"), "n",
+                *[f"n_{name}" for name in gaps], "first_time", "last_time")
     )
+
+
+def run_to_files(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what is available, into a parquet folder, and read that folder. State is kept in RocksDB."""
+    with rocksdb_state(df.sparkSession):
+        query = (
+            df.writeStream.format("parquet").outputMode(mode).option("path", path)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        )
     query.awaitTermination()
     return df.sparkSession.read.schema(df.schema).parquet(path)
