@@ -15,7 +15,8 @@ Each page is one value and is read in one pass of a tag expression; nothing is s
 
 Defined cases: null, empty and tagless pages work (the latter are blocks of plain text); a
 page without any text gives the empty text; unclosed and stray tags are tolerated, and end tags that HTML
-lets a page leave out (of paragraphs, items, cells and rows) are implied; repeated
+lets a page leave out (of paragraphs, items, cells and rows) are implied; a button, picture, frame or the like without
+end tag ends at the next block, so no text behind it is lost; blocks may be nested to any depth at linear cost; repeated
 rows and other columns stay as they are.
 """
 
@@ -41,6 +42,9 @@ main menu nav ol optgroup option p pre search section select summary table tbody
 ul""".split())
 # fixed values: elements without text of the page
 DROPPED = set("script style noscript template svg math canvas object iframe textarea select button".split())
+# fixed values: of these, elements whose content is no markup, and elements that may hold others of their name
+RAW = set("script style".split())
+NESTED = set("template svg math canvas object".split())
 # fixed values: elements that are never main text
 ASIDES = set("head nav footer aside form dialog menu search".split())
 # fixed values: elements that hold an article, and those that group blocks
@@ -91,6 +95,7 @@ TAG = re.compile(
     r"""|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^<>"']|"[^"]*"|'[^']*')*)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'=/]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"']+)|(?<![^\s"'])(hidden)(?=[\s/]|$)""", re.I)
 WORD = re.compile(r"[^\W\d_]+")
+BLOCK_TAG = re.compile(rf"</?(?:{'|'.join(sorted(BLOCKS - DROPPED, key=len, reverse=True))})(?=[\s/>])", re.I)
 HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -127,6 +132,40 @@ def _marked(rest: str) -> tuple[bool, bool]:
     return False, any(n.lower() in MARKS for n in names)
 
 
+class Dropped:
+    """Ends of the elements of a page that are no text of it. The tags of a name are matched once."""
+
+    def __init__(self, page: str):
+        self.page, self.ends = page, {}
+
+    def end(self, name: str, start: int, at: int) -> int:
+        """The place behind the element whose start tag lies from ``start`` to ``at``. One without an end tag
+        ends in front of the next tag of a block; a script or style sheet at the end of the page."""
+        if name not in self.ends:
+            self.ends[name] = self._matched(name)
+        found = self.ends[name].get(start)
+        if found is None and name in RAW:
+            return len(self.page)
+        if found is None:
+            block = BLOCK_TAG.search(self.page, at)
+            return block.start() if block else len(self.page)
+        return max(found, at)
+
+    def _matched(self, name: str) -> dict[int, int]:
+        ends, waiting = {}, []
+        for m in re.finditer(rf"<(/?){re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)", self.page, re.I):
+            if m[1]:
+                if waiting:
+                    ends[waiting.pop()] = m.end()
+            elif name in RAW and waiting:
+                continue  # the text of a script that has no end tag yet
+            elif not m[0].endswith("/>"):
+                if name not in NESTED:
+                    waiting.clear()  # one that stands in another of its name shows that the other has no end tag
+                waiting.append(m.start())
+        return ends
+
+
 def cut(page: str) -> list[Block]:
     """Blocks of a page in page order."""
     blocks: list[Block] = []
@@ -136,16 +175,23 @@ def cut(page: str) -> list[Block]:
     # open elements that matter: (name, aside, marked, article, place)
     state = [("", False, False, False, 0)]
     places = 0
-    lost = ""  # a dropped element whose end is awaited
+    opened: dict[str, list[int]] = {}  # places in state of the open elements of each name
+    dropped = Dropped(page)
+
+    def innermost(names: set[str]) -> int:
+        return max((opened[n][-1] for n in names if opened.get(n)), default=0)
+
+    def close(first: int) -> None:
+        """Close the open elements from ``first`` on."""
+        for name, *_ in state[first:]:
+            opened[name].pop()
+        del state[first:]
 
     def end(names: set[str], bounds: set[str]) -> None:
         """Close the innermost open element of these names, with all in it."""
-        for i in range(len(state) - 1, 0, -1):
-            if state[i][0] in names:
-                del state[i:]
-                return
-            if state[i][0] in bounds:
-                return
+        found = innermost(names)
+        if found and found >= innermost(bounds):
+            close(found)
 
     def flush() -> None:
         nonlocal linked
@@ -181,8 +227,7 @@ def cut(page: str) -> list[Block]:
             end({name}, END_BOUNDS.get(name, set()))
             continue
         if name in DROPPED and not rest.endswith("/"):
-            close = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            at = close.end() if close else len(page)
+            at = dropped.end(name, m.start(), at)
             if name in BLOCKS:
                 flush()
             continue
@@ -198,7 +243,7 @@ def cut(page: str) -> list[Block]:
         if name in ENDED:
             end(*ENDED[name])
         if name == "body":
-            state = state[:1]
+            close(1)
         if name in VOID or rest.endswith("/"):
             continue
         _, aside, marked, article, place = state[-1]
@@ -207,6 +252,7 @@ def cut(page: str) -> list[Block]:
             if name in CONTAINERS:
                 places += 1
                 place = places
+            opened.setdefault(name, []).append(len(state))
             state.append((name, aside or unseen or name in ASIDES or name == "header" and not article,
                           marked or odd, article or name in ARTICLES, place))
     flush()

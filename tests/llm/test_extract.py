@@ -1,4 +1,5 @@
 import html
+import html.parser
 import re
 
 import pytest
@@ -40,6 +41,138 @@ def test_odd_pages(page, text):
     assert extract.main_text(page) == text
 
 
+LONG = "This is the text of the article and it is long enough to be recognised as such by the rules."
+
+
+@pytest.mark.parametrize("name", ["button", "select", "svg", "canvas", "object", "iframe", "textarea", "math", "template", "noscript"])
+def test_dropped_elements_without_end(name):
+    page = f"<article><h1>T</h1><p>one</p><{name} x=1>Share<p>two</p><p>three<{name}>More</{name}> four</p><{name}>x<p>five</p></article>"
+    assert extract.main_text(page) == "T\none\ntwo\nthree" + ("\n" if name in extract.BLOCKS else " ") + "four\nfive"
+
+
+def test_dropped_elements():
+    assert extract.main_text("<article><p>a<svg><g><svg><text>no</text></svg>label</g></svg> b<p>c<script>x<script>y</script> d") == "a b\nc d"
+    assert extract.main_text("<article><p>a<button><div>Share</div></button> b<p>c<style>p{<p>}") == "a b\nc"
+    assert extract.main_text("<article><p>a<svg/> b<svg><path/><p>c<svg ") == "a b\nc<svg"
+
+
+@pytest.mark.parametrize("unit", ["<div>", "<div><p>", "<section><ul><li>", "<table><tr><td>", "<div class=ad>", "<button>", "<svg>", "<svg><p>",
+                                  "<article>", "<p class=ad>", "</div>", "<dl><dd>", "<select><option>"])
+def test_deep_pages_cost_in_proportion(unit):
+    import time
+
+    page = unit * 100_000 + f"<p>{LONG}"
+    began = time.process_time()
+    extract.main_text(page)
+    assert time.process_time() - began < 4
+
+
+class Plain(html.parser.HTMLParser):
+    """Blocks by the library's parser: text of each stretch between block tags, and the elements it stands in."""
+
+    def __init__(self):
+        super().__init__()
+        self.open, self.blocks, self.text, self.links = [], [], "", 0
+
+    def flush(self):
+        text = " ".join(self.text.split())
+        if text:
+            self.blocks.append((text, self.links, [n for n, _ in self.open], any(m for _, m in self.open)))
+        self.text, self.links = "", 0
+
+    def handle_starttag(self, name, attrs):
+        if name in extract.BLOCKS:
+            self.flush()
+        if name == "br":
+            self.text += " "
+        elif name not in extract.VOID:
+            marks = re.split("[^a-zA-Z]+", " ".join(v or "" for k, v in attrs if k in ("class", "id")).lower())
+            self.open.append((name, any(m in extract.MARKS for m in marks)))
+
+    def handle_endtag(self, name):
+        if name in extract.BLOCKS:
+            self.flush()
+        if name in [n for n, _ in self.open]:
+            while self.open.pop()[0] != name:
+                pass
+
+    def handle_data(self, data):
+        if not {n for n, _ in self.open} & extract.DROPPED:
+            self.text += data
+            self.links += len(" ".join(data.split())) if "a" in [n for n, _ in self.open] else 0
+
+
+def plain_text(page):
+    """The two passes over the parser's blocks of a well-formed page without nested sections, written out for one block at a time."""
+    parser = Plain()
+    parser.feed(page)
+    parser.close()
+    parser.flush()
+    blocks, first = parser.blocks, []
+    for text, links, names, marked in blocks:
+        words = re.findall(r"[^\W\d_]+", text.lower())
+        good = len(words) and sum(w in extract.STOP_WORDS for w in words) / len(words) >= extract.STOPS
+        if set(names) & extract.ASIDES or marked or links > extract.LINKS * len(text) or ("header" in names and "article" not in names):
+            first.append(False)
+        else:
+            first.append(True if len(text) >= extract.SHORT and (good or "article" in names) else None)
+    plain = [i for i, f in enumerate(first) if f is None and len(blocks[i][0]) >= extract.SHORT]
+    texts = sum(len(b[0]) for b, f in zip(blocks, first) if f)
+    if not any("article" in b[2] for b in blocks) and sum(len(blocks[i][0]) for i in plain) > texts:
+        for i in plain:
+            first[i] = True
+    out = []
+    for i, f in enumerate(first):
+        inside = "article" in blocks[i][2]
+        if f is None:
+            aside = (lambda j: not first[j] and (bool(set(blocks[j][2]) & extract.ASIDES) or blocks[j][3] or "header" in blocks[j][2]))
+            mine = [j for j in range(len(blocks)) if first[j] is not None and ("article" in blocks[j][2]) == inside and not aside(j)]
+            every = [j for j in range(len(blocks)) if first[j] is not None]
+            near = mine if mine or inside else every
+            if near:
+                least = min(abs(j - i) for j in near)
+                f = any(first[j] for j in near if abs(j - i) == least)
+            else:
+                f = inside or not any("article" in b[2] for b in blocks)
+        out.append(f)
+    if not any(out):
+        return None
+    return "\n".join(b[0] for b, f in zip(blocks, out) if f)
+
+
+def test_equals_a_plain_second_implementation():
+    import random
+
+    rng, compared = random.Random(4), 0
+    stops, names = "the of and to in a is that it for".split(), "zorvik plantu marog xeli tendra quom".split()
+
+    def words(n, stop):
+        return " ".join(rng.choice(stops if rng.random() < stop else names) for _ in range(n))
+
+    def block():
+        kind = rng.randrange(9)
+        if kind == 0:
+            return f"<ul>{''.join(f'<li><a href=x>{words(3, 0)}</a></li>' for _ in range(rng.randrange(1, 5)))}</ul>"
+        if kind == 1:
+            return f"<pre>{words(rng.randrange(1, 30), 0)}</pre>"
+        if kind == 2:
+            return f"<div class='{rng.choice(['sidebar', 'x-ad y', 'text', 'comments'])}'><p>{words(rng.randrange(1, 30), .4)}</p></div>"
+        if kind == 3:
+            return f"<{(t := rng.choice(['nav', 'footer', 'aside', 'form', 'header']))}><div>{words(9, .3)}</div></{t}>"
+        if kind == 4:
+            return f"<h2>{words(3, .2)}</h2><p>{words(2, 0)} <button>{words(2, 0)}</button><b>{words(4, .5)}</b></p>"
+        return f"<p>{words(rng.randrange(1, 40), .5)} &amp; <a href=y>{words(rng.randrange(1, 6), 0)}</a><br>{words(4, .1)}</p>"
+
+    for _ in range(600):
+        inside = "".join(block() for _ in range(rng.randrange(1, 12)))
+        page = rng.choice(["<html><body>{}</body></html>", "<div><div>{}</div></div>", "<article>{}</article>", "<nav><p>x</p></nav><article>{}</article><p>more of it</p>"]).format(inside)
+        want = plain_text(page)
+        if want is not None:
+            compared += 1
+            assert extract.main_text(page) == want, page
+    assert compared > 400
+
+
 def test_long_page():
     page = "<article>" + "<p>the paragraph of it</p>" * 50_000
     assert extract.main_text(page) == "\n".join(["the paragraph of it"] * 50_000)
@@ -57,6 +190,13 @@ def test_all_pages_equal_their_article(spark):
         assert r.text == "\n".join(p for p in parts if p) and r.n_chars == len(r.text) and r.url == pages[r.page_id].url
 
 
+def test_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>a")], "page_id long, url string, html string").selectExpr(
+        "*", "1 AS text", "2 AS _source", "3 AS n_chars", "4 AS place")
+    row = extract.with_main_text(pages).first()
+    assert (row.text, row._source, row.n_chars, row.place, row.html) == ("a", 2, 3, 4, "<p>a")
+
+
 def test_odd_tables(spark):
     df = spark.createDataFrame([(1, None, None, "x"), (1, None, None, "x"), (None, "u", "<p>a", None)], "page_id long, url string, html string, text string")
     assert sorted(str(tuple(r)) for r in extract.with_main_text(df).collect()) == sorted(
