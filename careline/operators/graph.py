@@ -1,7 +1,7 @@
 """Property-graph operators over node and edge tables.
 
 Nodes: label, name, id, description. Edges: src, dst, rel (by node name). Look-ups are
-equi-joins on node names; "contains" look-ups are keyed by short character grams first,
+equi-joins on node names; "contains" look-ups are keyed by the rarest short character gram first,
 so that they are hash joins and not nested loops.
 """
 
@@ -16,7 +16,12 @@ from careline.functions.core import mapping, nz, strings, unpack
 from careline.functions.lexicon import colloquial_terms, keyword_hits
 from careline.rules import graph_seed as G
 from careline.rules import medical
+from careline.sources.scratch import written
 
+#: Offers of a gram that one part of a look-up holds, about.
+HUB_ROWS = 10_000
+#: Needles, and characters of them, that are tried on each haystack in place.
+HELD_NEEDLES, HELD_CHARS = 256, 16_384
 NODE_SCHEMA = "label string, name string, id string, description string"
 EDGE_SCHEMA = "src string, dst string, rel string"
 PROFILE = {  # kind -> relation, side of the condition
@@ -44,7 +49,7 @@ def merge_nodes(nodes: DataFrame, updates: DataFrame) -> DataFrame:
     both = nodes.withColumn("_v", F.lit(0)).unionByName(
         updates.withColumn("_v", F.lit(1)), allowMissingColumns=True)
     return both.groupBy("label", "name").agg(
-        F.max_by("id", F.struct(F.col("id").isNotNull(), F.col("_v"))).alias("id"),
+        F.max_by("id", F.struct(F.col("id").isNotNull(), F.col("_v"), F.col("id"))).alias("id"),
         F.max_by("description", F.struct("_v", "description")).alias("description")
     ).select("label", "name", "id", "description")
 
@@ -148,25 +153,47 @@ def packed_profiles(nodes: DataFrame, edges: DataFrame, profile: DataFrame | Non
     return every.join(lists, "condition", "left")
 
 
-def gram(c: Column, n: int) -> Column:
-    return F.substring(c, 1, n)
+def grams(c: Column, width: int) -> Column:
+    """Distinct stretches of ``width`` characters, or the whole of a shorter text."""
+    return F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(c) - (width - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(width))))
 
 
 def contains_join(needles: DataFrame, haystacks: DataFrame, needle: str, haystack: str,
-                  width: int = 3) -> DataFrame:
-    """Inner join where the haystack contains the needle.
-
-    A haystack offers all its grams up to ``width`` characters, a needle asks with its
-    first one; equal grams are then verified. Empty needles match nothing here.
+                  width: int = 3, hub: int = HUB_ROWS, held: int = HELD_NEEDLES) -> DataFrame:
+    """Inner join where the haystack contains the needle. Empty needles match nothing here.
+
+    Up to ``held`` distinct needles (and ``HELD_CHARS`` characters) are tried on each haystack where it is, in one
+    projection. Of more than that, a needle is looked up by the rarest of its grams (stretches of ``width`` characters, or all of a shorter
+    needle). The grams that needles use are counted over the distinct haystacks first; needles with a gram that no
+    haystack has are out. Haystacks then offer the chosen grams only, under a number and without their texts. A gram with
+    more than ``hub`` offers is dealt to several parts, and its needles are copied to each. Texts are joined back to
+    the candidates by number and verified, so what is shuffled grows with the candidates and not with the texts.
     """
-    h = F.col(haystack)
-    grams = F.array_distinct(F.flatten(F.array(*[
-        F.transform(F.sequence(F.lit(1), F.greatest(F.length(h) - (n - 1), F.lit(1))),
-                    lambda i: F.substring(h, i, F.lit(n)))
-        for n in range(1, width + 1)])))
-    left = needles.filter(F.length(needle) > 0).withColumn("_g", F.substring(needle, 1, width))
-    right = haystacks.filter(F.length(h) > 0).withColumn("_g", F.explode(grams))
-    return left.join(right, "_g").filter(F.contains(h, F.col(needle))).drop("_g")
+    few = [r[0] for r in needles.select(F.col(needle).alias("_n")).filter(F.length("_n") > 0).distinct().limit(held + 1).collect()]
+    if len(few) <= held and sum(map(len, few)) <= HELD_CHARS:
+        met = haystacks.withColumn("_n", F.explode(F.filter(strings(sorted(few)), lambda n: F.contains(F.col(haystack), n))))
+        return needles.join(met, F.col(needle) == F.col("_n")).drop("_n")
+    texts = written(haystacks.select(F.col(haystack).alias("_h")).filter(F.length("_h") > 0).distinct()
+                    .withColumn("_id", F.xxhash64("_h")), "texts")
+    asked = written(needles.select(F.col(needle).alias("_n")).filter(F.length("_n") > 0).distinct()
+                    .select("_n", F.explode(grams(F.col("_n"), width)).alias("_g")), "grams")
+    sizes = F.array(*[F.lit(r[0]) for r in asked.select(F.length("_g")).distinct().collect()])  # up to ``width`` numbers
+    every = F.array_distinct(F.flatten(F.transform(sizes, lambda n: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length("_h") - (n - 1), F.lit(1))), lambda i: F.substring("_h", i, n)))))
+    offered = texts.select("_id", F.explode(every).alias("_g"))
+    counts = written(offered.join(asked.select("_g").distinct(), "_g", "left_semi").groupBy("_g").agg(
+        F.count("*").alias("_c")), "gram-counts")
+    keyed = written(asked.join(counts, "_g", "left").groupBy("_n").agg(
+        F.min(F.struct(F.coalesce("_c", F.lit(0)).alias("c"), F.col("_g").alias("g"))).alias("_k"))
+        .filter("_k.c > 0").select("_n", F.col("_k.g").alias("_g"), F.ceil(F.col("_k.c") / hub).cast("int").alias("_parts")), "keyed")
+    keys = keyed.select("_g", "_parts").distinct()
+    offers = offered.join(keys, "_g").select("_id", "_g", F.pmod("_id", F.col("_parts")).cast("int").alias("_part"))
+    spread = keyed.select("_n", "_g", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    met = spread.join(offers, ["_g", "_part"]).select("_n", "_id").join(texts, "_id").filter(
+        F.contains("_h", F.col("_n"))).select("_n", "_h").distinct()  # numbers could clash
+    return (needles.join(met, F.col(needle) == F.col("_n"))
+            .join(haystacks, F.col("_h") == F.col(haystack)).drop("_n", "_h"))
 
 
 def symptom_conditions(keywords: DataFrame, nodes: DataFrame, edges: DataFrame,
@@ -193,40 +220,67 @@ def related_nodes(keywords: DataFrame, nodes: DataFrame, edges: DataFrame, depth
 
     Hops go both ways and use an edge once per path. Starts are the first ``starts``
     nodes by name; results are ordered by distance, then name.
+
+    One frontier is moved, and written after each hop: keyword, start, node, and of the used edges those that could be
+    used again from there (the others cannot matter), so paths that differ otherwise are one row. A hop gives the best
+    ``limit`` nodes of each keyword, and keywords that have as many go no further, so only
+    small neighbourhoods are entered. Of the neighbours of a node the first ``limit`` by name, and as many more as a
+    path may exclude, are enough for both; hubs are cut to them before they meet the keywords.
     """
-    named = nodes.select(node_name().alias("name"), F.col("label").alias("type"), "id",
-                         "description").filter("name is not null")
+    named = written(nodes.select(node_name().alias("name"), F.col("label").alias("type"), "id",
+                                 "description").filter("name is not null"), "named")
     texts = named.select("name", F.explode(F.array_distinct(F.array_compact(
         F.array("name", "id", "description")))).alias("_t"))
+    edge_id = F.concat_ws("\u0001", "src", "rel", "dst")
+    both = written(edges.select(F.inline(F.array(
+        F.struct(F.col("src").alias("_at"), F.col("dst").alias("_to"), edge_id.alias("_e")),
+        F.struct(F.col("dst").alias("_at"), F.col("src").alias("_to"), edge_id.alias("_e"))))).distinct(), "both")
+    known = named.select(F.col("name").alias("_to"), F.lit(True).alias("_known")).distinct()
     first = Window.partitionBy(keyword).orderBy("_start")
-    begin = (
+    by_name = Window.partitionBy("_at", "_known").orderBy("_to")
+    # an edge that touches neither end of the next hop cannot be used by it
+    touching = F.array_sort(F.array_distinct(F.filter(
+        F.array_append("_used", F.col("_e")), lambda e: F.array_contains(_ends(e), F.col("_to")))))
+    frontier = written(
         contains_join(keywords.select(keyword).distinct(), texts, keyword, "_t")
         .select(keyword, F.col("name").alias("_start")).distinct()
         .withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= starts)
-        .select(keyword, "_start", F.col("_start").alias("_at"), strings([]).alias("_path"))
-    )
-    edge_id = F.concat_ws("\u0001", "src", "rel", "dst")
-    both = edges.select(F.inline(F.array(
-        F.struct(F.col("src").alias("_at"), F.col("dst").alias("_to"), edge_id.alias("_e")),
-        F.struct(F.col("dst").alias("_at"), F.col("src").alias("_to"), edge_id.alias("_e")))))
-    reached, frontier = None, begin
-    for distance in range(1, min(depth, G.MAX_DEPTH) + 1):
-        frontier = (
-            frontier.join(both, "_at").filter(~F.array_contains("_path", F.col("_e")))
-            .select(keyword, "_start", F.col("_to").alias("_at"),
-                    F.array_append("_path", F.col("_e")).alias("_path"))
-        )
-        hop = frontier.filter(F.col("_at") != F.col("_start")).select(
-            keyword, F.col("_at").alias("name"), F.lit(distance).alias("distance"))
-        reached = hop if reached is None else reached.unionByName(hop)
-    w = Window.partitionBy(keyword).orderBy("distance", "name", "type")
+        .select(keyword, "_start", F.col("_start").alias("_at"), strings([]).alias("_used")), "starts")
+    order = Window.partitionBy(keyword).orderBy("name", "type", "description")
+    reached, last = [], min(depth, G.MAX_DEPTH)
+    for distance in range(1, last + 1):
+        # nodes that edges name and no row describes are passed through, but are no results
+        ways = both.join(frontier.select("_at").distinct(), "_at", "left_semi").join(known, "_to", "left").withColumn(
+            "_r", F.dense_rank().over(by_name)).filter(F.col("_known").isNull() | (F.col("_r") <= limit + depth + 1))
+        step = frontier.join(ways.drop("_r"), "_at").filter(~F.array_contains("_used", F.col("_e"))).select(
+            keyword, "_start", "_to", "_known", touching.alias("_used")).distinct()
+        step = step if distance == last else written(step, f"hop-{distance}")
+        reached.append(
+            step.filter(F.col("_known") & (F.col("_to") != F.col("_start"))).select(keyword, F.col("_to").alias("name")).distinct()
+            .join(named.select("name", "type", "description"), "name").distinct()
+            .withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= limit)
+            .select(keyword, "name", "type", "description", F.lit(distance).alias("distance")))
+        full = _union(reached).groupBy(keyword).count().filter(F.col("count") >= limit)
+        frontier = step.join(full, keyword, "left_anti").select(keyword, "_start", F.col("_to").alias("_at"), "_used")
+    w = Window.partitionBy(keyword).orderBy("distance", "name", "type", "description")
     return (
-        reached.distinct().join(named.select("name", "type", "description"), "name").distinct()
-        .withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= limit)
+        _union(reached).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= limit)
         .select(keyword, "name", "type", "description", "distance")
     )
 
 
+def _ends(edge: Column) -> Column:
+    parts = F.split(edge, "\u0001")
+    return F.array(parts[0], F.element_at(parts, -1))
+
+
+def _union(parts: Sequence[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 # ---- keywords and context ---------------------------------------------------------
 
 def rule_keywords(text: Column | str, names: Sequence[str]) -> Column:
@@ -279,14 +333,15 @@ def group_by_type(related: DataFrame, keyword: str = "keyword",
 def keyword_blocks(nodes: DataFrame, edges: DataFrame, keywords: DataFrame) -> DataFrame:
     """Text blocks of every keyword in order: conditions of matching symptoms, the
     condition itself, else the neighbourhood."""
-    blocks = format_profile(packed_profiles(nodes, edges))
+    nodes, edges, keywords = written(nodes, "nodes"), written(edges, "edges"), written(keywords, "keywords")
+    blocks = written(format_profile(packed_profiles(nodes, edges)), "profiles")
     via = symptom_conditions(keywords, nodes, edges).join(blocks, "condition").select(
         "keyword", F.lit(0).alias("part"), F.col("condition").alias("o"), "block")
     direct = keywords.join(blocks.filter("has_symptoms"),
                            F.col("keyword") == F.col("condition")).select(
         "keyword", F.lit(1).alias("part"), F.lit("").alias("o"), "block")
-    open_ = keywords.join(via.unionByName(direct).select("keyword").distinct(), "keyword",
-                          "left_anti")
+    told = written(via.unionByName(direct), "told")
+    open_ = keywords.join(told.select("keyword").distinct(), "keyword", "left_anti")
     grouped = group_by_type(related_nodes(open_, nodes, edges, 2))
     label = mapping(G.TYPE_LABELS)
     rank = F.array_position(strings([t for t, _ in G.TYPE_LABELS]), F.col("type"))
@@ -299,7 +354,7 @@ def keyword_blocks(nodes: DataFrame, edges: DataFrame, keywords: DataFrame) -> D
             F.lit(G.FMT_HEAD + "'"), "keyword", F.lit(G.FMT_RELATED + "\n"), "lines")
             .alias("block"))
     )
-    return via.unionByName(direct).unionByName(around)
+    return told.unionByName(around)
 
 
 def keyword_vocabulary(nodes: DataFrame) -> DataFrame:
@@ -318,7 +373,8 @@ def graph_context(texts: DataFrame, nodes: DataFrame, edges: DataFrame, ident: s
     graph and not on the texts; texts then join them by key and are read once.
     """
     exploded = unpack(texts, [ident], F.col(keywords), "keyword", "_k", ["keyword"])
-    blocks = keyword_blocks(nodes, edges, keyword_vocabulary(nodes) if vocabulary is None else vocabulary)
+    blocks = written(keyword_blocks(
+        nodes, edges, keyword_vocabulary(nodes) if vocabulary is None else vocabulary), "blocks")
     parts = exploded.join(blocks, "keyword")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("_k", "part", "o", "block"))),
                           lambda x: x["block"])

@@ -12,9 +12,11 @@ from careline.functions.core import unpack
 from careline.operators import care as CA
 from careline.operators import graph as G
 from careline.operators import retrieval as V
+from careline.operators import vector_index as VI
 from careline.plans.korean import korean_turns
 from careline.plans.registry import q, query, sql_values
 from careline.rules import care
+from careline.sources.scratch import work_folder
 from careline.sources.tables import table
 
 _NODES = """kn AS (SELECT 'Region' AS label, r_name AS name, 'R' || r_regionkey AS id, 'region' AS description FROM region
@@ -185,6 +187,16 @@ def vector_topk(spark, d):
     return V.top_k(queries, table(spark, d, "embeddings"), 5)
 
 
+@query("vector_index_topk", f"""WITH {_SCORED}, r AS (SELECT query_id, vec_id, score,
+  row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM sc)
+SELECT query_id, vec_id, score, rank, round(1 - score, 6) AS distance FROM r WHERE rank <= 5""")
+def vector_index_topk(spark, d):
+    """The nearest lists, then every list that could hold a better row."""
+    queries = _centroids(spark, d).withColumnRenamed("label", "query_id")
+    index = VI.build(table(spark, d, "embeddings"), work_folder(spark, "index"))
+    return VI.search(index, queries, 5, probes=2, exact=True).hits
+
+
 @query("vector_filtered", f"""WITH {_SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM sc)
 SELECT query_id, vec_id, score, rank::INT AS rank, left('text of ' || vec_id::VARCHAR || repeat('.', 400), 300) AS text FROM r
 WHERE rank <= 10 AND label % 2 = 0""")

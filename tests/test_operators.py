@@ -10,6 +10,7 @@ from careline.operators import care as CA
 from careline.operators import graph as G
 from careline.operators import reports as R
 from careline.operators import retrieval as V
+from careline.operators import vector_index as VI
 from careline.operators import upserts as U
 from careline.sources import files as FS
 from careline.sources import tables as S
@@ -61,12 +62,13 @@ def test_triples_are_filtered_and_counted(spark, seed):
     assert (nodes.count(), edges.count(), tuple(stats.first())) == (98, 88, (1, 1))
 
 
-def test_contains_join_is_complete(spark):
+@pytest.mark.parametrize("ways", [{}, {"held": 0}, {"held": 0, "hub": 2}, {"held": 0, "width": 1, "hub": 1}])
+def test_contains_join_is_complete(spark, ways):
     words = ["a", "ab", "abc", "abcd", "bc", "", "다", "나다"]
     texts = ["abcd", "xabc", "b", "가나다라", ""]
     left = spark.createDataFrame([(w,) for w in words], "w string")
     right = spark.createDataFrame([(t,) for t in texts], "t string")
-    have = {tuple(r) for r in G.contains_join(left, right, "w", "t").collect()}
+    have = {tuple(r) for r in G.contains_join(left, right, "w", "t", **ways).collect()}
     assert have == {(w, t) for w in words for t in texts if w and w in t}
 
 
@@ -81,10 +83,14 @@ def vectors(spark):
     return mat.astype(np.float32).astype(float), df.repartition(6).cache()
 
 
-@pytest.mark.parametrize("tile_rows", [1000, 30])
-def test_top_k_in_tiles(vectors, tile_rows):
+#: A side that is shipped, and tiles of both.
+CARRIERS = [{}, {"held_rows": 10, "tile_rows": 1000}, {"held_rows": 10, "tile_rows": 30}]
+
+
+@pytest.mark.parametrize("ways", CARRIERS)
+def test_top_k_on_all_carriers(vectors, ways):
     mat, df = vectors
-    out = V.top_k(df.withColumnRenamed("vec_id", "query_id"), df, 3, tile_rows=tile_rows).collect()
+    out = V.top_k(df.withColumnRenamed("vec_id", "query_id"), df, 3, **ways).collect()
     unit = mat / np.linalg.norm(mat, axis=1, keepdims=True)
     scores = np.round(unit @ unit.T, 6)
     want = {(q, int(v), r + 1) for q in range(200)
@@ -102,16 +108,110 @@ def test_gap_rule(spark):
 def test_many_candidates(spark, vectors):
     _, df = vectors
     names = df.select(F.concat(F.lit("n"), F.lpad(F.col("vec_id").cast("string"), 3, "0")).alias("name"), "embedding")
-    few, many = [V.score_candidates(df, names, tile_rows=n) for n in (1000, 30)]
-    assert few.exceptAll(many).count() == 0 and many.count() == 200
+    some = [V.score_candidates(df, names, **ways) for ways in CARRIERS]
+    assert all(some[0].exceptAll(other).count() == 0 and other.count() == 200 for other in some)
 
 
-@pytest.mark.parametrize("tile_rows", [1, 4096])
-def test_candidates_without_a_vector_do_not_count(spark, tile_rows):
+def test_few_queries_do_not_move_the_vectors(spark, vectors):
+    mat, df = vectors
+    few = df.filter("vec_id < 5").withColumnRenamed("vec_id", "query_id")
+    found = V.top_k(few, df, 3, held_rows=100)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "FlatMapCoGroups" not in plan  # of k rows per query and task
+    want = V.top_k(few, df, 3, held_rows=0)
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+    assert V.top_k(few.limit(0), df, 3, held_rows=100).count() == 0 == V.top_k(few, df.limit(0), 3).count()
+    held = V.top_k(df.withColumnRenamed("vec_id", "query_id"), few.withColumnRenamed("query_id", "vec_id"), 3)
+    assert "Exchange hashpartitioning" not in held._jdf.queryExecution().executedPlan().toString()
+
+
+# ---- vector index --------------------------------------------------------------------
+
+@pytest.fixture(scope="module")
+def clustered(spark, tmp_path_factory):
+    """20,000 rows in uneven clusters (one holds a third of all), with rows without an id or a vector, zeros and repeats."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(60, 24))
+    of = np.where(rng.random(20_000) < 0.33, 0, rng.integers(0, 60, 20_000))
+    mat = (centres[of] + 0.35 * rng.normal(size=(20_000, 24))).astype(np.float32)
+    mat[:3] = 0
+    mat[100:120] = mat[99]
+    rows = [(i, v.tolist()) for i, v in enumerate(mat)] + [(None, [1.0] * 24), (20_000, None)]
+    path = str(tmp_path_factory.mktemp("index"))
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(6).write.parquet(f"{path}/in")
+    df = spark.read.parquet(f"{path}/in")
+    return mat, df, VI.build(df, f"{path}/index", sample_rows=4000)
+
+
+def test_every_row_is_indexed(spark, clustered):
+    mat, df, index = clustered
+    stored = spark.read.parquet(f"{index.path}/lists")
+    assert index.rows.sum() == stored.count() == len(mat) == stored.select("vec_id").distinct().count()
+    assert 100 < len(index.rows) <= 141 and index.size.sum() == len(mat) * 24 * 4
+    unit = mat / (np.linalg.norm(mat, axis=1, keepdims=True) + 1e-10)
+    for r in stored.filter("vec_id % 997 = 0").collect():
+        scores = unit[r.vec_id] @ index.centroids.T
+        at = index.numbers.tolist().index(r.list)
+        assert abs(scores.max() - scores[at]) < 1e-6 and abs(r.near - scores[at]) < 1e-6 and index.widest[at] <= r.near
+
+
+@pytest.mark.parametrize("probes, least", [(1, 0.5), (8, 0.9), (10**6, 1.0)])
+def test_recall_and_costs(spark, clustered, probes, least):
+    """Every row whose id is divisible by 100 against all rows."""
+    mat, df, index = clustered
+    queries = df.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    found = VI.search(index, queries, 10, probes)
+    want = {(r.query_id, r.vec_id) for r in V.top_k(queries, df, 10).collect()}
+    got = {(r.query_id, r.vec_id) for r in found.hits.collect()}
+    assert len(want) == 2000 and len(got & want) / len(want) >= least
+    costs = found.costs.collect()
+    assert len(costs) == 200 and {r.lists for r in costs} == {min(probes, len(index.rows))}
+    assert all(r.bytes == r.rows * 96 and r.all_rows == len(mat) for r in costs)
+    if probes < 100:
+        assert sum(r.rows for r in costs) < 0.4 * sum(r.all_rows for r in costs)
+
+
+def test_exact_search_reads_what_it_must(spark, clustered):
+    mat, df, index = clustered
+    queries = df.filter("vec_id % 100 = 0 OR vec_id IN (1, 99, 105)").withColumnRenamed("vec_id", "query_id")
+    found = VI.search(index, queries, 25, 1, exact=True)
+    assert sorted(map(tuple, found.hits.collect())) == sorted(map(tuple, V.top_k(queries, df, 25).collect()))
+    near = [r.rows / r.all_rows for r in found.costs.collect() if r.query_id not in (0, 1)]  # a zero vector is near to none
+    assert np.mean(near) < 0.9
+    scan = VI.probe(spark, index, *V.held_side(queries.filter("embedding IS NOT NULL"), "query_id", "embedding"), np.eye(len(near) + 2, len(index.rows), dtype=bool), 3,
+                    "query_id bigint, vec_id bigint, score double")
+    assert "PartitionFilters: [list" in scan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_index_of_odd_tables(spark, tmp_path):
+    schema = "vec_id string, embedding array<double>"
+    few = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", [0.0, 0.0])], schema)
+    index = VI.build(few, f"{tmp_path}/few")
+    queries = spark.createDataFrame([(1, [2.0, 0.0]), (2, [0.0, 0.0]), (None, [1.0, 1.0]), (3, None)], "query_id int, embedding array<double>")
+    hits = VI.search(index, queries, 2, exact=True).hits.collect()
+    assert sorted((r.query_id, r.vec_id, r.score, r["rank"]) for r in hits) == [
+        (1, "a", 1.0, 1), (1, "b", 1.0, 2), (2, "a", 0.0, 1), (2, "b", 0.0, 2)]
+    none = VI.build(few.limit(0), f"{tmp_path}/none")
+    assert VI.search(none, queries).hits.count() == 0
+    assert VI.search(index, queries.limit(0)).hits.count() == 0
+
+
+def test_queries_in_blocks(spark, clustered, monkeypatch):
+    mat, df, index = clustered
+    queries = df.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    want = VI.search(index, queries, 5, 4)
+    monkeypatch.setattr(VI, "HELD_ROWS", 100)
+    found = VI.search(index, queries, 5, 4)
+    assert sorted(map(tuple, found.hits.collect())) == sorted(map(tuple, want.hits.collect()))
+    assert sorted(map(tuple, found.costs.collect())) == sorted(map(tuple, want.costs.collect()))
+
+
+@pytest.mark.parametrize("ways", [{}, {"held_rows": 0, "tile_rows": 1}, {"held_rows": 0}])
+def test_candidates_without_a_vector_do_not_count(spark, ways):
     schema = "name string, embedding array<float>"
     names = spark.createDataFrame([("a", [1.0, 0.0]), ("b", None), ("c", [0.0, 1.0]), (None, [1.0, 1.0])], schema)
     q = spark.createDataFrame([(1, [1.0, 0.1]), (2, None)], "vec_id long, embedding array<float>")
-    rows = V.score_candidates(q, names, tile_rows=tile_rows).collect()
+    rows = V.score_candidates(q, names, **ways).collect()
     assert [(r.vec_id, r.n_candidates, [b.id for b in r.best]) for r in rows] == [(1, 2, ["a", "c"])]
     none = V.score_candidates(q, names.filter("embedding IS NULL")).collect()
     assert [(r.vec_id, r.n_candidates, r.best) for r in none] == [(1, 0, [])]
