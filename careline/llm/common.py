@@ -8,14 +8,16 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-#: A table below this many rows of short strings may be broadcast (about 64 MB); beyond it
-#: the join is left to a shuffle.
-BROADCAST_ROWS = 500_000
+#: A table of at most so many rows, and bytes as JSON, may be broadcast; beyond it the join is left to a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64_000_000
+#: Bytes of texts that a Python worker takes out of an Arrow batch at a time (more only if one text has more).
+SLICE = 8_000_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -49,9 +51,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True if a written table has at most so many rows; stops counting beyond."""
-    return df.limit(rows + 1).count() <= rows
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> bool:
+    """True if a written table has at most so many rows and bytes; stops counting beyond the rows."""
+    size = F.octet_length(F.to_json(F.struct("*"))).cast("bigint")
+    n, held = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return n <= rows and held <= most
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -69,17 +73,28 @@ def filled(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 
 
+def sliced(batch: pa.RecordBatch, at: int, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batch in parts whose texts in column ``at`` have about ``most`` bytes together."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype("int64")
+    before, first = sizes.cumsum() - sizes, 0
+    while first < len(sizes):
+        end = max(first + 1, int(before.searchsorted(before[first] + most)))
+        yield batch.slice(first, end - first)
+        first = end
+
+
 def widened(df: DataFrame, more: str) -> StructType:
     """The schema of ``df`` with further columns, given as DDL."""
     return StructType(df.schema.fields + StructType.fromDDL(more).fields)
 
 
 def appended(df: DataFrame, source: str, more: str, make: Callable[[list], Sequence],
-             keep: list[str] | None = None) -> DataFrame:
+             keep: list[str] | None = None, done: Callable[[], None] = lambda: None) -> DataFrame:
     """The columns ``keep`` (by default all) and further ones (``more``, as DDL) that ``make`` works out
     from the values of the column ``source`` of a batch. Further columns replace those of their names.
+    ``done`` is called at the end of a task, to free what ``make`` holds.
 
-    Arrow batches pass through Python once; nothing is shuffled.
+    Arrow batches pass through Python once, in slices of bounded bytes; nothing is shuffled.
     """
     new = [f.name for f in StructType.fromDDL(more).fields]
     kept = [c for c in (df.columns if keep is None else keep) if c not in new]
@@ -93,10 +108,13 @@ def appended(df: DataFrame, source: str, more: str, make: Callable[[list], Seque
         columns.append(F.col(f"`{source}`").alias("_source"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = make(batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:len(kept)], *(pa.array(v, t) for v, t in zip(made, types))], names=schema.names)
+        try:
+            for batch in (part for whole in batches for part in sliced(whole, at)):
+                made = make(batch.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:len(kept)], *(pa.array(v, t) for v, t in zip(made, types))], names=schema.names)
+        finally:
+            done()
 
     return df.select(columns).mapInArrow(run, schema)
 

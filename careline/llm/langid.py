@@ -13,15 +13,15 @@ one with the largest expected share of words, and the score is that share.
 Forward-backward runs over a block of documents as one chain, with a fresh start at each
 document. The chain is cut into as many pieces as a piece is long: transfer matrices of all pieces are
 multiplied side by side, messages pass over the pieces, and the pieces are filled in side by
-side. The result is exact for texts of any length.
+side. The result is that of one pass along the chain.
 
-Training takes a bounded sample (``PER_LANGUAGE`` rows of each language, of any length) from rows
-that are not held out and have a letter, on the driver; the model has a fixed size. Of a text longer than
+Training takes a bounded sample (``PER_LANGUAGE`` rows of each of the ``LANGUAGES`` most frequent languages, of any
+length) from rows that are not held out and have a letter, on the driver; the model is bounded, too. Of a text longer than
 ``ROW_CHARS`` it sees the letters of four spans, one from anywhere in each quarter (words may be cut at
 their ends). Prediction reads whole texts, in blocks.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; without any
-labelled row everything is ``und``, and ``with_known_language`` keeps every row; a null language is not learned; repeated rows are
+labelled row everything is ``und``, and ``with_known_language`` returns all rows as they are; a null language is not learned; repeated rows are
 predicted each; other columns play no part.
 """
 
@@ -39,6 +39,10 @@ from careline.llm.splits import held_out, sampled, spans
 
 #: Rows of each language that are learned from, and the characters of each that are seen.
 PER_LANGUAGE, ROW_CHARS = 100, 20_000
+#: Languages that are learned, those with the most rows.
+LANGUAGES = 64
+#: Characters of documents that are labelled as one chain; in a longer text the chain begins anew after them.
+LABELLED = 300_000
 BUCKETS = 1 << 17
 ORDERS = (1, 2, 3, 4)
 ROUNDS, RATE, DECAY = 20, 0.2, 1e-5
@@ -232,7 +236,7 @@ def label(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray]
     """Language and score of each text."""
     k = len(model.languages)
     shares, n = np.zeros((len(texts), max(k, 1))), np.zeros(len(texts))
-    for parts in blocks(texts):
+    for parts in blocks(texts, LABELLED):
         found = words_of(parts)
         if found is None or not k:
             continue
@@ -254,7 +258,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     rows = docs.filter(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()
                        & text.rlike(r"\p{L}"))
     some, _ = sampled(rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"),
-                                  text.alias("text")), "id", "lang", per_language)
+                                  text.alias("text")), "id", "lang", per_language, LANGUAGES)
     # what is no letter only separates words, so a span is never without any
     letters = F.when(F.length("text") <= ROW_CHARS, F.col("text")).otherwise(
         F.trim(F.regexp_replace("text", r"[^\p{L}]+", " ")))
@@ -271,13 +275,15 @@ def with_language(docs: DataFrame, model: Model, text_col: str = "text", keep: l
                     lambda texts: label(texts, model), keep)
 
 
-def with_known_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text has a letter, with their columns; all rows, if the model knows
-    no language."""
+def with_known_language(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` whose language can be told, that is whose text has a letter, with their columns; a null
+    language becomes the one found. All rows as they are, if the model knows no language."""
     if not model.languages:
         return docs
     free = "_"
     while any(c.startswith(free) for c in docs.columns):
         free += "_"
     found = with_language(docs, model, text_col, names=(f"{free}lang", f"{free}score"))
-    return found.filter(F.col(f"{free}lang") != UNKNOWN).select([F.col(f"`{c}`") for c in docs.columns])
+    told = F.coalesce(F.col(f"`{lang_col}`"), F.col(f"{free}lang")).alias(lang_col)
+    return found.filter(F.col(f"{free}lang") != UNKNOWN).select(
+        [told if c == lang_col else F.col(f"`{c}`") for c in docs.columns])

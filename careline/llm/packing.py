@@ -8,9 +8,9 @@ the length of a sequence. As padding is length - (j - i), the minimum over the w
 of best[i] + i, which a monotone queue keeps in constant time per cut; windows that are a
 power of two need no padding and are compared beside it.
 
-A task packs its own documents in blocks of some million characters, in order, so nothing
-is shuffled and memory is bounded. The one sequence that ends a block may be padded more; a
-block has some 500 sequences. Sequence ids are partition << 32 | number in the partition.
+A task packs its own documents in order, in blocks of at least ``PACKED`` characters that go on over
+batches (only the last of a task is shorter), so nothing is shuffled and memory is bounded by a block or the longest
+text. The one sequence that ends a block may be padded more; a block has some 300 sequences. Sequence ids are partition << 32 | number in the partition.
 
 Defined cases: null and empty texts are the end id alone; a text longer than a block is
 packed in several blocks, whose pieces continue each other; repeated rows are packed each;
@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from careline.llm.common import widened
+from careline.llm.common import sliced, widened
 from careline.llm.pretokens import blocks, pieces, pre_tokens
 
 LENGTH = 2048
@@ -40,6 +40,8 @@ END_ID = 1
 SENTENCE, INSIDE, SEQUENCE = 4, 24, 16
 #: Distance of cuts elsewhere, in stretches without ends of sentences or documents.
 STEP = 64
+#: Characters that a task gathers before it packs them together. A text is cut beyond twice as many.
+PACKED = 1_500_000
 #: Shorter windows that need no padding either.
 POWERS = (256, 512, 1024)
 SCHEMA = ("start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
@@ -128,7 +130,7 @@ def token_streams(texts: list[str | None], files: tuple[str, str]
         stops = np.cumsum(counts[:upto - done])
         return np.insert(ids, stops, END_ID), counts + (np.arange(len(counts)) < upto - done)
 
-    parts_of = blocks(texts)
+    parts_of = blocks(texts, 2 * PACKED)
     parts = next(parts_of, None)
     while parts is not None:
         following = next(parts_of, None)
@@ -182,28 +184,39 @@ def packed(docs: DataFrame, files: tuple[str, str], id_col: str = "doc_id", text
     ``with_ids`` the ids themselves."""
     schema = widened(docs.select(id_col), SCHEMA + ", ids array<int>" * with_ids)
 
+    def made(ids: list[pa.Array], texts: list[str | None], base: int) -> tuple[int, pa.RecordBatch]:
+        """The rows of a block of texts, whose sequences are numbered from ``base``, and the next number."""
+        held = []
+        for rows, raw in pack(texts, files, length):
+            rows[4] += base
+            base = int(rows[4].max()) + 1
+            held.append((rows, np.array([zlib.crc32(x) for x in raw], np.int64), raw if with_ids else None))
+        rows = np.concatenate([h[0] for h in held], 1)
+        whole = np.zeros(len(texts), np.int64)
+        np.maximum.at(whole, rows[0], rows[3])
+        arrays = [pa.concat_arrays(ids).take(pa.array(rows[0])), rows[1], rows[2], np.concatenate([h[1] for h in held]),
+                  whole[rows[0]], rows[4], rows[5]]
+        if with_ids:
+            arrays.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32)
+                                    for h in held for x in h[2]], pa.list_(pa.int32())))
+        return base, pa.RecordBatch.from_arrays(
+            [a if isinstance(a, pa.Array) else pa.array(a) for a in arrays], names=schema.names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            held, last = [], None
-            for rows, ids in pack(texts, files, length):
-                rows[4] += base
-                base = int(rows[4].max()) + 1
-                crc = np.array([zlib.crc32(x) for x in ids], np.int64)
-                held.append((rows, crc, ids if with_ids else None))
-            if not held:
-                continue
-            rows = np.concatenate([h[0] for h in held], 1)
-            crc = np.concatenate([h[1] for h in held])
-            whole = np.zeros(len(texts), np.int64)
-            np.maximum.at(whole, rows[0], rows[3])
-            arrays = [batch.column(0).take(pa.array(rows[0])), rows[1], rows[2], crc,
-                      whole[rows[0]], rows[4], rows[5]]
-            if with_ids:
-                arrays.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32)
-                                        for h in held for x in h[2]], pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(
-                [a if isinstance(a, pa.Array) else pa.array(a) for a in arrays], names=schema.names)
+        base, ids, texts, held = TaskContext.get().partitionId() << 32, [], [], 0
+        try:
+            # an open block goes on over batches, so their size does not matter
+            for batch in (part for whole in batches for part in sliced(whole, 1, PACKED)):
+                ids.append(batch.column(0))
+                texts += batch.column(1).to_pylist()
+                held += sum(map(len, filter(None, texts[len(texts) - len(batch):])))
+                if held >= PACKED:
+                    base, rows = made(ids, texts, base)
+                    yield rows
+                    ids, texts, held = [], [], 0
+            if texts:
+                yield made(ids, texts, base)[1]
+        finally:
+            pieces.cache_clear()
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)

@@ -23,8 +23,10 @@ import pandas as pd
 
 #: Characters of a block; a longer text is cut between pre-tokens.
 BLOCK = 3_000_000
-#: Distinct pre-tokens that a worker remembers; the table starts anew beyond it.
-REMEMBERED = 400_000
+#: Bytes of pre-tokens and ids that a worker remembers, about; the table starts anew beyond it.
+REMEMBERED = 32_000_000
+#: Bytes of an entry of that table besides characters and ids, about.
+ENTRY = 300
 
 WHITE, SPACE, LETTER, NUMBER, OTHER = range(5)
 # fixed values: characters with the property White_Space other than the space
@@ -181,28 +183,33 @@ class Pieces:
         self.slow = Tokenizer.from_file(json_file)
         self.core = tiktoken.Encoding(
             "own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
-        self.remembered, self.known = remembered, {}
+        self.remembered, self.known, self.held = remembered, {}, 0
+
+    def count(self, word: str) -> int:
+        """The number of pieces of a pre-token, which is not remembered."""
+        return 1 if word == SPECIAL else len(self._merged(word))
+
+    def _merged(self, word: str) -> list[int]:
+        return (self.core.encode_ordinary(word) if len(word) < self.LONG
+                else self.slow.encode(word, add_special_tokens=False).ids)
 
     def ids(self, words: list[str]) -> list[list[int]]:
         known, out = self.known, []
-        if len(known) > self.remembered:
-            known.clear()
-        encode = self.core.encode_ordinary
         for w in words:
             v = known.get(w)
             if v is None:
-                if w == SPECIAL:
-                    v = [SPECIAL_ID]
-                elif len(w) < self.LONG:
-                    v = encode(w)
-                else:
-                    v = self.slow.encode(w, add_special_tokens=False).ids
+                v = [SPECIAL_ID] if w == SPECIAL else self._merged(w)
+                self.held += ENTRY + 2 * len(w) + 36 * len(v)
+                if self.held > self.remembered:
+                    known.clear()
+                    self.held = 0
                 known[w] = v
             out.append(v)
         return out
 
 
-@lru_cache(2)
+@lru_cache(1)
 def pieces(ranks_file: str, json_file: str) -> Pieces:
-    """The worker's table. Both files hold the same vocabulary, as ranks and for tokenizers."""
+    """The worker's table. Both files hold the same vocabulary, as ranks and for tokenizers. A task that has used it
+    calls ``pieces.cache_clear``, as workers are used again for other stages."""
     return Pieces(ranks_file, json_file)

@@ -16,10 +16,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == 0, F.lit(False))
 
 
-def sampled(rows: DataFrame, id_col: str, label_col: str, per_label: int) -> tuple[DataFrame, dict]:
-    """About ``per_label`` rows of each label (all, if there are fewer), chosen by a hash of the
-    id, and the share of each label's rows that was taken. A pass over ids and labels counts them."""
-    counts = {r[0]: r[1] for r in rows.groupBy(label_col).count().collect()}  # a row per label
+def sampled(rows: DataFrame, id_col: str, label_col: str, per_label: int,
+            labels: int = 1000) -> tuple[DataFrame, dict]:
+    """About ``per_label`` rows (all, if there are fewer) of each of the ``labels`` most frequent labels, chosen by a
+    hash of the id, and the share of each label's rows that was taken. A pass over ids and labels counts them."""
+    top = rows.groupBy(label_col).count().orderBy(F.desc("count"), label_col).limit(labels)
+    counts = {r[0]: r[1] for r in top.collect()}
     shares = {label: min(1.0, per_label / n) for label, n in counts.items()}
     if not shares:
         return rows.limit(0), {}

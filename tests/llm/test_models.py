@@ -158,3 +158,46 @@ def test_spans_are_bounded_and_from_the_whole_text(spark):
         parts = s.split(" ")
         assert [len(p) for p in parts] == [10] * 4 and all(p in text[250 * i:250 * i + 250] for i, p in enumerate(parts))
     assert len(set(found)) > 10
+
+
+def slow_score(net, text):
+    """The network on one text, chunk by chunk, place by place and filter by filter."""
+    data = (text or "").encode()
+    half = quality.CHUNK // 2
+    steps = max(-(-len(data) // half), 2)
+    data = data.ljust((steps + 1) * half + quality.WIDTH, b"\0")
+    rows = []
+    for c in range(steps - 1):
+        pooled = []
+        for f in range(quality.FILTERS):
+            most = max(sum(float(net.tables[k, data[p + k], f]) for k in range(quality.WIDTH)) for p in range(c * half, (c + 2) * half))
+            pooled.append(max(most + float(net.bias[f]), 0.0))
+        rows.append([np.tanh(sum(p * float(w) for p, w in zip(pooled, net.hidden[:, h])) + float(net.hidden_bias[h]))
+                     for h in range(quality.HIDDEN)])
+    both = [sum(r[h] for r in rows) / len(rows) for h in range(quality.HIDDEN)] + [max(r[h] for r in rows) for h in range(quality.HIDDEN)]
+    return 1 / (1 + np.exp(-(sum(b * float(w) for b, w in zip(both, net.last)) + float(net.last_bias[0]))))
+
+
+def test_scores_equal_the_network_written_out():
+    net = quality.fresh(3)
+    net.bias[:] = np.linspace(-2, 2, quality.FILTERS)
+    net.hidden_bias[:] = np.linspace(-1, 1, quality.HIDDEN)
+    half = quality.CHUNK // 2
+    texts = [None, "", "a", "Some words, é and 日本語!", "x" * half, "y z " * (half // 4) + "q", "the end. " * (half * 3 // 9), "b" * (2 * half + 1)]
+    assert np.allclose(quality.score(net, texts), [slow_score(net, t) for t in texts], atol=1e-4)
+
+
+def test_the_stage_names_unknown_languages(spark):
+    words = {"en": "the house and the garden of it with that ", "de": "der die das und nicht mit ein auch ist "}
+    rows = [(i, words[k] * 3, None if i < 6 else k) for i, k in enumerate(["en", "de"] * 20)] + [(90, "12 !", "en"), (91, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit(1))
+    kept = langid.with_known_language(docs, langid.fit(docs))
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.lang) for r in kept.collect()) == [(i, "de" if i % 2 else "en") for i in range(40)]
+
+
+def test_only_frequent_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    rows = [(i, f"{'abc'[i % 3]}word {'abc'[i % 3]}other text", f"l{0 if i > 40 else i % 5}") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(langid.fit(docs).languages) == 2
