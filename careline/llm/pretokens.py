@@ -16,7 +16,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -176,15 +176,21 @@ class Pieces:
 
     def __init__(self, ranks_file: str, json_file: str, remembered: int = REMEMBERED):
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(ranks_file, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.slow = Tokenizer.from_file(json_file)
+        self.json_file = json_file
         self.core = tiktoken.Encoding(
             "own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
         self.remembered, self.known, self.held = remembered, {}, 0
 
+    @cached_property
+    def slow(self):
+        """The library for long pre-tokens, loaded only if there is one."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.json_file)
+
     def count(self, word: str) -> int:
         """The number of pieces of a pre-token, which is not remembered."""
         return 1 if word == SPECIAL else len(self._merged(word))

@@ -1,42 +1,139 @@
-"""Token counts per document, by a look-up of distinct pre-tokens in each block.
+"""Token counts per document: pieces of each distinct pre-token, joined to frequencies per document.
 
-A task cuts its documents into blocks of some million characters. Within a block the
-distinct pre-tokens get their pieces (ids after the merges) once each, and the number of pieces is
-looked up, by code, for every pre-token of a document and summed. A worker keeps the ids of
-pre-tokens it has met in a table of bounded size; a common word is merged once per worker, and again
-when that table has been cleared.
+1. One pass over the texts cuts them into pre-tokens. A task numbers the distinct ones as they come; after about
+   ``VOCABULARY`` of them it begins a new segment with numbers of its own. It writes a row per document, with the numbers
+   it has and how often each (a long text is cut, where a pre-token starts, into several such rows), and a row per
+   segment, with its pre-tokens in order.
+2. The pre-tokens of all segments are brought together, each once per segment, and sorted, so that equal ones are
+   neighbours; the pieces of a distinct one are counted once. Only their number goes back to the segments.
+3. Segment by segment, numbers of pieces meet the frequencies of documents and are summed. No ids are kept anywhere.
 
-This is a per-block variant, kept for its cost, of a join of distinct pre-tokens of the whole corpus
-to their frequencies per document: the counts are the same, and nothing is shuffled. See the README.
+A hot pre-token is a row per segment, whatever its frequency, and a segment is bounded, so no task grows with
+the corpus.
 
 Defined cases: null and empty texts have no tokens; the special token's string inside a
-text is one token; very long texts are counted in parts that are cut where a pre-token
-starts; repeated rows and other columns stay as they are.
+text is one token; repeated rows and other columns stay as they are; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
-from careline.llm.common import appended
+from careline.llm.common import sliced, written
 from careline.llm.pretokens import blocks, pieces, pre_tokens
 
+#: Distinct pre-tokens after which a segment ends, about.
+VOCABULARY = 300_000
+
 
-def count_tokens(texts: list[str | None], ranks_file: str, json_file: str) -> np.ndarray:
-    """Tokens of each text."""
-    total = np.zeros(len(texts), np.int64)
-    table = pieces(ranks_file, json_file)
+def document_counts(texts: list[str | None], known: dict[str, int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of the text, pre-tokens by number in ``known``, their frequencies) of parts of texts; pre-tokens that are not
+    known yet get the next numbers. A text without any is one empty part."""
+    met = np.zeros(len(texts), bool)
     for parts in blocks(texts):
         block = pre_tokens(parts)
-        per_word = np.array([len(v) for v in table.ids(block.words)], np.int64)
-        total += np.bincount(block.text_of, per_word[block.codes], len(texts)).astype(np.int64)
-    return total
+        numbers = np.fromiter((known.setdefault(w, len(known)) for w in block.words), np.int64, len(block.words))
+        pair, count = np.unique(block.text_of * len(known) + numbers[block.codes], return_counts=True)
+        text, code = np.divmod(pair, len(known))
+        edges = np.flatnonzero(np.diff(text, prepend=-1, append=-1))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            met[text[a]] = True
+            yield int(text[a]), code[a:b], count[a:b]
+    for i in np.flatnonzero(~met).tolist():
+        yield i, np.empty(0, np.int64), np.empty(0, np.int64)
+
+
+def packed_counts(codes: np.ndarray, counts: np.ndarray) -> bytes:
+    """Rising numbers as differences, then frequencies, each as wide as the largest needs; the widths stand first."""
+    steps = np.diff(codes, prepend=0)
+    widths = [next(w for w in (1, 2, 4) if int(x.max(initial=0)) < 1 << 8 * w) for x in (steps, counts)]
+    return bytes(widths) + b"".join(x.astype(f"<u{w}").tobytes() for x, w in zip((steps, counts), widths))
+
+
+def summed(packed: bytes, n_pieces: np.ndarray) -> int:
+    """Tokens of a document, from the pieces of each number."""
+    a, b = packed[:2]
+    n = (len(packed) - 2) // (a + b)
+    steps = np.frombuffer(packed, f"<u{a}", n, 2)
+    counts = np.frombuffer(packed, f"<u{b}", n, 2 + a * n)
+    return int((n_pieces[np.cumsum(steps, dtype=np.int64)] * counts).sum())
+
+
+def frequencies(docs: DataFrame, text_col: str, keep: list[str], vocabulary: int = VOCABULARY) -> DataFrame:
+    """Rows of documents: segment, row (its number), kept (their columns ``keep``), counts. Rows of segments: segment, words."""
+    kept = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(0).alias("_"))
+    source = docs.select(kept.alias("kept"), F.col(f"`{text_col}`").alias("text"))
+    schema = StructType([*StructType.fromDDL("segment bigint, words array<string>, row bigint").fields,
+                         StructField("kept", source.schema["kept"].dataType), *StructType.fromDDL("counts binary").fields])
+    arrow = to_arrow_schema(schema)
+
+    def words_row(segment: int, known: dict[str, int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([segment]), pa.array([list(known)], arrow.types[1]),
+                                           *(pa.nulls(1, t) for t in arrow.types[2:])], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segment = row = TaskContext.get().partitionId() << 32
+        known: dict[str, int] = {}
+        for batch in (part for whole in batches for part in sliced(whole, 1)):
+            found = [(i, packed_counts(codes, counts)) for i, codes, counts in document_counts(batch.column(1).to_pylist(), known)]
+            at = np.array([i for i, _ in found], np.int64)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(len(at), segment)), pa.nulls(len(at), arrow.types[1]), pa.array(at + row),
+                batch.column(0).take(pa.array(at)).cast(arrow.types[3]), pa.array([c for _, c in found], pa.binary())], schema=arrow)
+            row += len(batch)
+            if len(known) > vocabulary:
+                yield words_row(segment, known)
+                segment, known = segment + 1, {}
+        if known:
+            yield words_row(segment, known)
+
+    return source.mapInArrow(run, schema)
+
+
+def piece_counts(words: DataFrame, ranks_file: str, json_file: str) -> DataFrame:
+    """segment, number, n: the pieces of each pre-token of (segment, number, word), worked out once for equal ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, last, n = pieces(ranks_file, json_file), None, 0
+        try:
+            for batch in batches:
+                counts = []
+                for word in batch.column(2).to_pylist():
+                    if word != last:
+                        last, n = word, table.count(word)
+                    counts.append(n)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(counts, pa.int32())], names=["segment", "number", "n"])
+        finally:
+            pieces.cache_clear()
+
+    return words.repartition("word").sortWithinPartitions("word").mapInArrow(run, "segment bigint, number int, n int")
 
 
 def token_counts(docs: DataFrame, ranks_file: str, json_file: str, text_col: str = "text",
-                 keep: list[str] | None = None, name: str = "n_tokens") -> DataFrame:
-    """The columns ``keep`` (by default all) and the token count as ``name``, which replaces a
-    column of that name. The vocabulary files are at the same paths on every executor."""
-    return appended(docs, text_col, f"`{name}` bigint",
-                    lambda texts: [count_tokens(texts, ranks_file, json_file)], keep)
+                 keep: list[str] | None = None, name: str = "n_tokens", vocabulary: int = VOCABULARY) -> DataFrame:
+    """The columns ``keep`` (by default all; they travel along, so leave out what is not needed) and the token
+    count as ``name``, which replaces a column of that name. The vocabulary files are at the same paths on every executor."""
+    kept = [c for c in (docs.columns if keep is None else keep) if c != name]
+    table = written(frequencies(docs, text_col, kept, vocabulary), "frequencies")
+    words = table.filter("words IS NOT NULL").select("segment", F.posexplode("words").alias("number", "word"))
+    counted = piece_counts(words, ranks_file, json_file)
+    documents = table.filter("words IS NULL").select("segment", "row", "kept", "counts")
+    schema = StructType([*documents.schema.fields[1:3], *StructType.fromDDL("n bigint").fields])
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        n_pieces = np.zeros(len(right), np.int64)  # a segment without pre-tokens has none
+        n_pieces[right["number"].to_numpy()] = right["n"].to_numpy()
+        n = [summed(c, n_pieces) if len(c) > 2 else 0 for c in left["counts"].to_pylist()]
+        return pa.table([left["row"], left["kept"], pa.array(n, pa.int64())], names=schema.names)
+
+    parts = documents.groupBy("segment").cogroup(counted.groupBy("segment")).applyInArrow(meet, schema)
+    whole = parts.groupBy("row").agg(F.first("kept").alias("kept"), F.sum("n").alias("n"))
+    return whole.select(*[F.col(f"kept.`{c}`").alias(c) for c in kept], F.col("n").alias(name))
