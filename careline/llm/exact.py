@@ -1,16 +1,14 @@
 """Exact duplicates by an extendible-hash index on files of the shared folder.
 
-Each text has a key, by default its hex SHA-256 digest. The index holds one entry per
-distinct text. A directory over the first 16 bits of the keys starts as one bucket and
-doubles while a bucket is overfull: a bucket of local depth d owns the keys that share d
-bits. Entries go to the owner task of their bucket, which chains entries of equal keys.
+Each text has a key, by default its hex SHA-256 digest. A directory over the first 16 bits of the keys starts
+as one bucket and doubles while a bucket is overfull, by counts of distinct keys: a bucket of local
+depth d owns the keys that share d bits, a range of keys.
 
-The groups themselves are a plain aggregate by key and text, made before the index: it settles
-keep_id and group_size, and the index records where an entry lies but decides no row.
-
-Only DataFrame operations are used. Bytes are compared where texts are grouped: that
-aggregate combines copies before its exchange, so a group that holds a third of all rows
-leaves each task as one row. Texts cross the network once, as distinct texts per task.
+Rows are combined by bucket, key, text and a part (``PARTS``, by a hash of the id) before they leave their
+tasks, so a group that holds a third of all rows leaves each task as a few rows. These go to the owner
+task of their bucket, which compares the texts of a key byte by byte: equal ones share a slot of its chain, and the slot
+gets keep_id and group_size. Rows then find their slot by key, or by key and text where
+a chain has several. Only DataFrame operations are used; distinct texts cross the network twice.
 
 Defined cases: a null text is the empty text; of equal texts the largest id stays, a null
 id only if the group has no other; repeated rows of one id and text give a row each, of
@@ -33,6 +31,8 @@ from careline.llm.common import filled, only, written
 BITS = 16
 #: Entries that a bucket holds before it is split.
 CAPACITY = 2_048
+#: Rows of one text that a task may send to the owner of its bucket.
+PARTS = 4
 
 
 def sha256_key(text: Column) -> Column:
@@ -80,27 +80,29 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                key: Callable[[Column], Column] = sha256_key, capacity: int = CAPACITY,
+                key: Callable[[Column], Column] = sha256_key, capacity: int = CAPACITY, parts: int = PARTS
                 ) -> DataFrame:
-    """The index, read from its files: bucket, depth, key, slot, chain, keep_id, group_size,
-    n_bytes. ``chain`` is the number of different texts of a key, ``slot`` the place in it."""
+    """The index, read from its files: bucket, depth, key, slot, chain, keep_id, group_size, n_bytes, text.
+    ``chain`` is the number of different texts of a key, ``slot`` the place in it; texts are kept for chains of several."""
     spark = docs.sparkSession
-    entries = written(
-        keyed(docs, id_col, text_col, key).groupBy("key", "text")
-        .agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
-        .select("key", "keep_id", "group_size", F.octet_length("text").alias("n_bytes")), "entries")
-    counts = entries.groupBy(_cell(F.col("key")).alias("cell")).count().collect()  # 65,536 at most
+    rows = keyed(docs, id_col, text_col, key).withColumn("cell", _cell(F.col("key")))
+    counts = rows.select("cell", "key").distinct().groupBy("cell").count().collect()  # 65,536 at most
     cells = spark.createDataFrame(
         directory([(r[0], r[1]) for r in counts], BITS, capacity), "cell int, bucket int, depth int")
-    owned = (
-        entries.withColumn("cell", _cell(F.col("key"))).join(F.broadcast(cells), "cell")
-        .repartition("bucket").drop("cell"))
+    combined = (
+        rows.join(F.broadcast(cells), "cell")
+        .groupBy("bucket", "depth", "key", "text", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"))
+        .agg(F.max("id").alias("id"), F.count("*").alias("n")))
+    # all that follows happens in the owner's task
+    owned = combined.repartition("bucket")
+    along = Window.partitionBy("bucket", "key").orderBy("text")
+    slots = owned.withColumn("slot", F.dense_rank().over(along)).groupBy("bucket", "depth", "key", "slot").agg(
+        F.max("id").alias("keep_id"), F.sum("n").alias("group_size"), F.first("text").alias("text"))
     same = Window.partitionBy("bucket", "key")
-    chained = owned.select(
-        "bucket", "depth", "key",
-        F.row_number().over(same.orderBy("keep_id", "n_bytes")).alias("slot"),
-        F.count("*").over(same).alias("chain"), "keep_id", "group_size", "n_bytes")
-    return written(chained.sortWithinPartitions("bucket", "key", "slot"), "index")
+    chained = slots.withColumn("chain", F.max("slot").over(same)).select(
+        "bucket", "depth", "key", "slot", "chain", "keep_id", "group_size", F.octet_length("text").alias("n_bytes"),
+        F.when(F.col("chain") > 1, F.col("text")).alias("text"))
+    return written(chained, "index")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -108,7 +110,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                  ) -> DataFrame:
     """One row per row of ``docs``: id, key, keep_id, group_size, kept.
 
-    Rows find their entry by key. Keys with a chain of several texts, if the index has any,
+    Rows find their slot by key. Keys with a chain of several texts, if the index has any,
     are looked up by bytes as well.
     """
     index = build_index(docs, id_col, text_col, key, capacity)
@@ -116,14 +118,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     plain = (
         rows.groupBy("id", "key").agg(F.count("*").alias("copies"))
         .join(index.filter("chain = 1").select("key", "keep_id", "group_size"), "key"))
-    long = index.filter("chain > 1").select("key").distinct()
+    long = index.filter("chain > 1").select("key", "text", "keep_id", "group_size")
     if long.limit(1).count():
-        met = rows.join(long, "key", "left_semi")
-        found = met.groupBy("key", "text").agg(
-            F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
+        met = rows.join(long.select("key").distinct(), "key", "left_semi")
         plain = plain.unionByName(
             met.groupBy("id", "key", "text").agg(F.count("*").alias("copies"))
-            .join(found, ["key", "text"]).drop("text"))
+            .join(long, ["key", "text"]).drop("text"))
     # repeated rows of an id: one of them is kept
     return plain.select(
         "id", "key", "keep_id", "group_size",

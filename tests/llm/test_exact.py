@@ -39,6 +39,16 @@ def test_one_cell_that_stays_overfull():
     assert {d for _, _, d in exact.directory([(5, 1000)], bits=3, capacity=10) if _ is not None} == {1, 2, 3}
 
 
+def test_the_index_settles_the_groups(odd_docs, monkeypatch):
+    """Owners bring together what parts of one text have left apart; rows of an index without them are lost."""
+    long = [r for r in exact.build_index(odd_docs, key=lambda t: F.lit("00ff"), parts=50).collect()]
+    assert sorted(r.slot for r in long) == list(range(1, long[0].chain + 1)) and all(r.text is not None for r in long)
+    assert sum(r.group_size for r in long) == odd_docs.count()
+    build = exact.build_index
+    monkeypatch.setattr(exact, "build_index", lambda *a, **b: build(*a, **b).filter("key < '8'"))
+    assert exact.exact_groups(odd_docs).count() < odd_docs.count()
+
+
 def test_buckets_own_ranges_of_keys(odd_docs):
     index = exact.build_index(odd_docs, capacity=1).collect()
     assert all(r.chain == 1 and r.slot == 1 for r in index)
