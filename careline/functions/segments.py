@@ -8,6 +8,9 @@ one segment:
 * running values add the totals of earlier segments, taken from a small aggregate.
 
 Both are exact. ``size`` is the number of rows per segment and can be set small in tests.
+
+Where a table has one segment only (``one_segment``, a pass over the order column), a key is as small as a segment, and
+a plain window does: the table is read once and exchanged once, also for several windows along the same order.
 """
 
 from __future__ import annotations
@@ -25,19 +28,30 @@ def segment(pos: str, size: int = SEGMENT_ROWS) -> Column:
     return F.floor(F.col(pos) / F.lit(size)).cast("long")
 
 
+def one_segment(df: DataFrame, seg: Column) -> bool:
+    """Whether all rows share a segment. Reads the columns of ``seg`` only."""
+    low, high = df.agg(F.min(seg), F.max(seg)).first()
+    return low == high
+
+
 def over_frame(
     df: DataFrame,
     keys: Sequence[str],
-    pos: str,
+    pos: str | Sequence[str],
     exprs: dict[str, Callable[[WindowSpec], Column]],
     before: int = 0,
     after: int = 0,
     size: int = SEGMENT_ROWS,
+    whole: bool = False,
 ) -> DataFrame:
     """Add window columns whose frame reaches ``before`` rows back and ``after`` ahead.
 
-    ``pos`` must number the rows of a key densely; see :func:`dense_position`.
+    ``pos`` must number the rows of a key densely; see :func:`dense_position`. With ``whole`` (a key is known to be no larger
+    than a segment) it may be any order, of several columns.
     """
+    if whole:
+        w = Window.partitionBy(*keys).orderBy(*([pos] if isinstance(pos, str) else pos))
+        return df.select("*", *[build(w).alias(name) for name, build in exprs.items()])
     if max(before, after) > size:
         raise ValueError("a frame must fit into one segment")
     p, seg = F.col(pos), segment(pos, size)
@@ -93,12 +107,17 @@ def running(
     order: Sequence[str],
     exprs: dict[str, tuple[str, Column]],
     seg: Column,
+    whole: bool | None = None,
 ) -> DataFrame:
     """Add running sums, maxima or minima (inclusive) along ``order``.
 
     ``seg`` is a number that never falls along the order; rows that share it form one
-    segment. With no keys the order runs over the whole table.
+    segment. With no keys the order runs over the whole table. ``whole`` says whether there is one segment only; it is
+    found out if it is not given.
     """
+    if one_segment(df, seg) if whole is None else whole:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select("*", *[_COMBINE[how](c).over(w).alias(n) for n, (how, c) in exprs.items()])
     based = df.withColumn("_seg", seg)
     local = Window.partitionBy(*keys, "_seg").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, 0)
@@ -133,9 +152,10 @@ def dense_position(
     order: Sequence[str],
     seg: Column,
     name: str = "pos",
+    whole: bool | None = None,
 ) -> DataFrame:
     """Number the rows of each key 0, 1, 2 … along ``order``; keys may be of any size."""
-    numbered = running(df, keys, order, {name: ("sum", F.lit(1))}, seg)
+    numbered = running(df, keys, order, {name: ("sum", F.lit(1))}, seg, whole)
     return numbered.withColumn(name, F.col(name) - 1)
 
 

@@ -81,14 +81,16 @@ def line_dialogues(files: DataFrame, path: str = "path", content: str = "content
         .alias("role"),
         F.when(bare.rlike(user), said_user).otherwise(said_helper).alias("text"),
     ).filter(F.col("opens") | (F.col("role").isNotNull() & (F.col("text") != "")))
+    most = files.agg(F.max(F.size(F.split(nz(content), "\n", -1)))).first()[0] or 0
+    whole = most <= size  # of lines, in every file
     numbered = S.running(marked, [path], ["line"],
                          {"conversation": ("sum", F.col("opens").cast("int"))},
-                         S.segment("line", size))
+                         S.segment("line", size), whole)
     said = numbered.filter(~F.col("opens"))
     return S.dense_position(
         said.select(path, "conversation", (F.col("conversation") > 0).alias("has_system"),
                     "line", "role", "text"),
-        [path, "conversation"], ["line"], S.segment("line", size), "turn").drop("line")
+        [path, "conversation"], ["line"], S.segment("line", size), "turn", whole).drop("line")
 
 
 def merge_sources(frames: Sequence[DataFrame]) -> DataFrame:

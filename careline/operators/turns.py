@@ -25,10 +25,20 @@ HISTORY = 6
 MESSAGES = "array<struct<role:string,content:string>>"
 
 
-def number_turns(df: DataFrame, key: str = "conv_id", order: str = "turn",
-                 name: str = "pos", size: int = S.SEGMENT_ROWS) -> DataFrame:
-    """Dense position of each row of a conversation along an integer order column."""
-    return S.dense_position(df, [key], [order], S.segment(order, size), name)
+def number_turns(df: DataFrame, key: str = "conv_id", order: str = "turn", name: str = "pos",
+                 size: int = S.SEGMENT_ROWS, ties: Sequence[str] = (), whole: bool | None = None) -> DataFrame:
+    """Dense position of each row of a conversation along an integer order column; rows that share a number of it
+    follow each other by ``ties``."""
+    return S.dense_position(df, [key], [order, *ties], S.segment(order, size), name, whole)
+
+
+def _framed(df: DataFrame, key: str, turn: str, role: str, text: str, size: int,
+            exprs: dict, before: int = 0, after: int = 0) -> DataFrame:
+    """Window columns along the turns of a conversation; turns that share a number go by role and text."""
+    if S.one_segment(df, S.segment(turn, size)):
+        return S.over_frame(df, [key], [turn, role, text], exprs, whole=True)
+    numbered = number_turns(df, key, turn, "_pos", size, [role, text], False)
+    return S.over_frame(numbered, [key], "_pos", exprs, before, after, size).drop("_pos")
 
 
 # ---- conversations to clean dialogues ----------------------------------------------
@@ -40,15 +50,17 @@ def merge_same_role(df: DataFrame, key: str = "conv_id", turn: str = "turn",
 
     Result: key, turn (position of the merged message), role, text, n_messages.
     """
+    whole = S.one_segment(df, S.segment(turn, size))
     kept = df.filter(F.length(nz(text)) >= min_chars).select(key, turn, role, text)
-    numbered = number_turns(kept, key, turn, "pos", size)
+    numbered = number_turns(kept, key, turn, "pos", size, [role, text], whole)
+    along = [turn, role, text] if whole else ["pos"]  # the same order, so that one sort serves all
     marked = S.over_frame(
-        numbered, [key], "pos",
+        numbered, [key], along if whole else "pos",
         {"first": lambda w: ~F.coalesce(F.lag(role).over(w).eqNullSafe(F.col(role)), F.lit(False))
                             | (F.col("pos") == 0)},
-        before=1, size=size)
-    runs = S.running(marked, [key], ["pos"],
-                     {"run": ("sum", F.col("first").cast("int"))}, S.segment("pos", size))
+        before=1, size=size, whole=whole)
+    runs = S.running(marked, [key], along,
+                     {"run": ("sum", F.col("first").cast("int"))}, S.segment("pos", size), whole)
     joined = F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("pos", text))), lambda m: m[text]), " ")
     return runs.groupBy(key, "run").agg(
@@ -99,10 +111,9 @@ def user_assistant_pairs(df: DataFrame, key: str = "conv_id", turn: str = "turn"
                          role: str = "role", text: str = "text",
                          size: int = S.SEGMENT_ROWS) -> DataFrame:
     """Each user message with the assistant message right after it."""
-    numbered = number_turns(df.select(key, turn, role, text), key, turn, "_pos", size)
-    ahead = S.over_frame(numbered, [key], "_pos", {
+    ahead = _framed(df.select(key, turn, role, text), key, turn, role, text, size, {
         "next_role": lambda w: F.lead(role).over(w),
-        "assistant_text": lambda w: F.lead(text).over(w)}, after=1, size=size)
+        "assistant_text": lambda w: F.lead(text).over(w)}, after=1)
     return ahead.filter((F.col(role) == "user") & (F.col("next_role") == "assistant")).select(
         key, turn, F.col(text).alias("user_text"), "assistant_text")
 
@@ -279,10 +290,9 @@ def train_valid_split(df: DataFrame, ident: str, ratio: float = 0.85,
 
 def turn_context(df: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role",
                  text: str = "text", history: int = HISTORY,
-                 size: int = S.SEGMENT_ROWS, dense: bool = False) -> DataFrame:
-    """Adds what a turn knows of the messages before it; one exchange serves all of it, after
-    the messages have been numbered. ``dense`` says that ``turn`` is such a number already
-    (0, 1, 2 … without gaps); rows would be missed if it were not.
+                 size: int = S.SEGMENT_ROWS) -> DataFrame:
+    """Adds what a turn knows of the messages before it; one exchange serves all of it, and another one or two
+    number the messages if some conversation is longer than a segment.
 
     ``history`` (array of role and text, oldest first), ``turn_count`` (user messages in
     it), ``recent_topic``, ``previous_topics`` (newest first), ``repeated_question`` and
@@ -290,17 +300,17 @@ def turn_context(df: DataFrame, key: str = "conv_id", turn: str = "turn", role:
     the frame, and not again for every turn that looks back at it.
     """
     user = F.col(role) == "user"
-    numbered = (df.withColumn("_pos", F.col(turn)) if dense
-                else number_turns(df, key, turn, "_pos", size))
+    one = S.one_segment(df, S.segment(turn, size))
+    numbered = df if one else number_turns(df, key, turn, "_pos", size, [role, text], False)
     featured = numbered.withColumn("_m", F.struct(
         F.col(role).alias("role"), F.col(text).alias("text"),
         F.when(user, T.extract_topic(text)).alias("topic"),
         F.when(user, T.content_stems(text)).alias("stems"),
         F.when(user, keyword_count(F.col(text), medical.GATE_WORDS)).alias("hits")))
     framed = S.over_frame(
-        featured, [key], "_pos",
+        featured, [key], [turn, role, text] if one else "_pos",
         {"_h": lambda w: F.collect_list("_m").over(w.rowsBetween(-history, -1))},
-        before=history, size=size)
+        before=history, size=size, whole=one)
     users = F.filter("_h", lambda m: m["role"] == "user")
     with_users = framed.withColumn("_u", users)
     topics = F.filter(F.transform(F.reverse("_u"), lambda m: m["topic"]), lambda t: t != "")
@@ -354,13 +364,13 @@ def with_rewrites(df: DataFrame, key: str = "conv_id", turn: str = "turn", role:
                   text: str = "text", history: int = HISTORY,
                   size: int = S.SEGMENT_ROWS) -> DataFrame:
     """User turns with the question rewritten from the last user message before them."""
-    framed = S.over_frame(
-        number_turns(df.select(key, turn, role, text), key, turn, "_pos", size), [key], "_pos",
+    framed = _framed(
+        df.select(key, turn, role, text), key, turn, role, text, size,
         {"last_user": lambda w: F.last(
             F.when((F.col(role) == "user") & (F.col(text) != ""), F.col(text)), True
         ).over(w.rowsBetween(-history, -1))},
-        before=history, size=size)
-    return framed.filter(F.col(role) == "user").drop("_pos").withColumn(
+        before=history)
+    return framed.filter(F.col(role) == "user").withColumn(
         "rewritten", T.rewrite_followup(text, "last_user", T.extract_topic("last_user")))
 
 

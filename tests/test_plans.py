@@ -1,5 +1,7 @@
 """Shapes of physical plans, and streams over several batches."""
 
+import re
+
 import pytest
 from compare import SMALL
 from pyspark.sql import functions as F
@@ -23,7 +25,22 @@ def test_no_cross_product(spark, name):
 
 def test_one_exchange_for_the_whole_context(spark):
     turns = spark.read.parquet(f"{SMALL}/conversations.parquet")
-    assert plan(O.turn_context(turns, dense=True)).count("Exchange hashpartitioning") == 1
+    p = plan(O.turn_context(turns))
+    assert p.count("Exchange") == 1 and p.count("Scan parquet") == 1
+    sparse = turns.withColumn("turn", F.col("turn") * 10**9)  # more than a segment: numbered first
+    assert plan(O.turn_context(sparse)).count("Exchange hashpartitioning") > 1
+
+
+#: Scans of a table and exchanges, at most; the smallest tables are dealt out by one exchange more.
+SHAPES = {"turn_pairs": (1, 2), "turn_context": (1, 2), "merged_event_runs": (1, 2), "intent_cascade": (1, 2), "analysed_turns": (1, 2),
+          "rewritten_followups": (1, 2), "clean_dialogues": (2, 5), "line_dialogues": (1, 4), "vector_gap_match": (3, 3)}
+
+
+@pytest.mark.parametrize("name", sorted(SHAPES))
+def test_scans_and_exchanges(spark, name):
+    p = plan(entry.queries()[name](spark, SMALL))
+    scans, exchanges = p.count("FileScan parquet"), len(re.findall(r"Exchange (?:hash|range|RoundRobin|SinglePartition)", p))
+    assert scans <= SHAPES[name][0] and exchanges <= SHAPES[name][1], (scans, exchanges)
 
 
 def test_row_limits_go_below_the_exchange(spark):
@@ -48,10 +65,12 @@ def test_only_small_tables_are_dealt_out(spark, monkeypatch):
 
 def test_session_state_lives_across_batches(spark, tmp_path):
     turns = table(spark, SMALL, "conversations").cache()
-    source, steps = str(tmp_path / "in"), [turns.filter("turn < 2"), turns.filter("turn >= 2")]
+    timed = turns.selectExpr("timestamp_seconds(1000000 + turn) AS at", "*")
+    end = spark.range(1).selectExpr("timestamp'2250-01-01' AS at", *[f"CAST(NULL AS {f.dataType.simpleString()}) AS {f.name}" for f in turns.schema])
+    source, steps = str(tmp_path / "in"), [timed.filter("turn < 2"), timed.filter("turn >= 2").unionByName(end)]
     for step in steps:
         step.coalesce(1).write.mode("append").parquet(source)
-        stream = spark.readStream.schema(turns.schema).parquet(source)
+        stream = spark.readStream.schema(timed.schema).parquet(source)
         out = streams.run_to_files(sessions.session_context(stream), str(tmp_path / "out"), str(tmp_path / "state"))
     columns = ["conv_id", "turn", "turn_count", "recent_topic", "previous_topics", "repeated_question", "topic_drifted"]
     want, have = O.turn_context(turns).select(columns), out.select(columns)
