@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from careline.functions.core import unpack
 from careline.operators import care as CA
+from careline.operators import extraction as X
 from careline.operators import graph as G
 from careline.operators import retrieval as V
 from careline.operators import vector_index as VI
-from careline.plans.korean import korean_turns
+from careline.plans.korean import KO_DOCS, korean, korean_turns
 from careline.plans.registry import q, query, sql_values
 from careline.rules import care
-from careline.sources.scratch import work_folder
+from careline.sources.scratch import work_folder, written
 from careline.sources.tables import table
 
 _NODES = """kn AS (SELECT 'Region' AS label, r_name AS name, 'R' || r_regionkey AS id, 'region' AS description FROM region
@@ -105,16 +106,59 @@ WITH t AS (SELECT o_orderkey, 'cust ' || o_custkey AS src, CASE WHEN o_custkey %
 SELECT DISTINCT src, dst, rel FROM t WHERE rel = 'SYMPTOM_OF'
   AND src IN (SELECT src FROM t WHERE sl = 'Symptom')""")
 def kg_triples(spark, d):
-    triples = table(spark, d, "orders").select(
+    nodes = spark.createDataFrame([], G.NODE_SCHEMA)
+    edges = spark.createDataFrame([], G.EDGE_SCHEMA)
+    return G.load_triples(_order_triples(spark, d), nodes, edges)[1]
+
+
+def _order_triples(spark, d):
+    return table(spark, d, "orders").select(
         F.col("o_orderkey").alias("doc_id"),
         F.concat(F.lit("cust "), F.col("o_custkey").cast("string")).alias("src"),
         F.when(F.col("o_custkey") % 5 == 0, "Other").otherwise("Symptom").alias("src_label"),
         F.when(F.col("o_orderkey") % 4 == 0, "UNKNOWN").otherwise("SYMPTOM_OF").alias("rel"),
         F.col("o_orderpriority").alias("dst"), F.lit("Condition").alias("dst_label"),
         F.when(F.col("o_orderstatus") == "F", "failed").alias("error"))
-    nodes = spark.createDataFrame([], G.NODE_SCHEMA)
-    edges = spark.createDataFrame([], G.EDGE_SCHEMA)
-    return G.load_triples(triples, nodes, edges)[1]
+
+
+def _loaded(nodes, edges, stats, **marks):
+    """Nodes, edges and statistics of a load as rows of one shape."""
+    rows = (
+        nodes.select(F.lit("node").alias("kind"), F.col("label").alias("a"), F.col("name").alias("b"), F.lit("").alias("c"))
+        .unionByName(edges.select(F.lit("edge").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("rel").alias("c")))
+        .unionByName(stats.select(F.lit("load").alias("kind"), F.col("processed_docs").cast("string").alias("a"),
+                                  F.col("failed_docs").cast("string").alias("b"), F.lit("").alias("c"))))
+    return rows.select("*", *[F.lit(v).alias(k) for k, v in marks.items()])
+
+
+@query("kg_load", f"""WITH {_NODES}, {_EDGES},
+t AS (SELECT o_orderkey, o_orderstatus = 'F' AS failed, 'cust ' || o_custkey AS src, CASE WHEN o_custkey % 5 = 0 THEN 'Other' ELSE 'Symptom' END AS sl,
+   CASE WHEN o_orderkey % 4 = 0 THEN 'UNKNOWN' ELSE 'SYMPTOM_OF' END AS rel, o_orderpriority AS dst FROM orders),
+n AS (SELECT DISTINCT label, name FROM (SELECT sl AS label, src AS name, failed FROM t UNION ALL SELECT 'Condition', dst, failed FROM t) WHERE label <> 'Other' AND NOT failed),
+e AS (SELECT DISTINCT src, dst, rel FROM t WHERE rel = 'SYMPTOM_OF' AND NOT failed AND src IN (SELECT name FROM n WHERE label = 'Symptom')),
+s AS (SELECT count(DISTINCT o_orderkey) FILTER (NOT failed)::VARCHAR AS p, count(DISTINCT o_orderkey) FILTER (failed)::VARCHAR AS f FROM t)
+SELECT 'node' AS kind, label AS a, name AS b, '' AS c, true AS reset FROM n UNION ALL SELECT 'edge', src, dst, rel, true FROM e UNION ALL SELECT 'load', p, f, '', true FROM s
+UNION ALL SELECT 'node', label, name, '', false FROM n UNION ALL SELECT 'node', label, name, '', false FROM kn
+UNION ALL SELECT 'edge', src, dst, rel, false FROM e UNION ALL SELECT DISTINCT 'edge', src, dst, rel, false FROM ke UNION ALL SELECT 'load', p, f, '', false FROM s""")
+def kg_load(spark, d):
+    """Triples of the orders loaded into the graph of the tables, and instead of it."""
+    triples = _order_triples(spark, d)
+    both = [_loaded(*G.load_triples(triples, _nodes(spark, d), _edges(spark, d), reset=reset), reset=reset) for reset in (True, False)]
+    return both[0].unionByName(both[1])
+
+
+@query("kg_extracted", f"""WITH {KO_DOCS}, d AS (SELECT doc_id, text, length(text) > 8000 AS failed FROM kodocs),
+x AS (SELECT unnest(string_split(text, '요 ')) AS l FROM d WHERE NOT failed),
+e AS (SELECT DISTINCT s, c FROM x, {sql_values([[s] for s in X.SYMPTOMS], 's(s)')}, {sql_values([[c] for c in X.CONDITIONS], 'c(c)')} WHERE contains(l, s) AND contains(l, c))
+SELECT 'node' AS kind, 'Symptom' AS a, s AS b, '' AS c FROM (SELECT DISTINCT s FROM e) UNION ALL SELECT 'node', 'Condition', c, '' FROM (SELECT DISTINCT c FROM e)
+UNION ALL SELECT 'edge', s, c, 'SYMPTOM_OF' FROM e
+UNION ALL SELECT 'load', count(*) FILTER (NOT failed)::VARCHAR, count(*) FILTER (failed)::VARCHAR, '' FROM d""")
+def kg_extracted(spark, d):
+    """Triples that an extractor finds in care talk rendered from all documents, loaded into an empty graph."""
+    talk = table(spark, d, "documents").select("doc_id", korean("text").alias("text"))
+    triples = X.extract_triples(talk, lambda: X.SentencePairs(X.SYMPTOMS, X.CONDITIONS, 8000, '요 '))
+    return _loaded(*G.load_triples(
+        written(triples, "triples"), spark.createDataFrame([], G.NODE_SCHEMA), spark.createDataFrame([], G.EDGE_SCHEMA)))
 
 
 @query("kg_profile", f"""WITH {_NODES}, {_EDGES},

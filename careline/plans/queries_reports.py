@@ -10,12 +10,14 @@ from careline.functions.lexicon import any_keyword
 from careline.functions.text import content_stems, kst
 from careline.operators import reports as R
 from careline.operators import turns as O
+from careline.operators import sketches as K
 from careline.operators import upserts as U
 from careline.operators.transcripts import merge_sources, nfc
 from careline.plans.korean import KO, korean_turns
 from careline.plans.queries_text import sql_stems
 from careline.plans.registry import arr, q, query, sql_any, sql_count
 from careline.rules import care, medical
+from careline.sources.scratch import written
 from careline.sources.tables import table
 
 
@@ -197,6 +199,16 @@ def latency_stats(spark, d):
     return R.latency_stats(table(spark, d, "events"), ["event_type"], "value")
 
 
+@query("usage_sketches", """
+SELECT event_type, min(day) AS first_day, max(day) AS last_day, count(*) AS n, count(DISTINCT user_id) AS n_users, min(value) AS least, max(value) AS most,
+  round(avg(value), 6) AS mean FROM (SELECT *, strftime(ts, '%Y-%m-%d') AS day FROM events) WHERE day BETWEEN '2024-01-05' AND '2024-01-20' GROUP BY event_type""")
+def usage_sketches(spark, d):
+    """Daily sketches of all events, written, and merged for a range of days."""
+    day = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd")
+    daily = written(K.daily_sketches(table(spark, d, "events"), day, ["event_type"], "user_id", "value"), "daily")
+    return K.estimates(K.merged(daily, ["event_type"], F.lit("2024-01-05"), F.lit("2024-01-20"))).drop("p50", "p95")
+
+
 _ERROR = "CASE WHEN event_type = 'error' THEN 'Code' || cast(floor(value / 10) as int) || ': ' || props END"
 
 

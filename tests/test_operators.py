@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from careline.operators import care as CA
+from careline.operators import extraction as X
 from careline.operators import graph as G
 from careline.operators import reports as R
 from careline.operators import retrieval as V
@@ -72,6 +73,18 @@ def test_contains_join_is_complete(spark, ways):
     assert have == {(w, t) for w in words for t in texts if w and w in t}
 
 
+def test_a_failed_document_is_one_row(spark):
+    docs = spark.createDataFrame([(1, "기침 당뇨\n기침 변비 당뇨"), (2, "x" * 31), (3, None), (3, "두통"), (None, "무릎 치매")], "doc_id long, text string")
+    rows = X.extract_triples(docs.repartition(2), lambda: X.SentencePairs(X.SYMPTOMS, X.CONDITIONS, 30)).collect()
+    assert sorted(((r.doc_id, r.src, r.dst) for r in rows if r.src), key=str) == [
+        (1, "기침", "당뇨"), (1, "기침", "변비"), (None, "무릎", "치매")]
+    assert [(r.doc_id, r.error) for r in rows if r.error] == [(2, "ValueError: more than 30 characters")]
+    assert [r.doc_id for r in rows if r.src is None and r.error is None] == [3, 3]
+    nodes, edges, stats = G.load_triples(spark.createDataFrame(rows, "doc_id long, " + X.TRIPLE), *(
+        spark.createDataFrame([], s) for s in (G.NODE_SCHEMA, G.EDGE_SCHEMA)))
+    assert (nodes.count(), edges.count(), tuple(stats.first())) == (5, 3, (2, 1))
+
+
 # ---- vectors -------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
