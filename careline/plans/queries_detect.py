@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from careline.functions import classify as C
 from careline.functions import lexicon as L
+from careline.functions import morphemes as M
 from careline.functions import pii as P
 from careline.functions import spans as SP
 from careline.functions.core import strings, unpack
@@ -142,6 +143,27 @@ def tagged_entities(spark, d):
         F.col("start").cast("bigint").alias("start"), "confidence").agg(F.count("*").alias("n"))
 
 
+_TAGS = sorted(M.dictionary_tags().items(), key=lambda x: (-len(x[0]), x[0]))
+
+
+@query("tagger_entities", f"""WITH {KO},
+w AS (SELECT conv_id, turn, text AS t, unnest(regexp_extract_all(text, {q('|'.join(w for w, _ in _TAGS))})) AS morph FROM ko),
+m AS (SELECT w.*, tag FROM w JOIN {sql_values(_TAGS, 'd(word, tag)')} ON morph = word),
+e AS (SELECT conv_id, turn, t, morph, tag, morph AS lemma, category, 1.0::DOUBLE AS confidence FROM m
+    JOIN {sql_values(medical.NOUNS, 'n(term, category, description)')} ON morph = term WHERE tag LIKE 'NN%'
+  UNION ALL SELECT conv_id, turn, t, morph, tag, description, category, 0.9::DOUBLE FROM m
+    JOIN {sql_values(medical.VERBS, 'v(term, category, description)')} ON morph = term WHERE tag IN ('VV', 'VA', 'XSV', 'XSA')
+    AND NOT morph IN ({', '.join(q(x) for x in medical.MORPH_STOP_WORDS if x not in medical.MORPH_STOP_EXEMPT)}))
+SELECT conv_id, turn, morph AS text, lemma, category, tag AS pos_tag, greatest(instr(t, morph) - 1, 0) AS start, confidence,
+  count(*) AS n FROM e GROUP BY ALL""")
+def tagger_entities(spark, d):
+    """As tagged_entities, with the morphemes that the stand-in for a tagger finds."""
+    tagged = _ko(spark, d).withColumn("ms", M.morphemes()("text"))
+    return unpack(tagged, ["conv_id", "turn"], L.tagged_matches("text", "ms"), "start").groupBy(
+        "conv_id", "turn", "text", "lemma", "category", "pos_tag",
+        F.col("start").cast("bigint").alias("start"), "confidence").agg(F.count("*").alias("n"))
+
+
 # Entities from the left: one per lemma; of two that overlap the later one only wins by its source.
 @query("medical_entities", f"""WITH {KO_DOCS},
 c AS (SELECT doc_id, i, 0 AS rank, term AS text, term AS lemma, category, 'NNG' AS pos_tag, instr(lower(text), term) - 1 AS start,
