@@ -10,7 +10,7 @@ power of two need no padding and are compared beside it.
 
 A task packs its own documents in order, in blocks of at least ``PACKED`` characters that go on over
 batches (only the last of a task is shorter), so nothing is shuffled and memory is bounded by a block or the longest
-text. The one sequence that ends a block may be padded more; a block has some 300 sequences. Sequence ids are partition << 32 | number in the partition.
+text. The one sequence that ends a block may be padded more; a block has some 200 sequences. Sequence ids are partition << 32 | number in the partition.
 
 Defined cases: null and empty texts are the end id alone; a text longer than a block is
 packed in several blocks, whose pieces continue each other; repeated rows are packed each;
@@ -41,7 +41,7 @@ SENTENCE, INSIDE, SEQUENCE = 4, 24, 16
 #: Distance of cuts elsewhere, in stretches without ends of sentences or documents.
 STEP = 64
 #: Characters that a task gathers before it packs them together. A text is cut beyond twice as many.
-PACKED = 1_500_000
+PACKED = 1_000_000
 #: Shorter windows that need no padding either.
 POWERS = (256, 512, 1024)
 SCHEMA = ("start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
