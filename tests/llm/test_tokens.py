@@ -47,6 +47,9 @@ def test_counts_equal_the_library(library):
 def test_packed_counts(codes, counts):
     n_pieces = np.arange(max(codes, default=0) + 1) % 7
     packed = tokens.packed_counts(np.array(codes, np.int64), np.array(counts, np.int64))
+    assert [x.tolist() for x in tokens.unpacked_counts(packed)] == [codes, counts]
+    words = ["", "a", "é\0", "日" * 300, " the"] * len(codes)
+    assert [w.decode() for w in tokens.unpacked_words(tokens.packed_words(words))] == words
     assert tokens.summed(packed, n_pieces) == sum(n * (c % 7) for c, n in zip(codes, counts))
 
 
