@@ -3,7 +3,7 @@
 from importlib import import_module
 
 MODULES = ["queries_text", "queries_turns", "queries_detect", "queries_graph", "queries_reports",
-           "queries_streams"]
+           "queries_streams", "queries_io"]
 
 
 def _load():
