@@ -402,19 +402,21 @@ def analysed_turns(spark, d):
 _GUIDED = "('health_consult', 'medication', 'followup')"
 
 
-@query("guidance_flags", f"""WITH {_INTENT}, g AS (SELECT *, turn_count >= 3 AND intent IN {_GUIDED} AS may FROM iv),
+@query("guidance_flags", f"""WITH {_INTENT}, g AS (SELECT *, turn_count >= 3 AND intent IN {_GUIDED} AND (turn // 2) % 4 >= 1 AS may FROM iv),
 fr AS (SELECT conv_id, min(turn) AS first FROM g WHERE may GROUP BY conv_id)
 SELECT conv_id, turn, may AS may_refer, may AND turn = first AS referral, repeated_question AND intent IN {_GUIDED} AS note_repeated,
   topic_drifted AND intent IN {_GUIDED} AS note_drift, intent <> 'emergency' AS expert_guidance,
-  intent <> 'emergency' AND {sql_any('text', intents.EMOTIONAL_RISK_WORDS)} AS note_emotional
+  intent <> 'emergency' AND {sql_any('text', intents.EMOTIONAL_RISK_WORDS)} AS note_emotional, (turn // 2) % 4 >= 2 AS note_high_risk,
+  CASE WHEN (turn // 2) % 4 >= 2 THEN array_to_string(string_split(text, ' ')[1:5], ', ') END AS risk_terms
 FROM g LEFT JOIN fr USING (conv_id)""".replace("may AND turn = first AS", "coalesce(may AND turn = first, false) AS"))
 def guidance_flags(spark, d):
-    # Every turn counts as medium risk here; the risk side has its own queries.
+    # Levels go round by turn here, and the words of a turn are its terms; the risk side has its own queries.
+    level = F.get(strings(["low", "medium", "high", "critical"]), (F.floor(F.col("turn") / 2) % 4).cast("int"))
     rows = _intents(spark, d).withColumn("report", F.struct(
-        F.lit("medium").alias("overall_risk"), strings([]).alias("detected_health_terms")))
+        level.alias("overall_risk"), F.split("text", " ", -1).alias("detected_health_terms")))
     flagged = pipeline.first_in_session(pipeline.with_guidance(rows), "may_refer")
     return flagged.select("conv_id", "turn", "may_refer", "referral", "note_repeated", "note_drift",
-                          "expert_guidance", "note_emotional")
+                          "expert_guidance", "note_emotional", "note_high_risk", "risk_terms")
 
 
 @query("flag_counts", f"""WITH {_CONTEXT} SELECT count(*) FILTER (repeated_question) AS n_repeated_question,

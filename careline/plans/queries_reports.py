@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from careline.functions import spans as SP
@@ -261,9 +263,24 @@ def stem_sets(spark, d):
         F.size(F.array_except("s", gate)).alias("n_other"))
 
 
-@query("nfc_names", "SELECT DISTINCT nfc_normalize(url) AS name FROM pages")
+#: Letters of the tables in two characters each: the letter and its mark.
+_LETTERS = [(c, unicodedata.normalize("NFD", c)) for c in "éèêçàáíóúñäöüÉÈÊÇÀÁÍÓÚÑÄÖÜ"]
+
+
+def _sql_apart(text: str) -> str:
+    for whole, parts in _LETTERS:
+        text = f"replace({text}, '{whole}', '{parts}')"
+    return text
+
+
+@query("nfc_names", f"SELECT doc_id, nfc_normalize({_sql_apart('text')}) AS name, length({_sql_apart('text')}) > length(text) AS was_apart FROM documents")
 def nfc_names(spark, d):
-    return table(spark, d, "pages").select("url").distinct().select(nfc("url").alias("name")).distinct()
+    """All texts with their letters taken apart and put together again."""
+    apart = F.col("text")
+    for whole, parts in _LETTERS:
+        apart = F.replace(apart, F.lit(whole), F.lit(parts))
+    docs = table(spark, d, "documents").select("doc_id", "text", apart.alias("apart"))
+    return docs.select("doc_id", nfc("apart").alias("name"), (F.length("apart") > F.length("text")).alias("was_apart"))
 
 
 # ---- keyed writes ------------------------------------------------------------------------

@@ -99,21 +99,26 @@ def stream_summary_triggers(spark, d):
     return _run(spark, sessions.summary_triggers(timed(spark, stream_of(spark, d, "conversations").select("conv_id", "turn")), 2, 1))
 
 
-@query("stream_dual_sink", f"""WITH {KO}
-SELECT 'history' AS sink, count(*) * 2 AS n FROM ko WHERE role = 'user' UNION ALL SELECT 'logs', count(*) FROM ko WHERE role = 'user'""")
+@query("stream_dual_sink", f"""WITH {KO},
+u AS (SELECT * FROM ko WHERE role = 'user')
+SELECT 'history' AS sink, conv_id::VARCHAR AS session_id, turn, 0 AS part, 'human' AS type, coalesce(text, '') AS content FROM u
+UNION ALL SELECT 'history', conv_id::VARCHAR, turn, 1, 'ai', 'reply to turn ' || turn FROM u UNION ALL SELECT 'logs', conv_id::VARCHAR, turn, 0, 'log', text FROM u""")
 def stream_dual_sink(spark, d):
     folder = work_folder(spark)
-    users = _turns(spark, d).filter("role = 'user'").withColumn("response", F.lit("ok"))
+    users = _turns(spark, d).filter("role = 'user'").withColumn(
+        "response", F.concat(F.lit("reply to turn "), F.col("turn").cast("string")))
     streams.dual_sink(
         users, f"{folder}/history", f"{folder}/logs", f"{folder}/state",
         log_row=lambda b: b.select("conv_id", "turn", F.col("text").alias("user_message")),
         history_row=streams.append_turn_rows).awaitTermination()
 
-    def counted(name):
-        return spark.read.parquet(f"{folder}/{name}").agg(F.count("*").alias("n")).select(
-            F.lit(name).alias("sink"), "n")
-
-    return counted("history").unionByName(counted("logs"))
+    history = spark.read.parquet(f"{folder}/history").select(
+        F.lit("history").alias("sink"), "session_id", "turn", "part", F.get_json_object("message", "$.type").alias("type"),
+        F.coalesce(F.get_json_object("message", "$.data.content"), F.lit("")).alias("content"))
+    logs = spark.read.parquet(f"{folder}/logs").select(
+        F.lit("logs").alias("sink"), F.col("conv_id").cast("string").alias("session_id"), "turn", F.lit(0).alias("part"),
+        F.lit("log").alias("type"), F.col("user_message").alias("content"))
+    return history.unionByName(logs)
 
 
 @query("stream_due_medications", """
