@@ -125,8 +125,13 @@ def tagged_matches(text: Column | str, morphemes: Column | str) -> Column:
 
 def _tagged(t: Column, ms: Column) -> Column:
     def table(rows):
-        return F.map_from_entries(F.transform(structs(["t", "c", "d"], rows), lambda r: F.struct(
-            r["t"], F.struct(r["c"].alias("category"), r["d"].alias("description")))))
+        """A literal, so that it is made once and not for every morpheme."""
+        return F.expr("map(" + ", ".join(
+            f"{literal(t)}, named_struct('category', {literal(c)}, 'description', {literal(d)})" for t, c, d in rows) + ")")
+
+    def known(m: Column, rows) -> Column:
+        """A set look-up; a map is searched from its start."""
+        return m["morph"].isin([t for t, _, _ in rows])
 
     stopped = sorted(set(medical.MORPH_STOP_WORDS) - set(medical.MORPH_STOP_EXEMPT))
     nouns, verbs = table(medical.NOUNS), table(medical.VERBS)
@@ -136,12 +141,12 @@ def _tagged(t: Column, ms: Column) -> Column:
 
     noun = F.transform(
         F.filter(ms, lambda m: F.startswith(m["tag"], F.lit(medical.NOUN_TAG_PREFIX))
-                 & F.map_contains_key(nouns, m["morph"])),
+                 & known(m, medical.NOUNS)),
         lambda m: _entity(m["morph"], m["morph"], nouns[m["morph"]]["category"], m["tag"],
                           at(m), 1.0, "dictionary"))
     verb = F.transform(
         F.filter(ms, lambda m: m["tag"].isin(medical.VERB_TAGS)
-                 & F.map_contains_key(verbs, m["morph"]) & ~m["morph"].isin(stopped)),
+                 & known(m, medical.VERBS) & ~m["morph"].isin(stopped)),
         lambda m: _entity(m["morph"], verbs[m["morph"]]["description"],
                           verbs[m["morph"]]["category"], m["tag"], at(m), 0.9, "dictionary"))
     return F.concat(noun, verb)
