@@ -29,7 +29,7 @@ def alternation(terms: Iterable[str]) -> str:
 
     A flat alternation tries every term at every place of the text. Terms with different
     first characters exclude each other, so long lists are grouped by ranges of first
-    characters, each behind one range test.
+    characters, each behind one range test, and long groups again.
     """
     terms = list(terms)
 
@@ -37,14 +37,13 @@ def alternation(terms: Iterable[str]) -> str:
         return "(?:" + "|".join(escape(t) for t in ts) + ")"
 
     firsts = sorted({t[0] for t in terms})
-    width = max(2, round(len(firsts) ** 0.5))
-    if len(firsts) < 9:
+    if len(firsts) <= 6:
         return flat(terms)
-    groups = []
+    width, groups = -(-len(firsts) // 3), []
     for i in range(0, len(firsts), width):
         part = firsts[i:i + width]
         span = "-".join(c if c.isalnum() else f"\\x{{{ord(c):x}}}" for c in (part[0], part[-1]))
-        groups.append(f"(?=[{span}])" + flat([t for t in terms if t[0] in part]))
+        groups.append(f"(?=[{span}])" + alternation([t for t in terms if t[0] in part]))
     return "(?:" + "|".join(groups) + ")"
 
 
@@ -157,22 +156,23 @@ def part_sql(array: str, start: str, n: int | str, name: str = "j_") -> str:
             f"{name} -> get({array}, {name}))")
 
 
-def prefix_sums_sql(values: str, block: int = 64) -> str:
-    """Exclusive running totals of an int array.
+def prefix_sums_sql(n: str, item: str) -> str:
+    """Exclusive running totals of ``n`` ints, of which ``item`` is number ``j_`` (from 0).
 
     Appending to an array copies it, so a plain fold is quadratic in the number of
-    elements. Folding inside blocks and then over block totals keeps long texts cheap.
+    elements. Folding inside blocks and then over block totals keeps long texts cheap; blocks
+    grow with the root of a long array, so neither fold is long.
     """
-    blocks = (f"transform(sequence(0, greatest(cast(ceil(size(a_) / {block}) as int) - 1, 0)), "
-              f"k_ -> {part_sql('a_', f'k_ * {block}', block)})")
-    local = (f"transform({blocks}, b_ -> aggregate(b_, array(0), "
-             "(acc, x) -> concat(acc, array(element_at(acc, -1) + x))))")
+    block = f"greatest(32, cast(sqrt({n}) / 4 as int))"
+    local = (f"transform(sequence(0, cast(ceil({n} / {block}) as int) - 1), k_ -> "
+             f"aggregate(sequence(k_ * {block}, cast(least((k_ + 1) * {block}, {n}) as int) - 1), array(0), "
+             f"(acc, j_) -> concat(acc, array(element_at(acc, -1) + {item}))))")
     base = ("aggregate(l_, array(0), "
             "(acc, x) -> concat(acc, array(element_at(acc, -1) + element_at(x, -1))))")
     totals = ("flatten(transform(l_, (p_, i_) -> "
               "transform(slice(p_, 1, size(p_) - 1), x -> x + get(s_, i_))))")
-    return let_sql(values, "a_", let_sql(local, "l_", let_sql(base, "s_", totals)))
+    return f"if({n} = 0, cast(array() as array<int>), {let_sql(local, 'l_', let_sql(base, 's_', totals))})"
 
 
 def prefix_sums(values: Column) -> Column:
-    return apply_sql(values, "v_", prefix_sums_sql("v_"))
+    return apply_sql(values, "v_", prefix_sums_sql("size(v_)", "get(v_, j_)"))

@@ -8,49 +8,76 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from careline.functions.core import (
-    alternation, apply_sql, col, let, let_sql, nz, part, part_sql, prefix_sums_sql, rx, strings,
+    alternation, apply_sql, col, let, let_sql, literal, nz, part, part_sql, prefix_sums_sql, rx, strings,
 )
 
 SPAN = "array<struct<start:int,end:int,text:string>>"
 
 
+#: Put around the matches of a pattern where the text itself does not hold it.
+MARK = "\x01"
+
+
 def pattern_spans(text: Column | str, pattern: str | Column) -> Column:
     """All non-overlapping matches of a pattern that never matches empty text.
 
-    The built-ins give matches and the text between them; offsets follow from the
-    lengths of both. ``end`` is exclusive.
+    One pass marks the matches, and a cut at the marks gives them and the text between
+    them; offsets follow from the lengths of both. ``end`` is exclusive.
     """
-    t = nz(text)
-    p = F.lit(rx(pattern)) if isinstance(pattern, str) else pattern
-
-    steps = "transform(x_.m, (m, i) -> length(get(x_.g, i)) + length(m))"
-    one = let_sql("get(base_, i) + length(get(x_.g, i))", "at_",
-                  "named_struct('start', at_, 'end', at_ + length(m), 'text', m)")
-    matched = apply_sql(
-        F.struct(F.regexp_extract_all(t, p, F.lit(0)).alias("m"), F.split(t, p, -1).alias("g")),
-        "x_", let_sql(prefix_sums_sql(steps), "base_", f"transform(x_.m, (m, i) -> {one})"))
-    return F.when(F.rlike(t, p), matched).otherwise(F.array().cast(SPAN))
+    t, p = nz(text), F.lit(rx(pattern)) if isinstance(pattern, str) else pattern
+    match, start = "get(x_, 2 * i + 1)", "b_ + length(get(x_, 2 * i))"
+    sums = prefix_sums_sql("(size(x_) div 2)", "length(get(x_, 2 * j_)) + length(get(x_, 2 * j_ + 1))")
+    placed = (f"if(size(x_) < 2, cast(array() as {SPAN}), transform({sums}, (b_, i) -> named_struct("
+              f"'start', {start}, 'end', {start} + length({match}), 'text', {match})))")
+    # text before a match and the match in turn, and the text behind the last one
+    twice = apply_sql(F.struct(F.regexp_extract_all(t, p, F.lit(0)).alias("m"), F.split(t, p, -1).alias("g")), "y_",
+                      "concat(flatten(transform(y_.m, (m, i) -> array(get(y_.g, i), m))), array(''))")
+    pieces = F.when(F.contains(t, F.lit(MARK)), twice).otherwise(
+        F.split(F.regexp_replace(t, p, F.lit(f"{MARK}$0{MARK}")), MARK, -1))
+    return apply_sql(pieces, "x_", placed)
+
+
+def term_places(text: Column | str, terms: Sequence[str], more: int = 0) -> Column:
+    """The places where a term may start, in text order, as start and head: the characters from there on, as many as the
+    longest term and ``more`` have. The first place is the start of the text, also without a term.
+
+    The text is cut before each position where some term starts; the pieces give the positions.
+    """
+    cut = "(?=" + alternation(terms) + ")"
+    head = head_sql("x_", "i", max(len(x) for x in terms) + more)
+    sums = prefix_sums_sql("size(x_)", "length(get(x_, j_))")
+    return apply_sql(F.split(nz(text), cut, -1), "x_",
+                     f"transform({sums}, (b_, i) -> named_struct('start', b_, 'head', {head}))")
+
+
+def placed_terms(places: Column, terms: Sequence[tuple[str, int]], tail: str = "") -> Column:
+    """The terms, given with numbers, that start at places (:func:`term_places`, also of more terms): i, start, end,
+    text, by number and start. With ``tail``, a pattern, a match goes on as far as that reaches."""
+    firsts: dict[str, list] = {}
+    for term, i in terms:
+        firsts.setdefault(term[0], []).append(f"named_struct('k', {literal(term)}, 'i', {i})")
+    table = "map(" + ", ".join(f"{literal(c)}, array({', '.join(rows)})" for c, rows in firsts.items()) + ")"
+    none = "slice(array(named_struct('k', '', 'i', 0)), 1, 0)"
+    more = f" + length(regexp_extract(substring(p.head, length(r.k) + 1), {literal('^' + tail)}, 0))" if tail else ""
+    one = let_sql(f"length(r.k){more}", "n_", "named_struct('i', r.i, 'start', p.start, 'end', p.start + n_, "
+                  "'text', substring(p.head, 1, n_))")
+    return apply_sql(places, "x_", (
+        f"array_sort(flatten(transform(x_, p -> transform(filter(coalesce({table}[substring(p.head, 1, 1)], {none}), "
+        f"r -> startswith(p.head, r.k)), r -> {one}))))"))
 
 
 def term_spans(text: Column | str, terms: Sequence[str]) -> Column:
-    """Every occurrence of every term, also inside each other, ordered by start.
+    """Every occurrence of every term, also inside each other, ordered by start; only at the places where
+    some term starts the terms are compared."""
+    heads = "flatten(transform(x_.p, p -> transform(filter(x_.terms, k -> startswith(p.head, k)), k -> named_struct("\
+        "'start', p.start, 'end', p.start + length(k), 'text', k))))"
+    return apply_sql(F.struct(term_places(text, terms).alias("p"), strings(terms).alias("terms")), "x_", heads)
 
-    The text is cut before each position where some term starts; the pieces give the
-    positions, and only there are the terms compared.
-    """
-    t = nz(text)
-    longest = max(len(x) for x in terms)
-    cut = "(?=" + alternation(terms) + ")"
 
-    heads = "transform(filter(x_.terms, k -> startswith(head_, k)), k -> named_struct('start', "\
-        "get(base_, i), 'end', get(base_, i) + length(k), 'text', k))"
-    head = f"substring(array_join({part_sql('x_.p', 'i', longest)}, ''), 1, {longest})"
-    found = apply_sql(
-        F.struct(F.split(t, cut, -1).alias("p"), strings(terms).alias("terms")), "x_",
-        let_sql(prefix_sums_sql("transform(x_.p, y -> length(y))"), "base_",
-                f"flatten(transform(x_.p, (y, i) -> {let_sql(head, 'head_', heads)}))"))
-    return F.when(t.rlike(alternation(terms)), found).otherwise(
-        F.array().cast(SPAN))
+def head_sql(pieces: str, i: str, n: int) -> str:
+    """The first ``n`` characters of a text from its ``i``-th piece on, in SQL text."""
+    joined = f"array_join({part_sql(pieces, i, n)}, '')"
+    return f"substring(if(length(get({pieces}, {i})) >= {n}, get({pieces}, {i}), {joined}), 1, {n})"
 
 
 def overlaps(a: Column, b: Column) -> Column:

@@ -29,12 +29,12 @@ PLAIN = words("물건을, 사람들, 마당에서, 어디서, 꽃을, 버스로,
 
 
 def korean(text: Column | str) -> Column:
-    phrases, plain = strings(PHRASES), strings(PLAIN)
+    """A word's digest is taken once: its slot is a place in one table of phrases. 512 slots need
+    the last nine bits of the first four hex digits."""
+    table = strings([PHRASES[i] if i < len(PHRASES) else PLAIN[i % len(PLAIN)] for i in range(SLOTS)])
 
     def phrase(w: Column) -> Column:
-        slot = F.pmod(F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int"), F.lit(SLOTS))
-        return F.when(slot < len(PHRASES), F.get(phrases, slot)).otherwise(
-            F.get(plain, F.pmod(slot, F.lit(len(PLAIN)))))
+        return F.get(table, F.pmod(F.conv(F.substring(F.md5(w), 2, 3), 16, 10).cast("int"), F.lit(SLOTS)))
 
     return F.array_join(F.transform(F.split(nz(text), " ", -1), phrase), " ")
 

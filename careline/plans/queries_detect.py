@@ -9,7 +9,7 @@ from careline.functions import lexicon as L
 from careline.functions import morphemes as M
 from careline.functions import pii as P
 from careline.functions import spans as SP
-from careline.functions.core import strings, unpack
+from careline.functions.core import let, strings, unpack
 from careline.operators import reports as R
 from careline.plans import pipeline
 from careline.plans.korean import KO, KO_DOCS, korean, korean_turns
@@ -459,11 +459,11 @@ SELECT doc_id, pii_type, found, count(*) AS n FROM r GROUP BY ALL""")
 def pii_candidates(spark, d):
     """What each detector finds by itself, before the priority rule."""
     t = F.col("text")
-    found = F.concat(
+    found = let(P.all_places(t), lambda at: F.concat(
         *[P.pattern_detections(t, k) for k in P.ORDER],
-        P.term_detections(t, pii.FAMILY, "family_ref", pii.PSEUDONYMIZE, pii.FAMILY_CONFIDENCE, True),
-        P.term_detections(t, pii.STIGMA, "stigma", pii.GENERALIZE, pii.STIGMA_CONFIDENCE),
-        P.emotion_detections(t))
+        P.term_detections(t, pii.FAMILY, "family_ref", pii.PSEUDONYMIZE, pii.FAMILY_CONFIDENCE, True, at),
+        P.term_detections(t, pii.STIGMA, "stigma", pii.GENERALIZE, pii.STIGMA_CONFIDENCE, places=at),
+        P.emotion_detections(t, places=at)))
     return unpack(_ko_docs(spark, d), ["doc_id"], found, "start").groupBy(
         "doc_id", "pii_type", F.col("text").alias("found")).agg(F.count("*").alias("n"))
 
