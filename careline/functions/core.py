@@ -161,9 +161,9 @@ def prefix_sums_sql(n: str, item: str) -> str:
 
     Appending to an array copies it, so a plain fold is quadratic in the number of
     elements. Folding inside blocks and then over block totals keeps long texts cheap; blocks
-    grow with the root of a long array, so neither fold is long.
+    grow with the cube root of the number, which makes both copy the same.
     """
-    block = f"greatest(32, cast(sqrt({n}) / 4 as int))"
+    block = f"greatest(8, cast(cbrt({n}) as int))"
     local = (f"transform(sequence(0, cast(ceil({n} / {block}) as int) - 1), k_ -> "
              f"aggregate(sequence(k_ * {block}, cast(least((k_ + 1) * {block}, {n}) as int) - 1), array(0), "
              f"(acc, j_) -> concat(acc, array(element_at(acc, -1) + {item}))))")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from careline.functions.core import (
     alternation, apply_sql, col, let, literal, mapping, nz, part, rx, strings, structs, total,
 )
-from careline.functions.spans import counts_before, pattern_spans
+from careline.functions.spans import SPAN, counts_before, pattern_spans
 from careline.rules import medical
 
 PRIORITY = {"pattern": 3, "dictionary": 2, "llm": 1}
@@ -246,8 +246,8 @@ def word_context(
 
 
 def word_contexts(text: Column | str, spans: Column, **options) -> Column:
-    """Context of every span of a text; the text is tokenized once, and the place of each span
-    among the tokens is found by sorting."""
+    """Context of every span of a text; a text with spans is tokenized once, and the place of each span
+    among the tokens is found by halving."""
     def placed(b: Column) -> Column:
         before = counts_before(F.transform(b["k"], lambda k: k["end"]), F.transform(b["s"], lambda s: s["start"]), True)
         after = counts_before(F.transform(b["k"], lambda k: k["start"]), F.transform(b["s"], lambda s: s["end"]), False)
@@ -255,7 +255,11 @@ def word_contexts(text: Column | str, spans: Column, **options) -> Column:
                    lambda x: F.transform(x["s"], lambda s, i: word_context(
                        x["k"], s, F.get(x["b"], i), F.get(x["a"], i), **options)))
 
-    return let(F.struct(tokens(text).alias("k"), spans.alias("s")), placed)
+    def found(s: Column) -> Column:
+        """A text without spans has no use for its tokens."""
+        return F.struct(F.when(F.size(s) > 0, tokens(text)).otherwise(F.array().cast(SPAN)).alias("k"), s.alias("s"))
+
+    return let(let(spans, found), placed)
 
 
 def combined_context(text: Column | str, contexts: Column) -> Column:

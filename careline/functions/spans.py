@@ -86,15 +86,14 @@ def overlaps(a: Column, b: Column) -> Column:
 
 def counts_before(points: Column, marks: Column, at_mark: bool) -> Column:
     """For each mark the number of points before it (``at_mark``: or on it), in the order of the
-    marks. Both are sorted into one line; a mark's place less the marks before it is the count."""
-    kind = 0 if at_mark else 2  # points on a mark come before or behind it
-    line = F.array_sort(F.concat(
-        F.transform(points, lambda p: F.struct(p.alias("p"), F.lit(kind).alias("k"), F.lit(-1).alias("i"))),
-        F.transform(marks, lambda p, i: F.struct(p.alias("p"), F.lit(1).alias("k"), i.alias("i")))))
-    placed = F.filter(F.transform(line, lambda x, n: F.struct(
-        x["k"].alias("k"), x["i"].alias("i"), n.alias("n"))), lambda x: x["k"] == 1)
-    counted = F.transform(placed, lambda x, m: F.struct(x["i"].alias("i"), (x["n"] - m).alias("c")))
-    return F.transform(F.array_sort(counted), lambda x: x["c"])
+    marks. Points are in ascending order; a mark halves them until its place is found, so few marks
+    cost little among many points."""
+    low = f"get(b_.p, (s_.a + s_.b) div 2) {'<=' if at_mark else '<'} m_"
+    step = (f"if(s_.a >= s_.b, s_, if({low}, named_struct('a', cast((s_.a + s_.b) div 2 as int) + 1, 'b', s_.b), "
+            "named_struct('a', s_.a, 'b', cast((s_.a + s_.b) div 2 as int))))")
+    return apply_sql(F.struct(points.alias("p"), marks.alias("m")), "b_", (
+        "transform(b_.m, m_ -> aggregate(sequence(0, length(bin(size(b_.p)))), "
+        f"named_struct('a', 0, 'b', size(b_.p)), (s_, r_) -> {step}, s_ -> s_.a))"))
 
 
 def clusters(spans: Column, gap: int = 0) -> Column:

@@ -64,3 +64,16 @@ def test_spans_of_a_text_with_marks(spark):
     df = spark.createDataFrame([(f"a{MARK}b1{MARK}22 c",), ("12",), ("x",), (None,)], "text string")
     found = [[tuple(s) for s in r[0]] for r in df.select(pattern_spans("text", r"\d+")).collect()]
     assert found == [[(3, 4, "1"), (5, 7, "22")], [(0, 2, "12")], [], []]
+
+
+def test_places_are_found_by_halving(spark, words):
+    """Points are not sorted together with the marks."""
+    from careline.functions.spans import counts_before
+
+    points, marks = [0, 3, 3, 7, 20], [4, 3, 0, 99, -1, 7]
+    df = spark.createDataFrame([(points, marks), ([], marks), (points, [])], "p array<int>, m array<int>")
+    for at_mark in (True, False):
+        counted = df.select(counts_before(F.col("p"), F.col("m"), at_mark).alias("c"))
+        assert "array_sort" not in plan(counted)
+        assert [r[0] for r in counted.collect()] == [
+            [sum(p < m or at_mark and p == m for p in ps) for m in ms] for ps, ms in ((points, marks), ([], marks), (points, []))]
