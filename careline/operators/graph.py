@@ -170,9 +170,14 @@ def contains_join(needles: DataFrame, haystacks: DataFrame, needle: str, haystac
     more than ``hub`` offers is dealt to several parts, and its needles are copied to each. Texts are joined back to
     the candidates by number and verified, so what is shuffled grows with the candidates and not with the texts.
     """
-    few = [r[0] for r in needles.select(F.col(needle).alias("_n")).filter(F.length("_n") > 0).distinct().limit(held + 1).collect()]
+    asked = needles.select(F.col(needle).alias("_n")).filter(F.length("_n") > 0).groupBy("_n").agg(F.count("*").alias("_c"))
+    counted = asked.limit(held + 1).collect()
+    few = sorted(r["_n"] for r in counted)
     if len(few) <= held and sum(map(len, few)) <= HELD_CHARS:
-        met = haystacks.withColumn("_n", F.explode(F.filter(strings(sorted(few)), lambda n: F.contains(F.col(haystack), n))))
+        met = haystacks.withColumn("_n", F.explode(F.filter(strings(few), lambda n: F.contains(F.col(haystack), n))))
+        if needles.columns == [needle] and needle not in haystacks.columns and all(r["_c"] == 1 for r in counted):
+            # needles that are nothing but distinct texts have nothing to add
+            return met.select(F.col("_n").alias(needle), *haystacks.columns)
         return needles.join(met, F.col(needle) == F.col("_n")).drop("_n")
     texts = written(haystacks.select(F.col(haystack).alias("_h")).filter(F.length("_h") > 0).distinct()
                     .withColumn("_id", F.xxhash64("_h")), "texts")
@@ -203,14 +208,12 @@ def symptom_conditions(keywords: DataFrame, nodes: DataFrame, edges: DataFrame,
     keys = nodes.filter(F.col("label") == symptom).select(
         node_name().alias("src"),
         F.explode(F.array_distinct(F.array_compact(F.array("name", "id")))).alias("_key"))
-    hits = contains_join(keywords.select(keyword).distinct(), keys, keyword, "_key").select(
-        keyword, "src").distinct()
     conditions = nodes.filter(F.col("label") == condition).select(node_name().alias("dst"))
-    return (
-        hits.join(edges.filter(F.col("rel") == relation), "src")
-        .join(conditions.distinct(), "dst", "left_semi")
-        .select(keyword, F.col("dst").alias("condition")).distinct()
-    )
+    # symptoms meet their conditions first, so no row per keyword and symptom is moved
+    linked = keys.join(edges.filter(F.col("rel") == relation).select("src", "dst"), "src").join(
+        conditions.distinct(), "dst", "left_semi").select("_key", F.col("dst").alias("condition"))
+    return contains_join(keywords.select(keyword).distinct(), linked, keyword, "_key").select(
+        keyword, "condition").distinct()
 
 
 def related_nodes(keywords: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 2,

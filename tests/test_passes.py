@@ -77,3 +77,16 @@ def test_places_are_found_by_halving(spark, words):
         assert "array_sort" not in plan(counted)
         assert [r[0] for r in counted.collect()] == [
             [sum(p < m or at_mark and p == m for p in ps) for m in ms] for ps, ms in ((points, marks), ([], marks), (points, []))]
+
+
+def test_few_distinct_needles_need_no_join(spark):
+    from careline.operators.graph import contains_join
+
+    needles = spark.createDataFrame([("ab",), ("b",), ("",)], "k string")
+    hay = spark.createDataFrame([("xaby", 1), ("b", 2), ("q", 3), (None, 4), ("xaby", 5)], "h string, n int")
+    met = contains_join(needles, hay, "k", "h")
+    assert "Join" not in plan(met)
+    want = [("ab", "xaby", 1), ("ab", "xaby", 5), ("b", "b", 2), ("b", "xaby", 1), ("b", "xaby", 5)]
+    assert sorted(map(tuple, met.collect())) == want
+    twice = contains_join(needles.unionByName(needles), hay, "k", "h")
+    assert sorted(map(tuple, twice.collect())) == sorted(want * 2)
