@@ -14,6 +14,7 @@ from careline.functions.core import (
 from careline.functions.lexicon import (
     any_keyword, any_pattern, found_terms, keyword_count, keyword_hits,
 )
+from careline.functions.scan import Term
 from careline.rules import intents as I
 from careline.rules import medical, risk
 
@@ -106,14 +107,20 @@ def adjust_level(base: Column, shift: Column) -> Column:
     )
 
 
+#: Keywords of the default categories, then raising and lowering patterns, for scan().
+RISK_WORDS = sorted({k for c in risk.CATEGORIES for k in c["keywords"]})
+RISK_SEEN = [*[Term((k,)) for k in RISK_WORDS], *risk.RAISING, *risk.LOWERING]
+
+
 def risk_signals(
     text: Column | str, terms: Column | None = None, categories=None,
-    raising=None, lowering=None,
+    raising=None, lowering=None, seen: Column | None = None,
 ) -> Column:
     """One signal per category with a keyword in the text or among the terms.
 
     ``terms`` are found health terms (lemmas); one counts if it holds a keyword or is
-    part of one.
+    part of one. ``seen`` (numbers of ``RISK_SEEN`` found in the text by scan()) saves the passes
+    over the text, for the default tables.
     """
     categories = categories or risk.CATEGORIES
     terms = strings([]) if terms is None else terms
@@ -121,9 +128,14 @@ def risk_signals(
     every = [k for c in categories for k in c["keywords"]]
 
     def bound(t: Column) -> Column:
-        return F.struct(t.alias("text"), found_terms(F.lower(t), every).alias("found"),
-                        terms.alias("terms"),
-                        level_shift(t, raising, lowering).alias("shift"))
+        if seen is None:
+            found, shift = found_terms(F.lower(t), every), level_shift(t, raising, lowering)
+        else:
+            up, down = len(RISK_WORDS), len(RISK_WORDS) + len(risk.RAISING)
+            found = F.transform(F.filter(seen, lambda i: i < up), lambda i: F.get(strings(RISK_WORDS), i))
+            shift = F.struct((F.size(F.filter(seen, lambda i: (i >= up) & (i < down))) >= 2).alias("up"),
+                             F.exists(seen, lambda i: i >= down).alias("down"))
+        return F.struct(t.alias("text"), found.alias("found"), terms.alias("terms"), shift.alias("shift"))
 
     table = structs(
         ["category", "base", "keywords", "description", "recommendation"],

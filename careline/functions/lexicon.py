@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from careline.functions.core import (
     alternation, apply_sql, col, let, literal, mapping, nz, part, rx, strings, structs, total,
 )
+from careline.functions.scan import Term, scan
 from careline.functions.spans import SPAN, counts_before, pattern_spans
 from careline.rules import medical
 
@@ -58,6 +59,12 @@ def clinical_terms(text: Column) -> Column:
     return keyword_hits(text, medical.CLINICAL_TERMS)
 
 
+def clinical_terms_scanned(text: Column | str) -> Column:
+    """:func:`clinical_terms` by scan(); it cannot stand inside a lambda."""
+    seen = scan(text, seen=[Term((t,)) for t in medical.CLINICAL_TERMS])["seen"]
+    return F.transform(seen, lambda i: F.get(strings(medical.CLINICAL_TERMS), i))
+
+
 def any_pattern(text: Column, patterns: Sequence[str]) -> Column:
     return nz(text).rlike(rx("|".join(f"(?:{p})" for p in patterns)))
 

@@ -10,6 +10,7 @@ from careline.functions import morphemes as M
 from careline.functions import pii as P
 from careline.functions import spans as SP
 from careline.functions.core import let, strings, unpack
+from careline.functions.scan import scan
 from careline.operators import reports as R
 from careline.plans import pipeline
 from careline.plans.korean import KO, KO_DOCS, korean, korean_turns
@@ -525,8 +526,9 @@ acc AS (SELECT ck.doc_id, k.start::INT AS start, k.stop::INT AS stop, k.text AS
 _PII = f"{KO_DOCS.replace('AS (', 'AS MATERIALIZED (', 1)}, {_sql_pii()}"
 
 
-def _detected(spark, d):
-    return _ko_docs(spark, d).withColumn("pii", P.detect_pii("text"))
+def _detected(spark, d, seen=()):
+    rows = _ko_docs(spark, d).withColumn("scanned", scan("text", P.SCANNED, seen))
+    return rows.withColumn("pii", P.detect_pii("text", scanned=F.col("scanned.spans")))
 
 
 @query("pii_spans", f"""WITH {_PII} SELECT doc_id, start, stop AS "end", text, pii_type, mask, strategy, confidence FROM acc""")
@@ -553,8 +555,9 @@ def pii_by_type(spark, d):
 
 @query("health_summaries")
 def health_summaries(spark, d):
-    rows = _detected(spark, d).withColumn("signals", C.risk_signals("text"))
-    return rows.select("doc_id", F.inline(F.array(P.health_summary("text", F.col("pii"), F.col("signals")))))
+    rows = _detected(spark, d, C.RISK_SEEN).withColumn("signals", C.risk_signals("text", seen=F.col("scanned.seen")))
+    made = rows.select("doc_id", F.inline(F.array(P.health_summary("text", F.col("pii"), F.col("signals"), clinical=False))))
+    return made.withColumn("clinical_terms_preserved", L.clinical_terms_scanned("context_redacted"))
 
 
 # A pack for the addresses that the documents hold, masked by the same span operators.
